@@ -165,4 +165,5 @@ def products_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = (F.when(F.col("p_partkey") % 37 == 0, F.to_json(F.struct(F.array(no_variants).alias("products"))))
            .when(F.col("p_partkey") % 31 == 0, F.to_json(F.struct(F.array(empty_variants).alias("products"))))
            .otherwise(F.to_json(F.struct(F.array(with_variants).alias("products")))))
-    return j.select(F.col("p_partkey").alias("doc_key"), doc.alias("value"))
+    store = F.concat(F.lit("store"), (F.col("p_partkey") % 5).cast("string"), F.lit(".example.com"))
+    return j.select(F.col("p_partkey").alias("doc_key"), store.alias("store_domain"), doc.alias("value"))
