@@ -9,7 +9,7 @@ Spark specifics handled here:
 * ANSI casts raise on bad text -> ``try_cast`` everywhere.
 * ``try_cast`` to double accepts ``1.5d``, ``inf``, ``nan`` -> the text must
   first match a plain decimal number pattern.
-* ``regexp_extract`` returns ``''`` on no match -> ``nullif``.
+* ``regexp_extract`` returns ``''`` on no match; ``try_cast('')`` is null.
 * Java ``\\s``/``\\d``/``\\W`` are ASCII; ``(?U)`` gives Unicode classes.
 """
 
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-# A plain decimal number as a Python float() call accepts it (no inf/nan).
-_FLOAT_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INT_RE = r"^[+-]?[0-9]+$"
+# A plain decimal number as a Python float() call accepts it (no inf/nan),
+# with surrounding white space; group 1 is the number itself.
+_FLOAT_RE = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+_INT_RE = r"(?U)^\s*([+-]?[0-9]+)\s*$"
 
 
 def _c(x) -> Column:
@@ -35,15 +36,13 @@ def pystrip(x) -> Column:
 
 
 def to_double(x) -> Column:
-    """``float(text)`` or null: strip, check the number shape, then cast."""
-    s = pystrip(x)
-    return F.when(s.rlike(_FLOAT_RE), s.try_cast("double"))
+    """``float(text)`` or null: one anchored match, then a cast ('' -> null)."""
+    return F.regexp_extract(_c(x), _FLOAT_RE, 1).try_cast("double")
 
 
 def to_long(x) -> Column:
-    """``int(text)`` or null (strips white space first)."""
-    s = pystrip(x)
-    return F.when(s.rlike(_INT_RE), s.try_cast("bigint"))
+    """``int(text)`` or null (white space around the digits is allowed)."""
+    return F.regexp_extract(_c(x), _INT_RE, 1).try_cast("bigint")
 
 
 def _is_sentinel(x, any_case: bool = False) -> Column:
@@ -64,7 +63,7 @@ def price_a(x) -> Column:
 def price_b(x) -> Column:
     """Keep digits and dots only, float; ``n/a`` in any case -> null."""
     kept = F.regexp_replace(_c(x), r"[^0-9.]", "")
-    return F.when(~_is_sentinel(x, any_case=True), to_double(F.nullif(kept, F.lit(""))))
+    return F.when(~_is_sentinel(x, any_case=True), to_double(kept))
 
 
 def price_c(x) -> Column:
@@ -89,15 +88,15 @@ def sales_a(x) -> Column:
     grp = F.regexp_extract(_c(x), r"(?U)([\d\s,]+)\s*vendus", 1)
     digits = F.translate(grp, " ,", "")
     return F.when(_is_sentinel(x), F.lit(0).cast("bigint")).otherwise(
-        F.coalesce(to_long(F.nullif(digits, F.lit(""))), F.lit(0).cast("bigint")))
+        F.coalesce(to_long(digits), F.lit(0).cast("bigint")))
 
 
 def sales_b(x) -> Column:
     """Lower, drop blanks/commas, join all digit runs, x1000 if a ``k`` occurs; else 0."""
     s = F.translate(F.lower(_c(x)), " ,", "")
     digits = F.regexp_replace(s, r"[^0-9]", "")
-    n = F.nullif(digits, F.lit("")).try_cast("bigint")
-    scaled = F.when(F.contains(s, F.lit("k")), n * F.lit(1000)).otherwise(n)
+    n = digits.try_cast("bigint")
+    scaled = F.try_multiply(n, F.when(F.contains(s, F.lit("k")), F.lit(1000)).otherwise(F.lit(1)).cast("bigint"))
     return F.when(_is_sentinel(x, any_case=True), F.lit(0).cast("bigint")).otherwise(
         F.coalesce(scaled, F.lit(0).cast("bigint")))
 
@@ -106,14 +105,14 @@ def sales_c(x) -> Column:
     """First run of digits/blanks/plus signs, non-digits removed; else null."""
     grp = F.regexp_extract(F.coalesce(_c(x), F.lit("nan")), r"(?U)([\d\s+]+)", 1)
     digits = F.regexp_replace(grp, r"[^0-9]", "")
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    return digits.try_cast("bigint")
 
 
 # --- discount, badges -----------------------------------------------------
 
 def discount(x) -> Column:
     """First ``\\d+\\.?\\d*`` as float; sentinel or no match -> 0.0."""
-    grp = F.nullif(F.regexp_extract(_c(x), r"([0-9]+\.?[0-9]*)", 1), F.lit(""))
+    grp = F.regexp_extract(_c(x), r"([0-9]+\.?[0-9]*)", 1)
     return F.when(_is_sentinel(x), F.lit(0.0)).otherwise(F.coalesce(grp.try_cast("double"), F.lit(0.0)))
 
 
