@@ -167,3 +167,101 @@ def products_json(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.to_json(F.struct(F.array(with_variants).alias("products")))))
     store = F.concat(F.lit("store"), (F.col("p_partkey") % 5).cast("string"), F.lit(".example.com"))
     return j.select(F.col("p_partkey").alias("doc_key"), store.alias("store_domain"), doc.alias("value"))
+
+
+# --- rendered HTML pages ----------------------------------------------------------------
+
+CARDS_PER_PAGE = 60
+
+
+def cards_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search-result pages rendered from ``listings_raw`` (one row per page).
+
+    Cards sit in ``div#card-list``; prices are written as 4 spans, 2 spans or
+    one text; links are protocol-relative, root-relative or absolute; badges
+    come as spans or as image titles. Pages with ``page_number % 7 == 0`` have
+    no container (they yield nothing) and every card with ``row_seq % 50 == 7``
+    is wrapped one level deeper (not a direct child: ignored).
+    """
+    lr = listings_raw(spark, sf_dir)
+    k = F.col("row_seq")
+    path = F.regexp_extract("url", r"^https://shop\.example\.com(/.*)$", 1)
+    href = (F.when(k % 3 == 0, F.concat(F.lit("//shop.example.com"), path))
+            .when(k % 3 == 1, path).otherwise(F.col("url")))
+    link = F.concat(F.lit('<a class="jr_g" href="'), href, F.lit('">'))
+    name = F.concat(F.lit('<h3 class="jr_kp"> '), F.col("name"), F.lit(" </h3>"))
+    m = F.regexp_extract("price", r"^MAD ([0-9]+)\.([0-9]+)$", 1)
+    d = F.regexp_extract("price", r"^MAD ([0-9]+)\.([0-9]+)$", 2)
+    price = (F.when(F.col("price") == "N/A", F.lit(""))
+             .when((m != "") & (k % 3 == 1), F.concat(
+                 F.lit('<div class="jr_kr"><span>MAD</span><span>'), m, F.lit("</span><span>.</span><span>"), d,
+                 F.lit("</span></div>")))
+             .when((m != "") & (k % 3 == 2), F.concat(
+                 F.lit('<div class="jr_kr"><span>MAD</span><span>'), m, F.lit("."), d, F.lit("</span></div>")))
+             .otherwise(F.concat(F.lit('<div class="jr_kr">'), F.col("price"), F.lit("</div>"))))
+
+    def opt(col, open_tag, close_tag):
+        return F.when(F.col(col) == "N/A", F.lit("")).otherwise(F.concat(F.lit(open_tag), F.col(col), F.lit(close_tag)))
+
+    sales = F.when(F.col("sales_info") == "N/A", F.lit("")).otherwise(F.concat(
+        F.lit('<span class="jr_j7">'), F.when(k % 4 == 0, F.lit("+ ")).otherwise(F.lit("")), F.col("sales_info"),
+        F.lit("</span>")))
+    src = F.regexp_extract("image_url", r"^https://img\.example\.com(/.*)$", 1)
+    img = (F.when(F.col("image_url") == "N/A", F.lit(""))
+           .when(k % 2 == 0, F.concat(F.lit('<img class="mm_be" src="//img.example.com'), src, F.lit('">')))
+           .otherwise(F.concat(F.lit('<img class="mm_be" src="'), F.col("image_url"), F.lit('">'))))
+    parts = F.split("additional_badges", r" \| ")
+    badges = (F.when(F.col("additional_badges") == "N/A", F.lit(""))
+              .when(k % 2 == 0, F.concat(F.lit('<div class="jr_ae">'), F.array_join(
+                  F.transform(parts, lambda p: F.concat(F.lit('<span class="jr_ae">'), p, F.lit("</span>"))), ""),
+                  F.lit("</div>")))
+              .otherwise(F.array_join(F.transform(parts, lambda p: F.concat(
+                  F.lit('<div class="jr_k2"><img class="ms_mv" title="'), p, F.lit('"></div>'))), "")))
+    card = F.concat(
+        F.lit('<div class="hm_bu search-item-card-wrapper-gallery">'), link, img, name, F.lit("</a>"), price,
+        opt("original_price", '<div class="jr_ks">', "</div>"),
+        opt("discount_percentage", '<span class="jr_kt">', "</span>"),
+        opt("rating", '<span class="jr_kf">', "</span>"), sales, badges, F.lit("</div>"))
+    card = F.when(k % 50 == 7, F.concat(F.lit('<div class="wrap">'), card, F.lit("</div>"))).otherwise(card)
+    # a page holds at most CARDS_PER_PAGE cards: a bounded group
+    pages = lr.groupBy("page_number").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_seq", card.alias("c")))),
+                                 lambda s: s["c"]), "").alias("cards"))
+    body = F.when(F.col("page_number") % 7 == 0, F.concat(F.lit('<div id="results">'), F.col("cards"), F.lit("</div>"))) \
+        .otherwise(F.concat(F.lit('<div id="card-list">'), F.col("cards"), F.lit("</div>")))
+    return pages.select("page_number", F.concat(F.lit("<html><body><h1>Top</h1>"), body,
+                                                F.lit("</body></html>")).alias("html"))
+
+
+def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retail product pages rendered from ``part`` (one row per part).
+
+    Some pages lack the alt name, the tax label, the rating or the review
+    count; some carry the review count only in the fallback block; pages with
+    ``p_partkey % 41 == 0`` have no title heading at all.
+    """
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
+                                                  "p_retailprice")
+    k = F.col("p_partkey")
+    url = F.concat(F.lit("https://retail.example.com/p/"), k.cast("string"))
+    alt = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<span class="ProductName-alt"> '),
+                                                             F.lower("p_type"), F.lit(" </span>")))
+    h1 = F.when(k % 41 == 0, F.lit('<h2>no title</h2>')).otherwise(F.concat(
+        F.lit('<h1 id="pageTitle"><span class="ProductName-primary">'), F.col("p_name"), F.lit("</span>"), alt,
+        F.lit("</h1>")))
+    price_txt = F.concat(F.lit("$"), F.expr("CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS STRING)"))
+    tax = F.when(k % 4 == 0, F.lit("")).otherwise(F.lit('<span class="ProductPrice-taxLabel">incl. VAT</span>'))
+    price = F.concat(F.lit('<div class="ProductDetails-form__price"><div class="ProductPrice">'
+                           '<span class="ProductPrice-price">'), price_txt, F.lit("</span>"), tax,
+                     F.lit("</div></div>"))
+    rating = F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<div class="bv_avgRating_component_container notranslate">'),
+        F.expr("CAST(CAST(1 + p_size * 0.08 AS DECIMAL(3,1)) AS STRING)"), F.lit("</div>")))
+    reviews = (F.when(k % 6 == 0, F.lit(""))
+               .when(k % 6 == 1, F.concat(F.lit('<div class="ProductDetails-header-V2-metadata">'
+                                                '<div class="bv_numReviews_text">('), k.cast("string"),
+                                          F.lit(")</div></div>")))
+               .otherwise(F.concat(F.lit('<button class="bv_main_container_row_flex"><div class="bv_numReviews_text">('),
+                                   (k * 3).cast("string"), F.lit(")</div></button>"))))
+    html = F.concat(F.lit("<html><body>"), h1, price, rating, reviews, F.lit("</body></html>"))
+    return p.select(k.alias("part_key"), url.alias("url"), html.alias("html"))
