@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_queries, listing_queries, ml_queries, retrieval_queries, variant_queries
+from . import html_queries, io_queries, listing_queries, ml_queries, retrieval_queries, variant_queries
 
-_MODULES = [listing_queries, variant_queries, ml_queries, retrieval_queries, html_queries]
+_MODULES = [listing_queries, variant_queries, ml_queries, retrieval_queries, html_queries, io_queries]
 
 
 def queries() -> dict:
