@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parse
 
-WORD_SPLIT = r"(?U)\W+"
+# Python's ``\W`` on text: anything but a letter, a number or "_". Java's
+# ``(?U)\W`` would also keep combining marks and every connector punctuation.
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
 # --- question scalars -----------------------------------------------------------
@@ -72,15 +74,16 @@ def contains_pairs(values: DataFrame, needles: DataFrame) -> DataFrame:
 # --- retrieval ----------------------------------------------------------------------
 
 def _tokens(corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, col, token) for each searched column; tokens of length >= 3."""
-    parts = []
-    for c in columns:
-        toks = F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), WORD_SPLIT)
-        parts.append(corpus.select(F.col(key), F.lit(c).alias("col"), F.explode(toks).alias("token")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.length("token") >= 3).distinct()
+    """(key, col, token) for each searched column; tokens of length >= 3.
+
+    One pass over the corpus: the searched columns become an array of
+    (column, text) pairs that is exploded, then each text is split once.
+    """
+    texts = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("txt")) for c in columns])
+    pairs = corpus.select(F.col(key), F.explode(texts).alias("p"))
+    toks = pairs.select(F.col(key), F.col("p.col").alias("col"),
+                        F.explode(F.split(F.lower(F.coalesce(F.col("p.txt"), F.lit(""))), WORD_SPLIT)).alias("token"))
+    return toks.where(F.length("token") >= 3).distinct()
 
 
 def retrieve(corpus: DataFrame, questions: DataFrame, key: str = "row_seq", qid: str = "qid",

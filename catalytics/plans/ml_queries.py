@@ -42,12 +42,18 @@ def q_single_class_flip(spark, sf):
     return labelled(spark, sf, threshold=100, flip_single_class=True).select("row_seq", ml.LABEL)
 
 
+_FITTED: dict = {}
+
+
 def _fit(spark, sf):
-    split = ml.stratified_split(labelled(spark, sf))
-    scratch_path(spark, "fit")  # makes sure a checkpoint folder exists
-    split = split.checkpoint()
-    model = ml.train(split.where(F.col("part") == "train"))
-    return split, model
+    """Split + fitted forest, trained once per session and input (the original caches it too)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        split = ml.stratified_split(labelled(spark, sf))
+        scratch_path(spark, "fit")  # makes sure a checkpoint folder exists
+        split = split.checkpoint()
+        _FITTED[key] = (split, ml.train(split.where(F.col("part") == "train")))
+    return _FITTED[key]
 
 
 def q_ml_metrics(spark, sf):

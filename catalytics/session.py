@@ -65,5 +65,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread(df, min_partitions: int | None = None):
+    """Rebalance a DataFrame that has fewer partitions than the cluster can run.
+
+    An unsplittable input (one file / one row group) scans as a single task
+    and every narrow step after it would run single-threaded. Inputs that
+    already have enough splits (the normal case on a large table) are left
+    untouched, so no shuffle is added there. Filters and column pruning are
+    still pushed below the round-robin exchange.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
