@@ -120,7 +120,9 @@ def train(train_df: DataFrame, num_trees: int = fixed.NUM_TREES, seed: int = fix
     from pyspark.ml.classification import RandomForestClassifier
     data = assemble(balanced_weights(train_df)).repartition(8, key)
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
-                                numTrees=num_trees, seed=seed, maxDepth=max_depth)
+                                numTrees=num_trees, seed=seed, maxDepth=max_depth,
+                                # larger node batches: fewer passes over the data per tree level
+                                maxMemoryInMB=1024)
     return rf.fit(data)
 
 

@@ -194,10 +194,14 @@ def preview_prompts(table: DataFrame, questions: DataFrame, order_key: str = "ro
 
 
 def transcripts(conversations: DataFrame, greeting: str = fixed.GREETING) -> DataFrame:
-    """One transcript per conversation - greeting, then the turns in order."""
-    g = conversations.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"),
-        F.count(F.lit(1)).alias("n_turns"))
-    body = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
-    return g.select("conv_id", "n_turns",
-                    F.concat(F.lit("assistant: " + greeting + "\n"), body).alias("transcript"))
+    """Each conversation as ordered transcript lines - the greeting, then the turns.
+
+    Output ``(conv_id, turn, line)`` with the greeting at ``turn = -1``; order
+    by ``(conv_id, turn)`` to read a transcript. Lines stay separate rows, so a
+    very long conversation is never gathered into one value or one task.
+    """
+    greet = conversations.select("conv_id").distinct().select(
+        "conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("assistant: " + greeting).alias("line"))
+    turns = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"),
+                                 F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
+    return greet.unionByName(turns)

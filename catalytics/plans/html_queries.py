@@ -22,7 +22,7 @@ def q_detail_extract(spark, sf):
 
 
 def q_page_links(spark, sf):
-    return H.page_links(read_table(spark, sf, "pages"), cap=LINK_CAP)
+    return H.page_links(read_table(spark, sf, "pages", rebalance=True), cap=LINK_CAP)
 
 
 QUERIES = {

@@ -18,7 +18,7 @@ from . import sql as S
 
 
 def corpus(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = read_table(spark, sf, "documents", rebalance=True)  # whole texts are tokenized
     return d.select(F.col("doc_id").alias("row_seq"),
                     F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
                     F.col("text").alias("body_html"), F.col("lang").alias("product_type"),
@@ -152,7 +152,7 @@ SELECT conv_id * 1000 + turn AS qid,
        || '{_sq(_V_MID)}' || text || '{_sq(_V_POST)}' AS prompt
 FROM conversations, head WHERE role = 'user'"""),
     "q_transcripts": f"""
-SELECT conv_id, count(*) AS n_turns,
-       'assistant: {_sq(fixed.GREETING)}' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
-FROM conversations GROUP BY conv_id""",
+SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, 'assistant: {_sq(fixed.GREETING)}' AS line FROM conversations
+UNION ALL
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, role || ': ' || text AS line FROM conversations""",
 }

@@ -80,5 +80,7 @@ def spread(df, min_partitions: int | None = None):
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spread(spark.read.parquet(table_path(sf_dir, name)))
+def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = False):
+    """Read a driver table; ``rebalance`` spreads an unsplittable file before heavy per-row work."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if rebalance else df
