@@ -14,8 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fixed_udf(decimals: int):
-    spec = f"{{:.{decimals}f}}"
+def _fixed_udf(decimals: int, grouping: bool = False):
+    spec = f"{{:{',' if grouping else ''}.{decimals}f}}"
 
     @F.pandas_udf("string")
     def fmt(s: pd.Series) -> pd.Series:
@@ -25,14 +25,15 @@ def _fixed_udf(decimals: int):
     return fmt
 
 
-_UDFS: dict[int, object] = {}
+_UDFS: dict[tuple, object] = {}
 
 
-def fixed_point(x: Column, decimals: int, prefix: str = "", suffix: str = "") -> Column:
-    """``f"{prefix}{x:.{decimals}f}{suffix}"``; null stays null."""
-    if decimals not in _UDFS:
-        _UDFS[decimals] = _fixed_udf(decimals)
-    body = _UDFS[decimals](x.cast("double"))
+def fixed_point(x: Column, decimals: int, prefix: str = "", suffix: str = "", grouping: bool = False) -> Column:
+    """``f"{prefix}{x:.{decimals}f}{suffix}"`` (``{x:,.Nf}`` with ``grouping``); null stays null."""
+    key = (decimals, grouping)
+    if key not in _UDFS:
+        _UDFS[key] = _fixed_udf(decimals, grouping)
+    body = _UDFS[key](x.cast("double"))
     return F.when(x.isNotNull(), F.concat(F.lit(prefix), body, F.lit(suffix)))
 
 

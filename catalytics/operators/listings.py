@@ -243,3 +243,27 @@ def display_c(df: DataFrame, placeholder: str = "https://via.placeholder.com/150
         F.coalesce(thousands(F.col("Sales_Num"), " "), F.lit("N/A")).alias("sales_display"),
         F.when(F.length(parse.pystrip(highlight)) > 0, highlight).alias("highlight"),
     )
+
+
+def kpi_display_a(kpis: DataFrame) -> DataFrame:
+    """P22 for A1: the dashboard's KPI texts; an empty selection shows N/D."""
+    empty = F.col("n_products") == 0
+    return kpis.select(
+        F.col("n_products").cast("string").alias("products_display"),
+        F.when(empty, F.lit("N/D")).otherwise(
+            F.coalesce(fixed_point(F.col("avg_price"), 2, "MAD "), F.lit("N/D"))).alias("price_display"),
+        F.when(empty, F.lit("N/D")).otherwise(
+            F.coalesce(fixed_point(F.col("avg_rating"), 2, "", " \u2b50"), F.lit("N/D"))).alias("rating_display"),
+        F.when(empty, F.lit("N/D")).otherwise(
+            F.coalesce(fixed_point(F.col("total_sales"), 0, grouping=True), F.lit("N/D"))).alias("sales_display"),
+    )
+
+
+def kpi_display_c(kpis: DataFrame) -> DataFrame:
+    """P22 for A2: the product grid's KPI texts (blank thousands separator, N/A)."""
+    return kpis.select(
+        F.col("n_products").cast("string").alias("products_display"),
+        F.coalesce(fixed_point(F.col("avg_price"), 2, "", " MAD"), F.lit("N/A")).alias("price_display"),
+        F.coalesce(fixed_point(F.col("avg_rating"), 1, "", " \u2b50"), F.lit("N/A")).alias("rating_display"),
+        F.coalesce(F.concat(thousands(F.col("total_sales"), " "), F.lit(" ")), F.lit("N/A")).alias("sales_display"),
+    )

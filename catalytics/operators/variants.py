@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse
+from ..functions.display import fixed_point, thousands
 
 ORDER = ["variant_id", "product_id", "supplier_key"]
 TIMESTAMP_COLUMNS = ["created_at", "updated_at", "published_at", "variant_created_at", "variant_updated_at"]
@@ -164,3 +165,16 @@ def most_expensive(df: DataFrame, n: int = 5) -> DataFrame:
 def raw_projection(df: DataFrame) -> DataFrame:
     """The fixed view columns that exist in the table."""
     return df.select(*[c for c in RAW_VIEW_COLUMNS if c in df.columns])
+
+
+def kpi_display(k: DataFrame) -> DataFrame:
+    """P22 for A3: counts with thousands separators, prices as ``$1,234.56`` (N/D when absent)."""
+    counts = ["unique_products", "variants", "available_variants", "unavailable_variants", "vendors",
+              "product_types"]
+    return k.select(
+        *[thousands(F.col(c)).alias(f"{c}_display") for c in counts],
+        F.coalesce(fixed_point(F.col("avg_price"), 2, "$", grouping=True), F.lit("N/D")).alias("avg_price_display"),
+        F.coalesce(fixed_point(F.col("median_price"), 2, "$", grouping=True),
+                   F.lit("N/D")).alias("median_price_display"),
+        fixed_point(F.col("unavailable_pct"), 1, "", "%").alias("unavailable_pct_display"),
+    )

@@ -133,6 +133,12 @@ def q_bounds(spark, sf):
     return b.withColumn("grid_price_max", gmax.scalar())
 
 
+def q_kpi_display(spark, sf):
+    a = L.kpi_display_a(L.kpis_a(filtered_a(spark, sf)))
+    c = L.kpi_display_c(L.kpis_c(grid(spark, sf)))
+    return a.withColumn("view", F.lit("dashboard")).unionByName(c.withColumn("view", F.lit("grid")))
+
+
 def q_top_sales(spark, sf):
     return L.top_sales(filtered_a(spark, sf), 10).select("row_seq", "name", "sales_numeric")
 
@@ -163,6 +169,7 @@ QUERIES = {
     "q_value_counts": q_value_counts,
     "q_describe": q_describe,
     "q_bounds": q_bounds,
+    "q_kpi_display": q_kpi_display,
     "q_top_sales": q_top_sales,
     "q_scatter": q_scatter,
     "q_head_sample": q_head_sample,
@@ -277,4 +284,20 @@ WHERE price_numeric IS NOT NULL AND rating_numeric IS NOT NULL"""),
     "q_head_sample": S.with_ctes(S.LISTINGS_A, """
 SELECT row_seq, name, price_numeric, rating_numeric, sales_numeric, discount_percentage_numeric
 FROM clean_a ORDER BY row_seq LIMIT 5"""),
+    "q_kpi_display": S.with_ctes(S.LISTINGS_A + S.LISTINGS_C[len(S.LISTINGS_RAW):], """
+, ka AS (SELECT count(*) AS n, avg(price_numeric) AS ap, avg(rating_numeric) AS ar,
+                CAST(sum(sales_numeric) AS DOUBLE) AS ts FROM filtered),
+kc AS (SELECT count(*) AS n, avg("Price_MAD") AS ap, avg("Rating") AS ar, CAST(sum("Sales_Num") AS BIGINT) AS ts
+       FROM grid)
+SELECT CAST(n AS VARCHAR) AS products_display,
+  CASE WHEN n = 0 OR ap IS NULL THEN 'N/D' ELSE 'MAD ' || format('{:.2f}', ap) END AS price_display,
+  CASE WHEN n = 0 OR ar IS NULL THEN 'N/D' ELSE format('{:.2f}', ar) || ' \u2b50' END AS rating_display,
+  CASE WHEN n = 0 OR ts IS NULL THEN 'N/D' ELSE format('{:,.0f}', ts) END AS sales_display,
+  'dashboard' AS view FROM ka
+UNION ALL
+SELECT CAST(n AS VARCHAR),
+  CASE WHEN ap IS NULL THEN 'N/A' ELSE format('{:.2f}', ap) || ' MAD' END,
+  CASE WHEN ar IS NULL THEN 'N/A' ELSE format('{:.1f}', ar) || ' \u2b50' END,
+  CASE WHEN ts > 0 THEN replace(format('{:,}', ts), ',', ' ') || ' ' ELSE 'N/A' END,
+  'grid' FROM kc"""),
 }

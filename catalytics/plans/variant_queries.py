@@ -47,6 +47,10 @@ def q_variant_kpis(spark, sf):
                     _r("avg_price"), _r("median_price"), "vendors", "product_types", _r("unavailable_pct"))
 
 
+def q_variant_kpi_display(spark, sf):
+    return V.kpi_display(V.kpis(dashboard(spark, sf)))
+
+
 def q_facet_values(spark, sf):
     return V.facet_values(cleaned(spark, sf), store=PROBE_STORE, vendor=PROBE_VENDOR)
 
@@ -113,6 +117,7 @@ def q_store_endpoint(spark, sf):
 QUERIES = {
     "q_variant_clean": q_variant_clean,
     "q_variant_kpis": q_variant_kpis,
+    "q_variant_kpi_display": q_variant_kpi_display,
     "q_facet_values": q_facet_values,
     "q_facet_cascade": q_facet_cascade,
     "q_availability": q_availability,
@@ -272,4 +277,18 @@ WITH d AS (SELECT n_nationkey, CASE n_nationkey % 3
               ELSE lower(n_name) || '.example.com' END AS domain FROM nation)
 SELECT n_nationkey, domain, 'https://' || nullif(regexp_extract(domain, '^([^/?#]+)', 1), '') || '/products.json'
        AS endpoint FROM d""",
+    "q_variant_kpi_display": _w("""
+, k AS (SELECT count(DISTINCT product_id) AS unique_products, count(*) AS variants,
+               count(*) FILTER (WHERE available = true) AS available_variants,
+               avg(price) AS ap, median(price) AS mp, count(DISTINCT vendor) AS vendors,
+               count(DISTINCT product_type) AS product_types FROM vdash)
+SELECT format('{:,}', unique_products) AS unique_products_display, format('{:,}', variants) AS variants_display,
+  format('{:,}', available_variants) AS available_variants_display,
+  format('{:,}', variants - available_variants) AS unavailable_variants_display,
+  format('{:,}', vendors) AS vendors_display, format('{:,}', product_types) AS product_types_display,
+  CASE WHEN ap IS NULL THEN 'N/D' ELSE '$' || format('{:,.2f}', ap) END AS avg_price_display,
+  CASE WHEN mp IS NULL THEN 'N/D' ELSE '$' || format('{:,.2f}', mp) END AS median_price_display,
+  format('{:.1f}', CASE WHEN variants > 0 THEN (variants - available_variants) / variants * 100.0 ELSE 0.0 END)
+    || '%' AS unavailable_pct_display
+FROM k"""),
 }

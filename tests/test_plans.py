@@ -44,3 +44,16 @@ def test_scan_prunes_columns(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in p
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in p
+
+
+def test_transcripts_do_not_gather_groups(spark):
+    from catalytics.plans import retrieval_queries as RQ2
+    p = plan(RQ2.q_transcripts(spark, SF_SMALL))
+    assert "collect_list" not in p
+
+
+def test_window_group_limit_is_partial_before_shuffle(spark):
+    df = VQ.q_most_expensive(spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in p and "Partial" in p
