@@ -105,12 +105,9 @@ def q_json_flatten(spark, sf):
 
 
 def q_store_endpoint(spark, sf):
-    n = read_table(spark, sf, "nation")
-    domain = F.expr("""CASE n_nationkey % 3
-        WHEN 0 THEN concat('shop-', lower(n_name), '.example.com/collections/all')
-        WHEN 1 THEN concat(lower(n_name), '.example.com?ref=x')
-        ELSE concat(lower(n_name), '.example.com') END""")
-    d = n.select("n_nationkey", domain.alias("domain"))
+    """E14 on every page's address without its scheme (host, path, query as a user would type it)."""
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    d = pages.select("page_id", F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "").alias("domain"))
     return d.withColumn("endpoint", parse.store_endpoint("domain"))
 
 
@@ -271,11 +268,8 @@ SELECT 'store' || CAST(p_partkey % 5 AS VARCHAR) || '.example.com' AS store_doma
   v.variant_id, v.variant_title, v.price, v.available
 FROM part LEFT JOIN v ON v.l_partkey = p_partkey AND p_partkey % 31 <> 0 AND p_partkey % 37 <> 0""",
     "q_store_endpoint": """
-WITH d AS (SELECT n_nationkey, CASE n_nationkey % 3
-              WHEN 0 THEN 'shop-' || lower(n_name) || '.example.com/collections/all'
-              WHEN 1 THEN lower(n_name) || '.example.com?ref=x'
-              ELSE lower(n_name) || '.example.com' END AS domain FROM nation)
-SELECT n_nationkey, domain, 'https://' || nullif(regexp_extract(domain, '^([^/?#]+)', 1), '') || '/products.json'
+WITH d AS (SELECT page_id, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS domain FROM pages)
+SELECT page_id, domain, 'https://' || nullif(regexp_extract(domain, '^([^/?#]+)', 1), '') || '/products.json'
        AS endpoint FROM d""",
     "q_variant_kpi_display": _w("""
 , k AS (SELECT count(DISTINCT product_id) AS unique_products, count(*) AS variants,
