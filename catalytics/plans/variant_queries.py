@@ -9,7 +9,8 @@ from ..functions import parse
 from ..operators import stats
 from ..operators import variants as V
 from ..sources import documents
-from ..session import read_table
+from ..session import read_table, scratch_path
+from ..sources import files
 from . import fixtures
 
 R = 6
@@ -104,6 +105,19 @@ def q_json_flatten(spark, sf):
                        "variant_id", "variant_title", "price", "available")
 
 
+def land_variants(spark, sf, path: str) -> None:
+    """Land the typed variant table once, partitioned by store (F5 then prunes whole folders)."""
+    files.write_table(cleaned(spark, sf), path, partition_by=["store_domain"])
+
+
+def q_landed_store_facet(spark, sf):
+    path = scratch_path(spark, "variants-by-store")
+    land_variants(spark, sf, path)
+    landed = spark.read.parquet(path)
+    return (V.facet_filter(landed, store=PROBE_STORE)
+            .select(*V.ORDER, "store_domain", "vendor", "price", "available"))
+
+
 def q_store_endpoint(spark, sf):
     """E14 on every page's address without its scheme (host, path, query as a user would type it)."""
     pages = read_table(spark, sf, "pages").select("page_id", "url")
@@ -127,6 +141,7 @@ QUERIES = {
     "q_hist_variant50": q_hist_variant50,
     "q_json_flatten": q_json_flatten,
     "q_store_endpoint": q_store_endpoint,
+    "q_landed_store_facet": q_landed_store_facet,
 }
 
 
@@ -285,4 +300,7 @@ SELECT format('{:,}', unique_products) AS unique_products_display, format('{:,}'
   format('{:.1f}', CASE WHEN variants > 0 THEN (variants - available_variants) / variants * 100.0 ELSE 0.0 END)
     || '%' AS unavailable_pct_display
 FROM k"""),
+    "q_landed_store_facet": _w("""
+SELECT variant_id, product_id, supplier_key, store_domain, vendor, price, available FROM vclean
+WHERE store_domain = '{PROBE_STORE}'""".replace("{PROBE_STORE}", PROBE_STORE)),
 }

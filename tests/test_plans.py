@@ -57,3 +57,9 @@ def test_window_group_limit_is_partial_before_shuffle(spark):
     df.write.format("noop").mode("overwrite").save()
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_landed_store_facet_prunes_partitions(spark):
+    df = VQ.q_landed_store_facet(spark, SF_SMALL)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(store_domain" in p and VQ.PROBE_STORE in p
