@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .stats import quantile
 
 FEATURES = ["price_numeric", "sales_numeric", "rating_numeric", "has_bestseller_badge"]
 LABEL = "is_attractive"
@@ -30,13 +31,15 @@ def attractiveness_points(sales: Column, rating: Column, badge: Column) -> Colum
 
 
 def preprocess(cleaned_b: DataFrame, threshold: int = fixed.ATTRACTIVENESS_SCORE_THRESHOLD,
-               flip_single_class: bool = False, order_key: str = "row_seq") -> DataFrame:
+               flip_single_class: bool = False, order_key: str = "row_seq",
+               accuracy: int | None = None) -> DataFrame:
     """M1: impute (P18), label (P17), drop incomplete rows.
 
     ``flip_single_class`` (M7) flips the label of the first row when only one
     class is present; it falsifies data, so it is off by default.
     """
-    med = cleaned_b.select(F.median("price_numeric").alias("mp"), F.median("rating_numeric").alias("mr"))
+    med = cleaned_b.select(quantile("price_numeric", 0.5, accuracy).alias("mp"),
+                           quantile("rating_numeric", 0.5, accuracy).alias("mr"))
     df = cleaned_b.withColumns({
         "price_numeric": F.coalesce(F.col("price_numeric"), med.select("mp").scalar()),
         "sales_numeric": F.coalesce(F.col("sales_numeric"), F.lit(0).cast("bigint")),

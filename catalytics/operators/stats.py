@@ -39,20 +39,34 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .groupBy(column).agg(F.count(F.lit(1)).alias("n")))
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+def quantile(x, p: float, accuracy: int | None = None):
+    """Interpolated quantile: exact by default; ``accuracy`` switches to bounded-memory
+    ``percentile_approx`` (relative rank error about 1 / accuracy).
+
+    The exact form keeps a value -> count map per task and merges them in one
+    final task, so its memory follows the number of distinct values: fine for
+    prices and ratings (bounded cents / tenths), not for free-form doubles at
+    very large scale - pass ``accuracy`` there.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    if accuracy is None:
+        return F.percentile(x, F.lit(p))
+    return F.percentile_approx(x, F.lit(p), F.lit(accuracy))
+
+
+def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, interpolated quartiles, max per column.
 
     One pass over the table; the result is one row per column (``stack``).
-    Exact ``percentile`` keeps a value-count map per column, which is bounded
-    by the number of distinct values; use ``approx_percentile`` beyond ~1e8.
+    Quartiles are exact unless ``accuracy`` is given (see ``quantile``).
     """
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, F.lit(0.25)).alias(f"{c}__p25"), F.percentile(x, F.lit(0.5)).alias(f"{c}__p50"),
-                 F.percentile(x, F.lit(0.75)).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
+                 quantile(x, 0.25, accuracy).alias(f"{c}__p25"), quantile(x, 0.5, accuracy).alias(f"{c}__p50"),
+                 quantile(x, 0.75, accuracy).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     parts = ", ".join(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parse
 from ..functions.display import fixed_point, thousands
+from . import stats
 
 ORDER = ["variant_id", "product_id", "supplier_key"]
 TIMESTAMP_COLUMNS = ["created_at", "updated_at", "published_at", "variant_created_at", "variant_updated_at"]
@@ -85,15 +86,15 @@ def availability_filter(df: DataFrame, available: bool | None = None) -> DataFra
 
 # --- aggregates -------------------------------------------------------------------
 
-def kpis(df: DataFrame) -> DataFrame:
+def kpis(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """A3 + A12: one row of variant KPIs.
 
     ``unavailable`` = rows - available, so a null availability counts as
-    unavailable; the median is exact.
+    unavailable; the median is exact unless ``accuracy`` is given.
     """
     # The exact median is its own aggregate: inside the distinct-count rewrite it would ride an
     # object-hash aggregate keyed by every distinct value, which falls back to sorting.
-    median = df.select(F.median("price")).scalar()
+    median = df.select(stats.quantile("price", 0.5, accuracy)).scalar()
     k = df.agg(
         F.count_distinct("product_id").alias("unique_products"),
         F.count(F.lit(1)).alias("variants"),
