@@ -9,4 +9,15 @@ Sub-packages:
 * ``streaming``  - incremental refresh of appended files
 """
 
+import sys as _sys
+
 __version__ = "0.1.0"
+
+# Functions that run inside Python workers (HTML parsing, number formatting) are
+# shipped with the task by value, so executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older pickler: rely on --py-files instead
+    pass
