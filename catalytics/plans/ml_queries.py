@@ -33,7 +33,8 @@ def q_preprocess_counts(spark, sf):
 
 
 def q_ml_split(spark, sf):
-    s = ml.stratified_split(labelled(spark, sf))
+    scratch_path(spark, "split")  # makes sure a checkpoint folder exists
+    s = ml.stratified_split(labelled(spark, sf).checkpoint())  # the split reads its input twice
     return s.groupBy(ml.LABEL, "part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -49,9 +50,8 @@ def _fit(spark, sf):
     """Split + fitted forest, trained once per session and input (the original caches it too)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
-        split = ml.stratified_split(labelled(spark, sf))
         scratch_path(spark, "fit")  # makes sure a checkpoint folder exists
-        split = split.checkpoint()
+        split = ml.stratified_split(labelled(spark, sf).checkpoint()).checkpoint()
         _FITTED[key] = (split, ml.train(split.where(F.col("part") == "train")))
     return _FITTED[key]
 
