@@ -101,16 +101,21 @@ def dashboard_bounds(df: DataFrame) -> dict[str, Column]:
 def filter_dashboard(df: DataFrame, price_lo=None, price_hi=None, rating_min=None) -> DataFrame:
     """F1 + F2: price in range with null passing; rating >= threshold with null as 0.
 
-    Unset bounds default to the data's min / max price and min rating (the
-    sliders' defaults), computed once as scalar subqueries.
+    Unset bounds default to the sliders' defaults: the data's min / max price
+    and min rating. A default price bound is the data's own extreme, which
+    every non-null price satisfies and null passes anyway, so it adds no
+    predicate (and no extra pass); only the rating threshold needs the data,
+    as one scalar subquery.
     """
-    b = dashboard_bounds(df) if None in (price_lo, price_hi, rating_min) else {}
-    lo = F.lit(price_lo) if price_lo is not None else b["price_lo"]
-    hi = F.lit(price_hi) if price_hi is not None else b["price_hi"]
-    rmin = F.lit(rating_min) if rating_min is not None else b["rating_lo"]
     p = F.col("price_numeric")
-    return df.where((F.coalesce(p, lo) >= lo) & (F.coalesce(p, hi) <= hi)
-                    & (F.coalesce(F.col("rating_numeric"), F.lit(0.0)) >= rmin))
+    cond = F.lit(True)
+    if price_lo is not None:
+        cond = cond & (F.coalesce(p, F.lit(price_lo)) >= F.lit(price_lo))
+    if price_hi is not None:
+        cond = cond & (F.coalesce(p, F.lit(price_hi)) <= F.lit(price_hi))
+    rmin = F.lit(rating_min) if rating_min is not None else \
+        df.select(F.coalesce(F.min("rating_numeric"), F.lit(0.0))).scalar()
+    return df.where(cond & (F.coalesce(F.col("rating_numeric"), F.lit(0.0)) >= rmin))
 
 
 def keyword_filter(df: DataFrame, keyword: str | None, column: str = "Title") -> DataFrame:
@@ -124,12 +129,14 @@ def filter_grid(df: DataFrame, price_lo: float = 0.0, price_hi: float | None = N
                 rating_min: float = 0.0) -> DataFrame:
     """price in range (null price dropped); rating >= minimum or null.
 
-    ``price_hi`` defaults to the maximum price (1000.0 when all are null).
+    ``price_hi`` defaults to the maximum price, which every non-null price
+    satisfies, so the default adds no predicate beyond dropping nulls.
     """
-    hi = F.lit(price_hi) if price_hi is not None else \
-        df.select(F.coalesce(F.max("Price_MAD"), F.lit(1000.0))).scalar()
     p, r = F.col("Price_MAD"), F.col("Rating")
-    return df.where((p >= F.lit(price_lo)) & (p <= hi) & (r.isNull() | (r >= F.lit(rating_min))))
+    cond = p.isNotNull() & (p >= F.lit(price_lo))
+    if price_hi is not None:
+        cond = cond & (p <= F.lit(price_hi))
+    return df.where(cond & (r.isNull() | (r >= F.lit(rating_min))))
 
 
 GRID_SORTS = {

@@ -65,18 +65,17 @@ def price_range_filter(df: DataFrame, lo: float | None = None, hi: float | None
     """price within [lo, hi]; null prices always dropped.
 
     Unset bounds default to the data's min / max (max + 1 when they are equal;
-    (0, 1) when every price is null).
+    (0, 1) when every price is null). A default bound is the data's own
+    extreme, which every non-null price satisfies, so it reduces to dropping
+    null prices - no extra pass over the data.
     """
-    if lo is None or hi is None:
-        b = df.select(F.min("price").alias("mn"), F.max("price").alias("mx"))
-        mn, mx = b.select("mn").scalar(), b.select("mx").scalar()
-        dlo = F.coalesce(mn, F.lit(0.0))
-        dhi = F.when(mx.isNull(), F.lit(1.0)).when(mn == mx, mx + 1.0).otherwise(mx)
-        lo_c = F.lit(lo) if lo is not None else dlo
-        hi_c = F.lit(hi) if hi is not None else dhi
-    else:
-        lo_c, hi_c = F.lit(lo), F.lit(hi)
-    return df.where((F.col("price") >= lo_c) & (F.col("price") <= hi_c))
+    p = F.col("price")
+    cond = p.isNotNull()
+    if lo is not None:
+        cond = cond & (p >= F.lit(lo))
+    if hi is not None:
+        cond = cond & (p <= F.lit(hi))
+    return df.where(cond)
 
 
 def availability_filter(df: DataFrame, available: bool | None = None) -> DataFrame:

@@ -74,10 +74,12 @@ def spread(df, min_partitions: int | None = None):
     untouched, so no shuffle is added there. Filters and column pruning are
     still pushed below the round-robin exchange.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = False):
