@@ -46,13 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     unset (tests, local runs) do we create a folder of our own and register
     it, so later ``checkpoint()`` calls land there too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="catalytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)  # DataFrame.checkpoint() writes here
     return base.rstrip("/")
 
 
