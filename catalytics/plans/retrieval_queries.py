@@ -40,7 +40,7 @@ def user_turns(spark, sf):
 def q_query_terms(spark, sf):
     t = user_turns(spark, sf).withColumn("terms", RT.query_terms("question"))
     return t.select("conv_id", "turn", F.array_join("terms", " ").alias("terms"),
-                    F.size("terms").alias("n_terms"))
+                    F.size("terms").cast("bigint").alias("n_terms"))
 
 
 def q_query_category(spark, sf):
