@@ -46,3 +46,16 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_model_based():
     no_sql = set(E.queries()) - set(E.oracle_sql())
     assert no_sql <= {"q_ml_metrics", "q_ml_predict", "q_ml_importance", "q_train_job"}
+
+
+_TYPES = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+          "BooleanType()": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_query_types_match_oracle(spark, duck, name):
+    spark_types = {f.name: _TYPES.get(str(f.dataType), str(f.dataType))
+                   for f in E.queries()[name](spark, SF_SMALL).schema.fields}
+    rel = duck.sql(E.oracle_sql()[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
