@@ -63,12 +63,33 @@ def class_balance(df: DataFrame) -> DataFrame:
     return df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
+def test_quota(counts: DataFrame, share: float = fixed.TEST_SHARE, label: str = LABEL) -> DataFrame:
+    """Test rows per class, allocated like a stratified train/test splitter.
+
+    ``n_test = ceil(share * n)``; the train part gets ``floor(n_train * n_c / n)``
+    per class plus one for each of the classes with the largest remainders
+    until ``n_train`` is reached (equal remainders: smaller label first); the
+    test part of a class is the rest. Works on the per-class counts only (one
+    row per class), so the windows here are over a handful of rows.
+    """
+    per = counts.groupBy(label).agg(F.sum("_c").alias("_n_c"))
+    everything = Window.partitionBy()
+    n = F.sum("_n_c").over(everything)
+    n_train = n - F.ceil(n * F.lit(share))
+    per = per.withColumns({"_cont": (F.col("_n_c") / n) * n_train})
+    per = per.withColumns({"_floor": F.floor("_cont"), "_rem": F.col("_cont") - F.floor("_cont")})
+    need = n_train - F.sum("_floor").over(everything)
+    order = Window.orderBy(F.desc("_rem"), F.col(label))
+    train_c = F.col("_floor") + F.when(F.row_number().over(order) <= need, 1).otherwise(0)
+    return per.select(label, (F.col("_n_c") - train_c).alias("_k"))
+
+
 def stratified_split(df: DataFrame, key: str = "row_seq", share: float = fixed.TEST_SHARE,
                      seed: int = fixed.SEED, label: str = LABEL, bucket_bits: int = 16) -> DataFrame:
     """M2: exact stratified split; adds ``part`` = 'test' | 'train'.
 
-    Per class, the test part is the ``ceil(share * n_class)`` rows with the
-    smallest ``(xxhash64(key, seed), key)``. Hash buckets (top ``bucket_bits``
+    Per class, the test part is the ``test_quota`` rows with the smallest
+    ``(xxhash64(key, seed), key)``. Hash buckets (top ``bucket_bits``
     bits) give per-class cumulative counts; only rows of the single boundary
     bucket of each class are ranked exactly.
     """
@@ -76,15 +97,14 @@ def stratified_split(df: DataFrame, key: str = "row_seq", share: float = fixed.T
     d = df.withColumns({"_h": h, "_b": F.shiftright(h, 64 - bucket_bits)})
     counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_cum", F.sum("_c").over(w)) \
-                .withColumn("_tot", F.sum("_c").over(Window.partitionBy(label)))
-    quota = F.ceil(F.col("_tot") * F.lit(share))
+    cum = counts.withColumn("_cum", F.sum("_c").over(w)).join(test_quota(counts, share, label), label)
+    quota = F.col("_k")
     boundary = (cum.where(F.col("_cum") >= quota)
                 .groupBy(label)
                 .agg(F.min_by(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_before"),
-                                       quota.alias("_k")), F.col("_b")).alias("_x"))
+                                       quota.alias("_kk")), F.col("_b")).alias("_x"))
                 .select(label, F.col("_x._b").alias("_bb"), F.col("_x._before").alias("_before"),
-                        F.col("_x._k").alias("_k")))
+                        F.col("_x._kk").alias("_k")))
     # one row per class: a proven size bound for a broadcast
     j = d.join(F.broadcast(boundary), on=label, how="left")
     edge = j.where(F.col("_b") == F.col("_bb"))

@@ -124,9 +124,15 @@ SELECT row_seq, price_numeric, sales_numeric, rating_numeric, has_bestseller_bad
     "q_preprocess_counts": S.with_ctes(LABELS, """
 SELECT (SELECT count(*) FROM listings_raw) AS n_raw, count(*) AS n_processed FROM labelled"""),
     "q_ml_split": S.with_ctes(LABELS, """
-, c AS (SELECT is_attractive, count(*) AS n, CAST(ceil(count(*) * 0.25) AS BIGINT) AS k FROM labelled GROUP BY 1)
-SELECT is_attractive, 'test' AS part, k AS n FROM c
-UNION ALL SELECT is_attractive, 'train' AS part, n - k AS n FROM c WHERE n - k > 0"""),
+, c AS (SELECT is_attractive, count(*) AS n_c FROM labelled GROUP BY 1),
+t AS (SELECT *, sum(n_c) OVER () AS n, sum(n_c) OVER () - CAST(ceil(sum(n_c) OVER () * 0.25) AS BIGINT) AS n_train
+      FROM c),
+a AS (SELECT *, (CAST(n_c AS DOUBLE) / n) * n_train AS cont FROM t),
+f AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM a),
+g AS (SELECT *, n_train - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, is_attractive) AS r FROM f),
+q AS (SELECT is_attractive, n_c, CAST(fl + CASE WHEN r <= need THEN 1 ELSE 0 END AS BIGINT) AS tr FROM g)
+SELECT is_attractive, 'test' AS part, n_c - tr AS n FROM q WHERE n_c - tr > 0
+UNION ALL SELECT is_attractive, 'train' AS part, tr AS n FROM q WHERE tr > 0"""),
     "q_single_class_flip": S.with_ctes(LABELS, """
 , one AS (SELECT row_seq, CAST(attractiveness_score >= 100 AS INTEGER) AS y FROM labelled),
 s AS (SELECT count(DISTINCT y) AS k, count(*) AS n, min(row_seq) AS first FROM one)
