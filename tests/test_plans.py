@@ -63,3 +63,15 @@ def test_landed_store_facet_prunes_partitions(spark):
     df = VQ.q_landed_store_facet(spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(store_domain" in p and VQ.PROBE_STORE in p
+
+
+def test_topk_is_prefix_of_full_sort(spark):
+    from pyspark.sql import functions as F
+    top = [r.row_seq for r in LQ.q_topk_score(spark, SF_SMALL).orderBy(F.desc("score"), "row_seq").collect()]
+    full = [r.row_seq for r in LQ.filtered_a(spark, SF_SMALL).orderBy(F.desc("score"), "row_seq").collect()]
+    assert top == full[:10]
+
+
+def test_variant_kpis_add_up(spark):
+    k = VQ.q_variant_kpis(spark, SF_SMALL).collect()[0]
+    assert k.available_variants + k.unavailable_variants == k.variants
