@@ -87,17 +87,6 @@ def with_score(df: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     return df.withColumn("score", score)
 
 
-def dashboard_bounds(df: DataFrame) -> dict[str, Column]:
-    """A13 (dashboard): slider defaults as scalar subqueries over the cleaned table."""
-    agg = df.select(
-        F.coalesce(F.min("price_numeric"), F.lit(0.0)).alias("price_lo"),
-        F.coalesce(F.max("price_numeric"), F.lit(1000.0)).alias("price_hi"),
-        F.coalesce(F.min("rating_numeric"), F.lit(0.0)).alias("rating_lo"),
-        F.coalesce(F.max("rating_numeric"), F.lit(5.0)).alias("rating_hi"),
-    )
-    return {c: agg.select(c).scalar() for c in agg.columns}
-
-
 def filter_dashboard(df: DataFrame, price_lo=None, price_hi=None, rating_min=None) -> DataFrame:
     """F1 + F2: price in range with null passing; rating >= threshold with null as 0.
 

@@ -64,10 +64,6 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LISTING_TEXT_COLUMNS = ["page_number", "url", "name", "price", "original_price", "discount_percentage",
-                        "rating", "sales_info", "image_url", "additional_badges"]
-
-
 def variants_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one output row per line item with ~20 string expressions: spread the scan first
     li = read_table(spark, sf_dir, "lineitem", rebalance=True).select(
