@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,15 +43,17 @@ def build_session(master: str | None = None, app: str = "catalytics",
 def shared_dir(spark: SparkSession) -> str:
     """Base folder for intermediate tables, read from ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared file system. Only when it is
-    unset (tests, local runs) do we create a folder of our own and register
-    it, so later ``checkpoint()`` calls land there too.
+    On a cluster that setting names a folder which the driver and all executors
+    share; without it there is nowhere safe to write, so the call raises. Only
+    a local session, where driver and executors are one process, gets a
+    temporary folder of its own.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="catalytics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)  # DataFrame.checkpoint() writes here
     return base.rstrip("/")
