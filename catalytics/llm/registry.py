@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, mixing, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_repair_tokens": token_store.op4_repair_tokens,
+    "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op7_qda_quality": quality.op7_qda_quality,
+    "op8_winnowing": decontaminate.op8_winnowing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_winnowing": decontaminate.ORACLE_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
