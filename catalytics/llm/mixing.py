@@ -2,7 +2,7 @@
 
 A source's target over its size says how often the mix should take each of its
 documents: a whole number of copies and a fractional one. The fractions are made
-whole in pairs: words move at random from one document of a pair to the other
+whole in pairs: words move at random from one side of a pair to the other
 until one of the two is whole, so that the expected copies of each document and
 the words of the pair stay as they were. Blocks of at most about ``BLOCK``
 documents of a source are rounded independently and leave one fractional
@@ -64,6 +64,35 @@ def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     return rows.select("name", "source_size", "rows", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def pivot_block(size: np.ndarray, share: float, draws: np.ndarray) -> np.ndarray:
+    """Round documents of one common share, largest first, each paired with all that are left.
+
+    Words move between the document and the rest, whose shares stay equal, until
+    the document is whole (or the rest is, which ends the block). Expectations
+    are kept as in ``pivot``, and it is the smallest document that stays fractional
+    at the end, not a long one that many short ones fail to settle.
+    """
+    out = np.zeros(len(size))
+    rest = np.concatenate([np.cumsum(size[::-1])[::-1][1:], [0.0]])
+    for i in range(len(size)):
+        if rest[i] == 0.0:
+            out[i] = share
+            break
+        ratio = rest[i] / size[i]
+        up = min(1.0 - share, share * ratio)
+        down = min(share, (1.0 - share) * ratio)
+        gain = up if draws[i] * (up + down) < down else -down
+        out[i], share = _whole(share + gain), _whole(share - gain / ratio)
+        if share in (0.0, 1.0):
+            out[i + 1:] = share
+            break
+    return out
+
+
+def _whole(share: float) -> float:
+    return 0.0 if share < 1e-9 else 1.0 if share > 1 - 1e-9 else share
+
+
 def pivot(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Round shares in (0, 1) pairwise, keeping ``sum(size * share)``; at most one stays fractional."""
     share = share.copy()
@@ -81,8 +110,7 @@ def pivot(size: np.ndarray, share: np.ndarray, draws: np.ndarray) -> np.ndarray:
         gain = up if draws[i] * (up + down) < down else -down
         share[a] += gain
         share[b] -= gain / ratio
-        for x in (a, b):
-            share[x] = 0.0 if share[x] < 1e-9 else 1.0 if share[x] > 1 - 1e-9 else share[x]
+        share[a], share[b] = _whole(share[a]), _whole(share[b])
         open_at = a if 0.0 < share[a] < 1.0 else b if 0.0 < share[b] < 1.0 else -1
     return share
 
@@ -93,7 +121,8 @@ def _round_block(seed: int, level: int, last: bool):
         name = rows["source"].iloc[0]
         key = zlib.crc32(b"\0" if name is None else b"\1" + name.encode())
         draws = np.random.default_rng([seed, level, int(rows["block"].iloc[0]), key]).random(len(rows) + 1)
-        share = pivot(rows["size"].to_numpy(float), rows["share"].to_numpy(float), draws)
+        size, share = rows["size"].to_numpy(float), rows["share"].to_numpy(float)
+        share = pivot_block(size, float(share[0]), draws) if level == 0 else pivot(size, share, draws)
         if last:  # what is left of a source: one document, decided by its share
             share = np.where((share > 0) & (share < 1), (draws[-1] < share).astype(float), share)
         rows["copies"] += (share == 1.0).astype(np.int64)
