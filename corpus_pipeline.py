@@ -1,10 +1,15 @@
-"""Training-data pipeline over ``documents``: classify, de-duplicate, decontaminate, mix, write token ids."""
+"""Training-data pipeline over ``documents``: classify, de-duplicate, decontaminate, mix, write token ids.
+
+Every stage takes what the one before kept, as a written table. All but the
+last return the columns of ``documents`` unchanged; the last returns the documents of
+the token store it wrote.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalytics.llm import quality
+from catalytics.llm import decontaminate, mixing, near_dup, quality, token_store
 from catalytics.llm.common import documents, landed, read_table
 
 ORACLE_SQL = None  # the classifier, the mix and the tokenizer are not SQL
@@ -15,8 +20,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each class of near-duplicates."""
+    return near_dup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of a benchmark item."""
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix of sources asks, up to three times."""
+    return mixing.repeat_rows(docs, mixing.mix(docs))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token ids and return the stored documents: doc_id, start, n_tokens, ids_crc32."""
+    return token_store.encode_and_read(docs)
+
+
 STAGES = [
     ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+    ("token ids", token_stage),
 ]
 
 
