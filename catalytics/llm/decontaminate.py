@@ -7,9 +7,9 @@ holds a fingerprint at the same place in both. Documents and benchmark items
 meet on fingerprints, and every meeting is extended word by word, so that hits
 are exact. Items shorter than a window are one window of their own length.
 
-The corpus is read once. A bitmap of the benchmark's fingerprints, at most
-``2**MAX_BITS`` bits whatever the benchmark's size, drops nearly all document
-fingerprints before the shuffle; a fuller bitmap only lets more of them through.
+The corpus is read once. A bitmap of the benchmark's fingerprints, of bounded size
+whatever the benchmark's, drops nearly all document fingerprints before the shuffle;
+a fuller bitmap only lets more of them through.
 
 Defined cases: null or empty texts have no words, and items without words have
 no windows. Items with a null id make words hit but stand in no list; repeated
@@ -24,12 +24,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import kernels as K
+from . import kernels as K, prefilter
 from .common import documents, landed, per_batch, read_table, same_row, texts
 
 WINDOW = 10
 GRAM = 5  # k; the winnowing window is WINDOW - GRAM + 1 grams
-MAX_BITS = 28
 SALTS = 16
 
 PRINT = pa.struct([("hash", pa.int64()), ("kind", pa.int32()), ("pos", pa.int32()), ("left", pa.int32()), ("context", pa.string())])
@@ -103,28 +102,12 @@ def item_prints(items: DataFrame, id_col: str = "item_id", text_col: str = "text
             .select("item_id", "p.hash", "p.kind", "p.left", "p.context").distinct())
 
 
-def bitmap(prints: DataFrame) -> np.ndarray:
-    """Packed bitmap of the hashes' low bits: 32 bits a fingerprint, 2**MAX_BITS at most, made on the executors."""
-    bits = int(min(MAX_BITS, max(20, 5 + int(np.ceil(np.log2(prints.count() + 1))))))
-    slot = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    rows = (prints.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("at"))
-            .groupBy("b").agg(F.bitmap_construct_agg("at").alias("bits")).collect())  # 2**MAX_BITS bits at most
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["b"] - 1) * 4096
-        out[at:at + len(piece)] = piece[:len(out) - at]
-    return out
-
-
 def document_prints(docs: DataFrame, kinds: list[int], packed: np.ndarray) -> DataFrame:
     """``doc_id, tkey, n_words`` of every document, with those fingerprints that the bitmap lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def passes(kind, length, h):
-        table = shared.value
-        slot = h & np.uint64(len(table) * 8 - 1)
-        return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return prefilter.passes(shared.value, h)
 
     return per_batch(lambda b: _prints(b, lambda first: kinds, passes), f"doc_id long, tkey long, n_words long, prints {PRINT_SQL}")(
         texts(docs).select("doc_id", "tkey", "text"))
@@ -180,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (and tkey)."""
     items = landed(item_prints(benchmark), "benchmark-prints")
     kinds = sorted(r["kind"] for r in items.select("kind").distinct().collect())  # WINDOW rows at most
-    prints = landed(document_prints(docs, kinds, bitmap(items)), "document-prints")
+    prints = landed(document_prints(docs, kinds, prefilter.bitmap(items)), "document-prints")
     found = (hits(prints, items).groupBy("doc_id", "tkey")
              .agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.collect_set("item_id").alias("ids"))
              .select("doc_id", "tkey", _covered("spans").alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
