@@ -44,6 +44,17 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["tkey"].eqNullSafe(b["tkey"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def attach(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text, spans)`` of documents that may have a row in ``lists`` (doc_id, tkey, spans), and
+    ``(doc_id, text, tkey)`` of the rest, which no shuffle sees."""
+    from . import prefilter
+
+    lists = landed(lists, "spans")
+    some, none = prefilter.split(texts(docs), "tkey", prefilter.bitmap(lists, "tkey"))
+    joined = some.join(lists, same_row(some, lists), "left")
+    return joined.select(some["doc_id"], "text", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans")), none
+
+
 def per_batch(function: Callable, schema: str) -> Callable[[DataFrame], DataFrame]:
     """``df -> df.mapInArrow`` of ``function(batch) -> iterable of batches`` with ``schema``."""
     def run(batches: Iterator):

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dup, quality, suffix_dedup, token_store
+from . import cover_dedup, decontaminate, mixing, near_dup, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dup.op1_dart_minhash,
     "op2_column_suffix_dedup": suffix_dedup.op2_column_suffix_dedup,
+    "op3_cover_dedup": cover_dedup.op3_cover_dedup,
     "op4_repair_tokens": token_store.op4_repair_tokens,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op7_qda_quality": quality.op7_qda_quality,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_cover_dedup": cover_dedup.ORACLE_SQL,
     "op8_winnowing": decontaminate.ORACLE_SQL,
 }
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K, prefilter
-from .common import documents, landed, per_batch, same_row, texts
+from .common import attach, documents, landed, per_batch, same_row, texts
 
 LENGTH = 400
 GRAM = 100
@@ -259,11 +259,8 @@ def _remove(batch: pa.RecordBatch):
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with their list of spans, and those that have none; only the former are shuffled."""
-    lists = landed(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    some, none = prefilter.split(texts(docs), "tkey", prefilter.bitmap(lists, "tkey"))
-    joined = some.join(lists, same_row(some, lists), "left")
-    return joined.select(some["doc_id"], "text", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans")), none
+    """Documents with their list of spans, and those that have none."""
+    return attach(docs, spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
