@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of piece digests. DataFrame and SQL functions only.
 
-A text is the set of its piece digests: paragraphs (lines), cut further at sentence ends so
-that an edit within a paragraph leaves the rest of it recognisable. A sketch has
+A text is the set of its piece digests: paragraphs (lines), cut further at those sentence ends that
+follow a letter from a to g, so that an edit within a long paragraph leaves the rest of it
+recognisable. A sketch has
 three subtables of s cells; a digest is added to one cell of each: count, xor of digests, xor of
 check values. Subtracting two sketches cancels what both hold, and peeling
 (cells that hold one digest give it away, which frees further cells) recovers the differing
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import documents, landed, texts
 
 BASE = 5
-GROUP = 24
+GROUP = 12
 ATTEMPTS = 6
-ROUNDS = 40
-PIECE = r"\n|(?<=[.!?]) "
+ROUNDS = 16
+PIECE = r"\n|(?<=[a-g][.!?]) "
 
 _CHECK = "shiftrightunsigned(xxhash64({0}, 1), 32)"
 
@@ -53,8 +54,8 @@ def _difference(a: str, b: str, s: str, turn: str) -> str:
                   "(p, q) -> named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'h', p.h ^ q.h))")
     pure = (f"array_distinct(transform(filter(st.t, c -> abs(c.n) = 1 and c.h = {_CHECK.format('c.k')}), "
             f"c -> named_struct('k', c.k, 'n', c.n, 'h', c.h, {_slots('c.k', s, turn)})))")
-    taken = ("transform(st.t, (c, i) -> aggregate(filter(p, q -> q.c0 = i or q.c1 = i or q.c2 = i), c, "
-             "(a, q) -> named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'h', a.h ^ q.h)))")
+    taken = ("transform(st.t, (c, i) -> if(c.n = 0 and c.k = 0, c, aggregate(filter(p, q -> q.c0 = i or q.c1 = i or q.c2 = i), c, "
+             "(a, q) -> named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'h', a.h ^ q.h))))")
     step = f"transform(array({pure}), p -> named_struct('t', {taken}, 'found', st.found + size(p), 'live', size(p) > 0))[0]"
     start = f"named_struct('t', {subtracted}, 'found', 0, 'live', true)"
     left_over = "exists(st.t, c -> c.n <> 0 or c.k <> 0 or c.h <> 0)"
@@ -62,8 +63,8 @@ def _difference(a: str, b: str, s: str, turn: str) -> str:
 
 
 def _recovered(a: str, b: str) -> str:
-    """SQL for the number of differing digests: the fingerprints' size first, then larger sketches while peeling fails."""
-    size = f"if(at = 0, {BASE}, (div_up + 4) * cast(pow(2, at - 1) as int))".replace("div_up", f"((size({a}) + size({b}) + 1) div 2)")
+    """SQL for the number of differing digests: the fingerprint's size first, or what half the digests need, then doubled while peeling fails."""
+    size = f"greatest({BASE}, (size({a}) + size({b})) div 4 + 3) * shiftleft(1, at)"
     attempt = f"transform(array({size}), s -> {_difference(a, b, 's', 'at')})[0]"
     tries = f"aggregate(sequence(0, {ATTEMPTS}), cast(null as int), (done, at) -> if(done is null, {attempt}, done))"
     return f"coalesce({tries}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
