@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_dedup, decontaminate, fingerprints, mixing, near_dup, quality, suffix_dedup, token_store
+from . import cover_dedup, decontaminate, fingerprints, html_text, mixing, near_dup, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dup.op1_dart_minhash,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_qda_quality": quality.op7_qda_quality,
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_iblt_fingerprints": fingerprints.op9_iblt_fingerprints,
+    "op10_tag_path_text": html_text.op10_tag_path_text,
 }
 
 ORACLE: dict[str, str] = {
