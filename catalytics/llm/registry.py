@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_dedup, decontaminate, fingerprints, html_text, mixing, near_dup, quality, suffix_dedup, token_store
+from . import cover_dedup, decontaminate, fingerprints, html_text, lm_score, mixing, near_dup, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dup.op1_dart_minhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cover_dedup": cover_dedup.op3_cover_dedup,
     "op4_repair_tokens": token_store.op4_repair_tokens,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
+    "op6_cross_entropy_difference": lm_score.op6_cross_entropy_difference,
     "op7_qda_quality": quality.op7_qda_quality,
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_iblt_fingerprints": fingerprints.op9_iblt_fingerprints,
