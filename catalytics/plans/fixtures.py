@@ -233,13 +233,17 @@ def cards_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         opt("discount_percentage", '<span class="jr_kt">', "</span>"),
         opt("rating", '<span class="jr_kf">', "</span>"), sales, badges, F.lit("</div>"))
     card = F.when(k % 50 == 7, F.concat(F.lit('<div class="wrap">'), card, F.lit("</div>"))).otherwise(card)
+    # decoys: other orders of the class attribute, further classes, and text in a long unclosed nesting
+    card = F.when(k % 50 == 3, F.concat(card, F.lit('<div class="search-item-card-wrapper-gallery hm_bu"><h3 class="jr_kp">no</h3></div>'),
+                                        F.lit('<div class="hm_bu search-item-card-wrapper-gallery sold"><h3 class="jr_kp">no</h3></div>'))).otherwise(card)
     # a page holds at most CARDS_PER_PAGE cards: a bounded group
     pages = lr.groupBy("page_number").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_seq", card.alias("c")))),
                                  lambda s: s["c"]), "").alias("cards"))
     body = F.when(F.col("page_number") % 7 == 0, F.concat(F.lit('<div id="results">'), F.col("cards"), F.lit("</div>"))) \
         .otherwise(F.concat(F.lit('<div id="card-list">'), F.col("cards"), F.lit("</div>")))
-    return pages.select("page_number", F.concat(F.lit("<html><body><h1>Top</h1>"), body,
+    deep = F.when(F.col("page_number") % 3 == 0, F.repeat(F.lit("<div><i>"), 3000)).otherwise(F.lit(""))
+    return pages.select("page_number", F.concat(F.lit("<html><body><h1>Top</h1>"), body, deep,
                                                 F.lit("</body></html>")).alias("html"))
 
 
@@ -250,8 +254,7 @@ def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     count; some carry the review count only in the fallback block; pages with
     ``p_partkey % 41 == 0`` have no title heading at all.
     """
-    p = read_table(spark, sf_dir, "part", rebalance=True).select("p_partkey", "p_name", "p_brand", "p_type",
-                                                                  "p_size", "p_retailprice")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     k = F.col("p_partkey")
     url = F.concat(F.lit("https://retail.example.com/p/"), k.cast("string"))
     alt = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<span class="ProductName-alt"> '),
@@ -262,7 +265,8 @@ def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     price_txt = F.concat(F.lit("$"), F.expr("CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS STRING)"))
     tax = F.when(k % 4 == 0, F.lit("")).otherwise(F.lit('<span class="ProductPrice-taxLabel">incl. VAT</span>'))
     price = F.concat(F.lit('<div class="ProductDetails-form__price"><div class="ProductPrice">'
-                           '<span class="ProductPrice-price">'), price_txt, F.lit("</span>"), tax,
+                           '<span class="was">$0</span><span class="big '), F.when(k % 2 == 0, F.lit("ProductPrice-price--sale"))
+                     .otherwise(F.lit("ProductPrice-finalPrice")), F.lit('">'), price_txt, F.lit("</span>"), tax,
                      F.lit("</div></div>"))
     rating = F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(
         F.lit('<div class="bv_avgRating_component_container notranslate">'),
@@ -271,7 +275,43 @@ def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(k % 6 == 1, F.concat(F.lit('<div class="ProductDetails-header-V2-metadata">'
                                                 '<div class="bv_numReviews_text">('), k.cast("string"),
                                           F.lit(")</div></div>")))
+               .when(k % 12 == 2, F.concat(F.lit('<div class="ProductDetails-header-V2-metadata"><b class="bv_numReviews_text">('),
+                                           (k * 7).cast("string"), F.lit(")</b></div>"),  # first in the page
+                                           F.lit('<button class="bv_main_container_row_flex"><div class="bv_numReviews_text">('),
+                                           (k * 3).cast("string"), F.lit(")</div></button>")))
                .otherwise(F.concat(F.lit('<button class="bv_main_container_row_flex"><div class="bv_numReviews_text">('),
                                    (k * 3).cast("string"), F.lit(")</div></button>"))))
     html = F.concat(F.lit("<html><body>"), h1, price, rating, reviews, F.lit("</body></html>"))
+    html = F.when(k % 47 != 0, html)  # pages that did not load
     return p.select(k.alias("part_key"), url.alias("url"), html.alias("html"))
+
+
+PRODUCTS_PER_PAGE = 40
+
+
+def product_list_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retail listing pages rendered from ``part``: one card per part, links in all forms of an address.
+
+    Parts with ``p_partkey % 13 == 0`` have no product link; those with
+    ``% 10 == 9`` have two cards; links outside cards and other links inside
+    them must not be taken.
+    """
+    p = read_table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    forms = ["href=\"/p/{0}\"", "HREF='../p/{0}'", "href=\"//cdn.example.com/p/{0}\"",
+             "href='https://other.example.com/p/{0}?a=1&amp;b=2'", "Href={0}.html", "href=\"?p={0}\""]
+    href = F.lit("")
+    for n, form in enumerate(forms):
+        href = F.when(k % len(forms) == n, F.replace(F.lit(form), F.lit("{0}"), text)).otherwise(href)
+    link = F.when(k % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("<a class='big ProductCard-link' "), href, F.lit(">x</a>")))
+    card = F.concat(F.lit('<li class="ProductCard new"><a href="/no">n</a>'), link, F.lit("</li>"))
+    card = F.when(k % 10 == 9, F.concat(card, card)).otherwise(card)
+    page = F.floor(k / PRODUCTS_PER_PAGE)
+    # a page holds at most PRODUCTS_PER_PAGE parts: a bounded group
+    pages = p.groupBy(page.alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, card.alias("c")))),
+                                                                          lambda s: s["c"]), "").alias("cards"))
+    head = F.lit("<html><body><a class='ProductCard-link' href='/outside'>o</a><ul class='ProductCardListing-grid'>")
+    return pages.select("page_id", F.concat(F.lit("https://retail.example.com/list/p"), F.col("page_id").cast("string"),
+                                            F.lit("/index.html?page=1")).alias("url"),
+                        F.concat(head, F.col("cards"), F.lit("</ul></body></html>")).alias("html"))

@@ -1,221 +1,220 @@
 """HTML pages -> tables.
 
-* Link lists (E13) are native Spark: ``regexp_extract_all`` + ``posexplode``,
-  resolution against the page URL with string expressions, first occurrence
-  per page by a partial/final ``min`` aggregate, then a per-page cap.
-* Card and detail extraction need a tolerant HTML parser (direct-children
-  rules, class selectors). Each page is independent, so the parse runs in
-  ``mapInPandas`` over Arrow batches of pages: a narrow map, no shuffle, and
-  a page that fails to parse still yields its marker record (no lost rows).
-  The parser is the standard library's ``html.parser`` feeding a minimal tree.
+A page is read into a flat list of elements and texts in document order (no
+recursion, so any nesting depth works); elements know where their subtree
+ends. What to take from a card or a detail page is a table of fields
+(``field, selector, rule``) that one evaluator walks. Each page is independent:
+the parse runs in ``mapInPandas`` over Arrow batches, a narrow map, and one bad
+page never fails the job.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import fixed
-from ..session import spread
-
-# --- fixed values: page structure of the two sources ----------------------------------
-CARD_CONTAINER_ID = "card-list"
-CARD_CLASS = "hm_bu search-item-card-wrapper-gallery"
-CARD_FIELDS = {
-    "link": ("a", "jr_g"), "name": ("h3", "jr_kp"), "price": ("div", "jr_kr"),
-    "original_price": ("div", "jr_ks"), "discount": ("span", "jr_kt"), "rating": ("span", "jr_kf"),
-    "sales": ("span", "jr_j7"), "image": ("img", "mm_be"),
-}
-BADGE_SPANS = "div.jr_ae > span.jr_ae"
-BADGE_BLOCK = ("div", "jr_k2")
-BADGE_IMAGE = ("img", "ms_mv")
-BADGE_LABEL = ("span", "ms_mu")
-DETAIL_PRICE = "div.ProductDetails-form__price div.ProductPrice"
-DETAIL_RATING = "div.bv_avgRating_component_container.notranslate"
-DETAIL_REVIEWS = "button.bv_main_container_row_flex div.bv_numReviews_text"
-DETAIL_REVIEWS_FALLBACK = ".ProductDetails-header-V2-metadata .bv_numReviews_text"
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+# --- a flat document ---------------------------------------------------------------------
 
-# --- a minimal document tree -------------------------------------------------------------
+class Document(HTMLParser):
+    """Elements and texts in document order: ``tags[i]`` is None for a text; ``ends[i]`` closes i's subtree."""
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.tags: list[str | None] = ["#root"]
+        self.values: list = [{}]  # attributes of an element, or the text
+        self.parents, self.ends = [-1], [0]
+        self._open, self._count = [0], Counter()
+        self.feed(html)
+        self.close()
+        for i in self._open:
+            self.ends[i] = len(self.tags)
+
+    def _add(self, tag, value):
+        self.tags.append(tag)
+        self.values.append(value)
+        self.parents.append(self._open[-1])
+        self.ends.append(len(self.tags))
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, dict(attrs), [], parent
+    def handle_starttag(self, tag, attrs):
+        self._add(tag, {k: v or "" for k, v in reversed(attrs)})
+        if tag not in fixed.VOID_ELEMENTS:
+            self._open.append(len(self.tags) - 1)
+            self._count[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self._add(tag, {k: v or "" for k, v in reversed(attrs)})
 
-    @property
-    def classes(self) -> set[str]:
-        return set((self.attrs.get("class") or "").split())
+    def handle_endtag(self, tag):
+        while self._count[tag]:
+            i = self._open.pop()
+            self._count[self.tags[i]] -= 1
+            self.ends[i] = len(self.tags)
+            if self.tags[i] == tag:
+                return
 
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+    def handle_data(self, data):
+        self._add(None, data)
 
-    def strings(self):
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            else:
-                yield from c.strings()
+    def strings(self, i: int) -> list[str]:
+        return [self.values[j] for j in range(i, self.ends[i]) if self.tags[j] is None]
 
-    def descendants(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.descendants()
+    def text(self, i: int) -> str:
+        return "".join(self.strings(i)).strip()
 
-    def find_all(self, tag=None, cls=None, recursive=True):
-        it = self.descendants() if recursive else (c for c in self.children if isinstance(c, Node))
-        want = set(cls.split()) if cls else set()
-        return [n for n in it if (tag is None or n.tag == tag) and want <= n.classes]
+    def _fits(self, i: int, step: dict) -> bool:
+        if self.tags[i] is None or step["tag"] not in (None, self.tags[i]):
+            return False
+        own = self.values[i].get("class", "").split()
+        return (step["id"] in (None, self.values[i].get("id")) and step["classes"] <= set(own)
+                and (step["whole"] is None or " ".join(own) == step["whole"])
+                and (not step["parts"] or any(p in c for p in step["parts"] for c in own)))
 
-    def find(self, tag=None, cls=None):
-        found = self.find_all(tag, cls)
-        return found[0] if found else None
+    def _chain(self, i: int, steps: list[dict]) -> bool:
+        if not self._fits(i, steps[-1]):
+            return False
+        direct, i = steps[-1]["direct"], self.parents[i]
+        for step in reversed(steps[:-1]):
+            while i > 0 and not self._fits(i, step):
+                if direct:
+                    return False
+                i = self.parents[i]
+            if i <= 0:
+                return False
+            direct, i = step["direct"], self.parents[i]
+        return True
+
+    def find(self, selector: str, within: int = 0, first: bool = False) -> list[int]:
+        """Elements inside ``within`` that fit any of the comma-separated selectors, in document order.
+
+        Steps are ``tag#id.class``, ``[whole class attribute]`` or ``{part|part}`` (a class contains one of
+        them); ``>`` asks for a direct child, as the first sign of the element ``within`` itself.
+        """
+        choices = [_steps(s) for s in selector.split(",")]
+        out = []
+        for i in range(within + 1, self.ends[within]):
+            if self.tags[i] is None:
+                continue
+            if any((not top or self.parents[i] == within) and self._chain(i, steps) for top, steps in choices):
+                out.append(i)
+                if first:
+                    break
+        return out
+
+
+_TOKEN = re.compile(r">|(?:[^\s>\[{]|\[[^\]]*\]|{[^}]*})+")
+_STEP = re.compile(r"(?P<tag>[^#.\[{]*)(?:#(?P<id>[^.\[{]*))?(?P<classes>(?:\.[^.\[{]*)*)(?:\[(?P<whole>[^\]]*)\])?(?:{(?P<parts>[^}]*)})?")
+_PARSED: dict[str, tuple] = {}
+
+
+def _steps(selector: str) -> tuple[bool, list[dict]]:
+    if selector not in _PARSED:
+        tokens = _TOKEN.findall(selector)
+        top = tokens[0] == ">"
+        steps, direct = [], False
+        for token in tokens[top:]:
+            if token == ">":
+                direct = True
+                continue
+            m = _STEP.fullmatch(token)
+            steps.append({"tag": m["tag"] or None, "id": m["id"], "classes": set(filter(None, m["classes"].split("."))),
+                          "whole": m["whole"], "parts": m["parts"].split("|") if m["parts"] else [], "direct": direct})
+            direct = False
+        _PARSED[selector] = (top, steps)
+    return _PARSED[selector]
+
+
+# --- rules: what a field takes from the element that its selector found -------------------
+
+def _link(doc, at, attribute, base):
+    href = doc.values[at].get(attribute)
+    if href is None:
+        return None
+    return "https:" + href if href.startswith("//") else base + href if href.startswith("/") else href
+
+
+def _amount(doc, at, _, base):
+    """Currency and number from their spans (a fourth one, after a dot, holds decimals), else all text pieces."""
+    spans = [doc.text(i) for i in doc.find("span", at)]
+    if len(spans) < 2:
+        return " ".join(filter(None, map(str.strip, doc.strings(at)))).replace(" . ", ".")
+    cents = "." + spans[3] if len(spans) == 4 and spans[2] == "." else ""
+    return " ".join(spans[:2]) + cents
+
+
+def _badges(doc, at, selectors, base):
+    """Distinct badge texts in sorted order (the original's order is that of a set: undefined)."""
+    label, block, picture, caption = selectors
+    found = {doc.text(i) for i in doc.find(label, at)} - {""}
+    for i in doc.find(block, at):
+        titles = [doc.values[j].get("title") for j in doc.find(picture, i, first=True)]
+        if any(titles):
+            found.add(titles[0].strip())
+        else:
+            found.update("".join(map(str.strip, doc.strings(j))) for j in doc.find(caption, i, first=True))
+    return " | ".join(sorted(found)) if found else None
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root", [], None)
-        self.cur = self.root
+def _names(doc, at, form, base):
+    """Primary and alternative product name in the form of the source."""
+    own = [[doc.text(i) for i in doc.find(s, at, first=True)] for s in fixed.DETAIL_NAME_PARTS]
+    primary, other = ("".join(x) for x in own)
+    if form == "paren":
+        return (f"{primary} ({other})" if other else primary) or fixed.DETAIL_NO_NAME
+    return " ".join(filter(None, (primary, other))) or fixed.DETAIL_NO_NAME
 
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, attrs, self.cur)
-        self.cur.children.append(node)
-        if tag not in _VOID:
-            self.cur = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(Node(tag, attrs, self.cur))
+def _taxed(doc, at, selector, base):
+    """Price from the first span that fits (or the first of all) with the tax label."""
+    spans = doc.find(selector, at, first=True) or doc.find("span", at, first=True)
+    if not spans:
+        return None
+    price = doc.text(spans[0])
+    label = doc.find(fixed.DETAIL_TAX_LABEL, at, first=True)
+    return f"{price} ({doc.text(label[0])})" if label and price != fixed.SENTINEL else price
 
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
 
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-def _simple(sel: str):
-    tag, _, rest = sel.partition(".")
-    if "#" in tag:
-        tag, _, ident = tag.partition("#")
-    else:
-        ident = None
-    return (tag or None, ident, set(rest.split(".")) if rest else set())
-
-
-def _match(node: Node, simple) -> bool:
-    tag, ident, cls = simple
-    return (tag is None or node.tag == tag) and (ident is None or node.attrs.get("id") == ident) \
-        and cls <= node.classes
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """CSS subset: ``tag.cls#id``, descendant (blank) and child (``>``), ``,`` unions."""
-    groups = []
-    for g in selector.split(","):
-        toks = g.replace(">", " > ").split()
-        chain, rel = [], " "
-        for t in toks:
-            if t == ">":
-                rel = ">"
-            else:
-                chain.append((rel, _simple(t)))
-                rel = " "
-        groups.append(chain)
-
-    def ok(node, chain):
-        if not _match(node, chain[-1][1]):
-            return False
-        rel = chain[-1][0]
-        rest = chain[:-1]
-        if not rest:
-            return True
-        p = node.parent
-        if rel == ">":
-            return p is not None and p.tag != "#root" and ok(p, rest)
-        while p is not None and p.tag != "#root":
-            if ok(p, rest):
-                return True
-            p = p.parent
-        return False
+def _count(doc, at, must_hold, base):
+    text = doc.text(at)
+    return text.replace("(", "").replace(")", "") if must_hold in text.lower() else None
 
-    return [n for n in root.descendants() if any(ok(n, ch) for ch in groups)]
 
+RULES = {
+    "text": lambda doc, at, strip, base: doc.text(at).lstrip(strip) if strip else doc.text(at),
+    "link": _link, "amount": _amount, "badges": _badges, "names": _names, "taxed": _taxed, "count": _count,
+}
 
-# --- E2 / E4-E8: one card ------------------------------------------------------------------
 
-def _absolute(href, base):
-    if href is None:
-        return fixed.SENTINEL
-    if href.startswith("//"):
-        return "https:" + href
-    if href.startswith("/"):
-        return base + href
-    return href
-
-
-def card_record(card: Node, base: str) -> dict:
-    def field(name):
-        tag, cls = CARD_FIELDS[name]
-        return card.find(tag, cls)
-
-    def text_or_na(node):
-        return node.text().strip() if node is not None else fixed.SENTINEL
-
-    link, img = field("link"), field("image")
-    price_div = field("price")
-    if price_div is None:
-        price = fixed.SENTINEL
-    else:
-        spans = price_div.find_all("span")
-        if len(spans) >= 2:
-            dec = f".{spans[3].text().strip()}" if len(spans) == 4 and spans[2].text().strip() == "." else ""
-            price = f"{spans[0].text().strip()} {spans[1].text().strip()}{dec}"
-        else:
-            price = " ".join(s.strip() for s in price_div.strings() if s.strip()).replace(" . ", ".")
-    sales = field("sales")
-    badges = [t.text().strip() for t in select(card, BADGE_SPANS) if t.text().strip()]
-    for blk in card.find_all(*BADGE_BLOCK):
-        im, lab = blk.find(*BADGE_IMAGE), blk.find(*BADGE_LABEL)
-        if im is not None and im.attrs.get("title"):
-            badges.append(im.attrs["title"].strip())
-        elif lab is not None:
-            badges.append("".join(s.strip() for s in lab.strings()))
-    return {
-        "url": _absolute(link.attrs.get("href") if link is not None else None, base),
-        "name": text_or_na(field("name")),
-        "price": price,
-        "original_price": text_or_na(field("original_price")),
-        "discount_percentage": text_or_na(field("discount")),
-        "rating": text_or_na(field("rating")),
-        "sales_info": sales.text().strip().lstrip("+ ") if sales is not None else fixed.SENTINEL,
-        "image_url": _absolute(img.attrs.get("src") if img is not None else None, base),
-        # the original joins a set (no order); sorted here to be deterministic
-        "additional_badges": " | ".join(sorted(set(badges))) if badges else fixed.SENTINEL,
-    }
-
-
-CARD_SCHEMA = ("page_number int, position int, url string, name string, price string, original_price string, "
-               "discount_percentage string, rating string, sales_info string, image_url string, "
-               "additional_badges string")
+def take(doc: Document, at: int, table: list[tuple], base: str, record: dict) -> None:
+    """Fill ``record`` field by field: the first alternative whose selector and rule give a value, else its default."""
+    for field, default, alternatives in table:
+        value = None
+        for selector, rule, detail in alternatives:
+            found = [at] if selector == "" else doc.find(selector, at, first=True)
+            value = RULES[rule](doc, found[0], detail, base) if found else None
+            if value is not None:
+                break
+        record[field] = default if value is None else value
+
+
+def _document(html) -> Document | None:
+    try:
+        return Document(html)
+    except Exception:  # noqa: BLE001 - the parser gives up on some broken markup: no document
+        return None
+
+
+# --- E1-E8: cards of a result page ----------------------------------------------------------
+
+CARD_COLUMNS = [field for field, _, _ in fixed.CARD_TABLE]
+CARD_SCHEMA = "page_number int, position int, " + ", ".join(f"{c} string" for c in CARD_COLUMNS)
 
 
 def extract_cards(pages: DataFrame, base: str = fixed.MARKETPLACE_BASE, page_col: str = "page_number",
@@ -223,115 +222,85 @@ def extract_cards(pages: DataFrame, base: str = fixed.MARKETPLACE_BASE, page_col
     """S11 (E1-E8): one listing row per card that is a direct child of the container.
 
     ``position`` is the card's index on its page, so (page, position) is the
-    file order of the original CSV.
+    file order of the original CSV. Pages without a container, null pages and
+    pages beyond parsing give no rows.
     """
-    cols = ["url", "name", "price", "original_price", "discount_percentage", "rating", "sales_info",
-            "image_url", "additional_badges"]
-
     def run(batches):
         for pdf in batches:
             out = []
             for page, html in zip(pdf[page_col], pdf[html_col]):
-                root = parse(html)
-                container = next((n for n in root.descendants()
-                                  if n.tag == "div" and n.attrs.get("id") == CARD_CONTAINER_ID), None)
-                if container is None:
-                    continue
-                for i, card in enumerate(container.find_all("div", CARD_CLASS, recursive=False)):
-                    rec = card_record(card, base)
-                    out.append([int(page), i] + [rec[c] for c in cols])
-            yield pd.DataFrame(out, columns=["page_number", "position"] + cols)
+                doc = _document(html) if html is not None else None
+                container = doc.find(fixed.CARD_CONTAINER, first=True) if doc else []
+                for position, card in enumerate(doc.find(fixed.CARD, container[0]) if container else []):
+                    record: dict = {}
+                    take(doc, card, fixed.CARD_TABLE, base, record)
+                    out.append([int(page), position, *(record[c] for c in CARD_COLUMNS)])
+            yield pd.DataFrame(out, columns=["page_number", "position", *CARD_COLUMNS])
 
-    return spread(pages.select(page_col, html_col)).mapInPandas(run, CARD_SCHEMA)
+    return pages.select(page_col, html_col).mapInPandas(run, CARD_SCHEMA)
 
 
 # --- E9-E12: one retail detail page ---------------------------------------------------------
 
-def detail_record(root: Node, style: str = "joined") -> dict:
-    """``style='joined'`` -> "primary alt"; ``style='paren'`` -> "primary (alt)"."""
-    rec = {}
-    h1 = next((n for n in root.descendants() if n.tag == "h1" and n.attrs.get("id") == "pageTitle"), None)
-    if h1 is None:
-        rec["name"] = fixed.DETAIL_NO_H1
-    else:
-        prim, alt = h1.find("span", "ProductName-primary"), h1.find("span", "ProductName-alt")
-        p = prim.text().strip() if prim is not None else ""
-        a = alt.text().strip() if alt is not None else ""
-        if style == "paren":
-            name = f"{p} ({a})" if a else p
-        else:
-            name = " ".join(t for t in (p, a) if t)
-        rec["name"] = name or fixed.DETAIL_NO_NAME
-    cont = select(root, DETAIL_PRICE)
-    if cont:
-        spans = cont[0].find_all("span")
-        main = None
-        if style != "paren":
-            main = next((s for s in spans if {"ProductPrice-price", "ProductPrice-finalPrice"} & s.classes), None)
-        main = main or (spans[0] if spans else None)
-        price = main.text().strip() if main is not None else fixed.SENTINEL
-        vat = cont[0].find("span", "ProductPrice-taxLabel")
-        if vat is not None and price != fixed.SENTINEL:
-            price += f" ({vat.text().strip()})"
-        rec["price"] = price
-    else:
-        rec["price"] = fixed.SENTINEL
-    rt = select(root, DETAIL_RATING)
-    rec["rating"] = rt[0].text().strip() if rt else fixed.SENTINEL
-    rv = select(root, DETAIL_REVIEWS) or select(root, DETAIL_REVIEWS_FALLBACK)
-    if rv:
-        rec["reviews_count"] = rv[0].text().strip().replace("(", "").replace(")", "")
-    else:
-        lab = root.find("span", "bv-rating-label")
-        ok = lab is not None and "review" in lab.text().lower() and style != "paren"
-        rec["reviews_count"] = lab.text().strip().replace("(", "").replace(")", "") if ok else fixed.SENTINEL
-    return rec
-
-
-DETAIL_SCHEMA = "url string, name string, price string, rating string, reviews_count string"
+DETAIL_COLUMNS = ["name", "price", "rating", "reviews_count"]
+DETAIL_SCHEMA = "url string, " + ", ".join(f"{c} string" for c in DETAIL_COLUMNS)
 
 
 def extract_details(pages: DataFrame, style: str = "joined", url_col: str = "url",
                     html_col: str = "html") -> DataFrame:
-    """One record per page; a page that fails keeps a marker record."""
-    cols = ["name", "price", "rating", "reviews_count"]
+    """One record per page, in one of the two sources' forms.
+
+    ``joined`` -> "primary alt", ``paren`` -> "primary (alt)". A page that did not load (null) or fails
+    keeps the fields read before, and the form's marker as its name if there is none.
+    """
+    table, marker = fixed.DETAIL_TABLES[style], fixed.DETAIL_ERROR_NAMES[style]
 
     def run(batches):
         for pdf in batches:
             out = []
             for url, html in zip(pdf[url_col], pdf[html_col]):
+                record: dict = {}
                 try:
-                    rec = detail_record(parse(html), style)
+                    take(Document(html), 0, table, "", record)
                 except Exception:  # noqa: BLE001 - one bad page must not lose the record
-                    rec = {"name": fixed.DETAIL_ERROR_NAME, "price": fixed.SENTINEL,
-                           "rating": fixed.SENTINEL, "reviews_count": fixed.SENTINEL}
-                out.append([url] + [rec[c] for c in cols])
-            yield pd.DataFrame(out, columns=["url"] + cols)
-
-    return spread(pages.select(url_col, html_col)).mapInPandas(run, DETAIL_SCHEMA)
-
-
-# --- E13: link lists (native) ---------------------------------------------------------------
-
-def resolve(base: Column, href: Column) -> Column:
-    """URL join for absolute, protocol-relative, root-relative and relative links."""
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    directory = F.regexp_extract(base, r"^([^?#]*/)", 1)
-    return (F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-            .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(origin, href))
-            .otherwise(F.concat(directory, href)))
-
-
-def page_links(pages: DataFrame, cap: int | None = None, id_col: str = "page_id", url_col: str = "url",
-               html_col: str = "html") -> DataFrame:
-    """Each page's resolved links, first occurrence order, at most ``cap`` per page."""
-    raw = pages.select(id_col, url_col, F.posexplode(
-        F.regexp_extract_all(html_col, F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    links = raw.select(id_col, resolve(F.col(url_col), F.col("href")).alias("link"), "pos")
-    first = links.groupBy(id_col, "link").agg(F.min("pos").alias("first_pos"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("first_pos")))
-    if cap is not None:
-        ranked = ranked.where(F.col("rank") <= cap)
-    return ranked.select(id_col, "rank", "link")
+                    record.setdefault("name", marker)
+                out.append([url, *(record.get(c, fixed.SENTINEL) for c in DETAIL_COLUMNS)])
+            yield pd.DataFrame(out, columns=["url", *DETAIL_COLUMNS])
+
+    return pages.select(url_col, html_col).mapInPandas(run, DETAIL_SCHEMA)
+
+
+# --- E13: link lists --------------------------------------------------------------------------
+
+def page_links(pages: DataFrame, card: str | None = None, link: str = "a", cap: int | None = None, id_col: str = "page_id",
+               url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Each page's links, resolved against its address, distinct, in document order.
+
+    With ``card`` (e.g. ``fixed.PRODUCT_CARDS``) one link per card, the first that fits ``link``; without,
+    every link of the page. ``cap`` keeps the first so many of a page (the
+    original's limit is ``fixed.MAX_LINKS``; None, the default, keeps all).
+    """
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, url, html in zip(pdf[id_col], pdf[url_col], pdf[html_col]):
+                doc = _document(html) if html is not None else None
+                if doc is None:
+                    continue
+                if card is None:
+                    found = doc.find(link)
+                else:
+                    found = [i for c in doc.find(card) for i in doc.find(link, c, first=True)]
+                links = dict.fromkeys(_joined(url, doc.values[i]["href"]) for i in found if doc.values[i].get("href"))
+                out += [(key, n, value) for n, value in enumerate(list(links)[:cap], 1)]
+            yield pd.DataFrame(out, columns=[id_col, "rank", "link"])
+
+    kind = dict(pages.dtypes)[id_col]
+    return pages.select(id_col, url_col, html_col).mapInPandas(run, f"{id_col} {kind}, rank int, link string")
+
+
+def _joined(url, href):
+    try:
+        return urljoin(url or "", href)
+    except ValueError:  # not an address, e.g. an open bracket in its host
+        return href

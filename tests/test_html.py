@@ -42,4 +42,31 @@ def test_detail_styles_and_markers(spark):
     assert joined["u1"].name == "P A" and paren["u1"].name == "P (A)"
     assert joined["u1"].price == "$5 (VAT)" and paren["u1"].price == "x (VAT)"
     assert joined["u1"].reviews_count == "12 reviews" and paren["u1"].reviews_count == "N/A"
+    assert {r.name for r in H.extract_details(spark.createDataFrame([("u3", None)], "url string, html string")).collect()} == {"Error processing page"}
     assert joined["u2"].name == "N/A (pageTitle H1 not found)" and joined["u2"].price == "N/A"
+
+
+def test_card_class_is_the_whole_attribute(spark):
+    other = CARD.replace("hm_bu search-item-card-wrapper-gallery", "{cls}")
+    fill = dict(href="/p", name="x", price="MAD 1")
+    page = "".join(other.format(cls=c, **fill) for c in ("hm_bu  search-item-card-wrapper-gallery", "search-item-card-wrapper-gallery hm_bu",
+                                                        "hm_bu search-item-card-wrapper-gallery more"))
+    assert len(cards(spark, f"<div id='card-list'>{page}</div>")) == 1
+
+
+def test_reviews_take_document_order_and_price_a_class_part(spark):
+    page = ('<h1 id="pageTitle"></h1><div class="ProductDetails-header-V2-metadata"><p class="bv_numReviews_text">(7)</p></div>'
+            '<button class="bv_main_container_row_flex"><div class="bv_numReviews_text">(9)</div></button>'
+            '<div class="ProductDetails-form__price"><div class="ProductPrice"><span>x</span><span class="ProductPrice-price--sale">$5</span></div></div>')
+    df = spark.createDataFrame([("u", page)], "url string, html string")
+    (joined,), (paren,) = H.extract_details(df).collect(), H.extract_details(df, style="paren").collect()
+    assert joined.reviews_count == "7" and paren.reviews_count == "9"
+    assert joined.price == "$5" and paren.price == "x" and joined.name == "N/A (Name structure not found)"
+
+
+def test_deep_pages_and_links(spark):
+    page = "<div>" * 20000 + "<a HREF='../c?x=1&amp;y=2'>a</a><a href=/d data-href=/no>b</a><a href=\"?p=2\">c</a><a href='/d'>d</a><a>e</a>"
+    df = spark.createDataFrame([(1, "https://h.example/a/b/", page), (2, None, None)], "page_id long, url string, html string")
+    got = [(r["rank"], r["link"]) for r in H.page_links(df).orderBy("rank").collect()]
+    assert got == [(1, "https://h.example/a/c?x=1&y=2"), (2, "https://h.example/d"), (3, "https://h.example/a/b/?p=2")]
+    assert H.page_links(df, cap=2).count() == 2
