@@ -50,6 +50,10 @@ CATEGORY_PATTERN = r"(?:in|for|category|type)\s+([a-zA-Z\s\-]+)(?:\s|$)"
 UNKNOWN_LABEL = "Inconnu"
 ALL_LABEL = "Tous"
 
+# Display: rating mark and the picture shown without an image.
+STAR = "\u2b50"
+IMAGE_PLACEHOLDER = "https://via.placeholder.com/150?text=Image+N/A"
+
 # Availability labels.
 AVAILABLE_LABEL = "Disponible"
 UNAVAILABLE_LABEL = "Indisponible"
@@ -125,6 +129,18 @@ NO_HIT = ("No specific products matching your query were found in our dataset. P
           "check your spelling. I can still try to answer generally if appropriate.")
 CONTEXT_HEADER = "Here are some products from our dataset that seem relevant to your query:\n\n"
 
+SYSTEM_MESSAGE = """You are an intelligent eCommerce analytics assistant.
+Your goal is to help users make informed decisions by analyzing product trends, prices, availability, and other features based on the provided data.
+Respond as if you're talking to an eCommerce entrepreneur looking for guidance.
+
+ALWAYS use the provided product data snippets (if any) to answer the user's question.
+If the provided data is insufficient or no relevant products are found, clearly state that.
+Do NOT make up products or information not present in the provided snippets.
+Format output clearly using bullet points or concise paragraphs.
+Be helpful and conversational.
+If no products are found, still try to be helpful based on the query if possible, but clearly state data limitations.
+"""
+
 PROMPT_TEMPLATE = """
 Context from product data:
 {context}

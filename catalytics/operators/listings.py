@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, parse
 from ..functions.display import fixed_point, thousands
@@ -22,24 +23,43 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
+def _number(x: Column) -> Column:
+    """A numeric input column as it is; NaN is missing."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _whole(x: Column) -> Column:
+    return F.coalesce(_number(x).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _parsed(df: DataFrame, name: str, text_rule, number_rule) -> Column:
+    """``text_rule`` of a text column, ``number_rule`` of a numeric one (decided by the schema, when planning)."""
+    if name in df.columns and isinstance(df.schema[name].dataType, T.NumericType):
+        return number_rule(F.col(name))
+    return text_rule(_text(df, name))
+
+
 # --- cleaning dialects -------------------------------------------------------
 
 def clean_a(df: DataFrame) -> DataFrame:
     """Dashboard dialect (P1, P4, P6, P9; P10 when no discount column exists).
 
     Missing text columns are tolerated (S3): price / rating become null,
-    sales 0, discount 0.0 or derived from original and current price.
+    sales 0, discount 0.0 or derived from original and current price. Numeric
+    prices and ratings are taken as they are; sales and discounts are
+    only read from text, a number there counts as 0.
     """
     out = df.withColumns({
-        "price_numeric": parse.price_a(_text(df, "price")),
-        "rating_numeric": parse.rating_a(_text(df, "rating")),
-        "sales_numeric": parse.sales_a(_text(df, "sales_info")) if "sales_info" in df.columns
+        "price_numeric": _parsed(df, "price", parse.price_a, _number),
+        "rating_numeric": _parsed(df, "rating", parse.rating_a, _number),
+        "sales_numeric": _parsed(df, "sales_info", parse.sales_a, lambda x: F.lit(0).cast("bigint")) if "sales_info" in df.columns
         else F.lit(0).cast("bigint"),
     })
     if "discount_percentage" in df.columns:
-        return out.withColumn("discount_percentage_numeric", parse.discount("discount_percentage"))
+        return out.withColumn("discount_percentage_numeric", _parsed(df, "discount_percentage", parse.discount, lambda x: F.lit(0.0)))
     if "original_price" in df.columns:
-        out = out.withColumn("original_price_numeric", parse.price_a("original_price"))
+        out = out.withColumn("original_price_numeric", _parsed(df, "original_price", parse.price_a, _number))
         return out.withColumn("discount_percentage_numeric",
                               parse.derived_discount("original_price_numeric", "price_numeric"))
     return out.withColumn("discount_percentage_numeric", F.lit(0.0))
@@ -50,9 +70,9 @@ def clean_b(df: DataFrame, markers: list[str] | None = None) -> DataFrame:
     df = ensure_columns(df, {"price": "string", "sales_info": "string", "rating": "string",
                              "additional_badges": "string", "name": "string"})
     return df.withColumns({
-        "price_numeric": parse.price_b("price"),
-        "sales_numeric": parse.sales_b("sales_info"),
-        "rating_numeric": parse.rating_b("rating"),
+        "price_numeric": _parsed(df, "price", parse.price_b, _number),
+        "sales_numeric": _parsed(df, "sales_info", parse.sales_b, _whole),
+        "rating_numeric": _parsed(df, "rating", parse.rating_b, _number),
         "has_bestseller_badge": parse.badge_flag("additional_badges", markers),
     })
 
@@ -60,9 +80,9 @@ def clean_b(df: DataFrame, markers: list[str] | None = None) -> DataFrame:
 def clean_c(df: DataFrame) -> DataFrame:
     """Product-grid dialect on the positional columns."""
     return df.withColumns({
-        "Price_MAD": parse.price_c("Price_MAD"),
-        "Rating": parse.rating_b("Rating"),
-        "Sales_Num": parse.sales_c("Sales"),
+        "Price_MAD": _parsed(df, "Price_MAD", parse.price_c, _number),
+        "Rating": _parsed(df, "Rating", parse.rating_b, _number),
+        "Sales_Num": _parsed(df, "Sales", parse.sales_c, lambda x: F.abs(_number(x).cast("bigint"))),
         # the intended defaults (the original turns nulls into the text "nan")
         "Image_URL": F.coalesce(F.col("Image_URL"), F.lit("")),
         "Title": F.coalesce(F.col("Title"), F.lit("Titre non disponible")),
@@ -137,14 +157,19 @@ GRID_SORTS = {
 }
 
 
-def sort_grid(df: DataFrame, mode: str = "relevance") -> DataFrame:
-    """Five sort modes (nulls last), each ending in file order."""
+def grid_order(mode: str = "relevance") -> list[Column]:
+    """Sort keys of the five modes (nulls last), each ending in file order."""
     spec = GRID_SORTS[mode]
     keys = []
     if spec:
         c, d = spec
         keys.append(F.asc_nulls_last(c) if d == "asc" else F.desc_nulls_last(c))
-    return df.orderBy(*keys, F.col(ORDER_KEY))
+    return [*keys, F.col(ORDER_KEY)]
+
+
+def sort_grid(df: DataFrame, mode: str = "relevance") -> DataFrame:
+    """The table in one of the five sort modes."""
+    return df.orderBy(*grid_order(mode))
 
 
 # --- KPIs, rankings -------------------------------------------------------------
@@ -206,8 +231,7 @@ def display_a(df: DataFrame) -> DataFrame:
     """Dashboard card texts for a cleaned + scored listing table."""
     has_orig = "original_price_numeric" in df.columns
     p = F.col("price_numeric")
-    strike = (F.when(F.col("original_price_numeric").isNotNull()
-                     & (F.col("original_price_numeric") > F.coalesce(p, F.lit(0.0))),
+    strike = (F.when(F.col("original_price_numeric") > p,  # no comparison, no strike, without a current price
                      fixed_point(F.col("original_price_numeric"), 2, "~~MAD ", "~~")).otherwise(F.lit(""))
               if has_orig else F.lit(""))
     disc = F.col("discount_percentage_numeric")
@@ -217,7 +241,7 @@ def display_a(df: DataFrame) -> DataFrame:
         F.coalesce(fixed_point(p, 2, "MAD "), F.lit("N/D")).alias("price_display"),
         strike.alias("original_price_display"),
         disc_txt.alias("discount_display"),
-        F.coalesce(fixed_point(F.col("rating_numeric"), 1), F.lit("N/D")).alias("rating_display"),
+        F.coalesce(fixed_point(F.col("rating_numeric"), 1, "", " " + fixed.STAR), F.lit("N/D")).alias("rating_display"),
         F.coalesce(thousands(F.col("sales_numeric"), ","), F.lit("N/D")).alias("sales_display"),
         fixed_point(F.col("score"), 2).alias("score_display"),
         F.when(F.col("url").isNotNull() & (F.col("url") != fixed.SENTINEL), F.col("url")).alias("link"),
@@ -228,7 +252,7 @@ def display_a(df: DataFrame) -> DataFrame:
     )
 
 
-def display_c(df: DataFrame, placeholder: str = "https://via.placeholder.com/150?text=Image+N/A") -> DataFrame:
+def display_c(df: DataFrame, placeholder: str = fixed.IMAGE_PLACEHOLDER) -> DataFrame:
     """Product-grid card texts (P22, P26) for the positional dialect, blank thousands separator."""
     highlight = F.col("Highlight")
     return df.select(
@@ -249,7 +273,7 @@ def kpi_display_a(kpis: DataFrame) -> DataFrame:
         F.when(empty, F.lit("N/D")).otherwise(
             F.coalesce(fixed_point(F.col("avg_price"), 2, "MAD "), F.lit("N/D"))).alias("price_display"),
         F.when(empty, F.lit("N/D")).otherwise(
-            F.coalesce(fixed_point(F.col("avg_rating"), 2, "", " \u2b50"), F.lit("N/D"))).alias("rating_display"),
+            F.coalesce(fixed_point(F.col("avg_rating"), 2, "", " " + fixed.STAR), F.lit("N/D"))).alias("rating_display"),
         F.when(empty, F.lit("N/D")).otherwise(
             F.coalesce(fixed_point(F.col("total_sales"), 0, grouping=True), F.lit("N/D"))).alias("sales_display"),
     )
@@ -260,6 +284,6 @@ def kpi_display_c(kpis: DataFrame) -> DataFrame:
     return kpis.select(
         F.col("n_products").cast("string").alias("products_display"),
         F.coalesce(fixed_point(F.col("avg_price"), 2, "", " MAD"), F.lit("N/A")).alias("price_display"),
-        F.coalesce(fixed_point(F.col("avg_rating"), 1, "", " \u2b50"), F.lit("N/A")).alias("rating_display"),
+        F.coalesce(fixed_point(F.col("avg_rating"), 1, "", " " + fixed.STAR), F.lit("N/A")).alias("rating_display"),
         F.coalesce(F.concat(thousands(F.col("total_sales"), " "), F.lit(" ")), F.lit("N/A")).alias("sales_display"),
     )

@@ -1,7 +1,7 @@
 """Attractiveness classifier: label, split, train, evaluate, score (M1-M8).
 
 * Labels (P17) are built from native expressions; median imputation (P18)
-  uses exact medians as scalar subqueries.
+  uses exact, distributed medians as scalar subqueries.
 * The stratified split (M2) is exact and repeatable *and* distributed: rows
   are ordered per class by a seeded hash; the class's test quota is found
   from a per-(class, hash-bucket) count table (a few thousand rows), so no
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .stats import quantile
+from .stats import median
 
 FEATURES = ["price_numeric", "sales_numeric", "rating_numeric", "has_bestseller_badge"]
 LABEL = "is_attractive"
@@ -31,19 +31,16 @@ def attractiveness_points(sales: Column, rating: Column, badge: Column) -> Colum
 
 
 def preprocess(cleaned_b: DataFrame, threshold: int = fixed.ATTRACTIVENESS_SCORE_THRESHOLD,
-               flip_single_class: bool = False, order_key: str = "row_seq",
-               accuracy: int | None = None) -> DataFrame:
+               flip_single_class: bool = False, order_key: str = "row_seq") -> DataFrame:
     """M1: impute (P18), label (P17), drop incomplete rows.
 
     ``flip_single_class`` (M7) flips the label of the first row when only one
     class is present; it falsifies data, so it is off by default.
     """
-    med = cleaned_b.select(quantile("price_numeric", 0.5, accuracy).alias("mp"),
-                           quantile("rating_numeric", 0.5, accuracy).alias("mr"))
     df = cleaned_b.withColumns({
-        "price_numeric": F.coalesce(F.col("price_numeric"), med.select("mp").scalar()),
+        "price_numeric": F.coalesce(F.col("price_numeric"), median(cleaned_b, "price_numeric")),
         "sales_numeric": F.coalesce(F.col("sales_numeric"), F.lit(0).cast("bigint")),
-        "rating_numeric": F.coalesce(F.col("rating_numeric"), med.select("mr").scalar()),
+        "rating_numeric": F.coalesce(F.col("rating_numeric"), median(cleaned_b, "rating_numeric")),
     })
     pts = attractiveness_points(F.col("sales_numeric"), F.col("rating_numeric"), F.col("has_bestseller_badge"))
     df = df.withColumn("attractiveness_score", pts) \
@@ -63,6 +60,13 @@ def class_balance(df: DataFrame) -> DataFrame:
     return df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
+def require_classes(df: DataFrame, label: str = LABEL) -> None:
+    """Guard of A10 / M3: a model needs rows of two classes."""
+    found = df.select(label).distinct().limit(2).count()
+    if found < 2:
+        raise ValueError(f"the classifier needs rows of two classes, found {found}")
+
+
 def test_quota(counts: DataFrame, share: float = fixed.TEST_SHARE, label: str = LABEL) -> DataFrame:
     """Test rows per class, allocated like a stratified train/test splitter.
 
@@ -134,14 +138,17 @@ def assemble(df: DataFrame) -> DataFrame:
 
 
 def train(train_df: DataFrame, num_trees: int = fixed.NUM_TREES, seed: int = fixed.SEED,
-          max_depth: int = 10, key: str = "row_seq"):
+          max_depth: int = 10, key: str = "row_seq", partitions: int | None = None):
     """M3: random forest on the weighted, assembled training rows.
 
     Spark's forest depends on partitioning, so rows are hash-partitioned by
-    the key first: the same input gives the same model.
+    the key first (into the session's shuffle partitions, if not told otherwise): the same
+    input and number of partitions give the same model.
     """
     from pyspark.ml.classification import RandomForestClassifier
-    data = assemble(balanced_weights(train_df)).repartition(8, key)
+    require_classes(train_df)
+    partitions = partitions or int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = assemble(balanced_weights(train_df)).repartition(partitions, key)
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
                                 numTrees=num_trees, seed=seed, maxDepth=max_depth,
                                 # larger node batches: fewer passes over the data per tree level
@@ -154,7 +161,7 @@ def predict(model, df: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     out = model.transform(assemble(df))
     return out.withColumns({"prediction": F.col("prediction").cast("int"),
-                            "probability_1": vector_to_array("probability")[1]}) \
+                            "probability_1": F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))}) \
               .drop("features", "rawPrediction", "probability")
 
 

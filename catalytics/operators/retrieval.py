@@ -12,9 +12,10 @@ Exact and without pairing every question with every row:
 * the corpus vocabulary (distinct tokens) is matched to the distinct query
   words by an equi-join on the tokens' substrings, generated only for the
   lengths that query words have (``contains_pairs``);
-* token hits are joined back to (row, column, token) and to (question, word)
-  and summed per (question, row); a per-question ``row_number`` with a limit
-  becomes a partial ``WindowGroupLimit`` before the shuffle.
+* token hits are joined back to (row, column, token), dealt out by row once, and
+  scored there against the questions' words; a per-question ``row_number`` with a limit
+  becomes a partial ``WindowGroupLimit`` before the one shuffle by question, which carries at most
+  n rows per question and task.
 
 Category phrases (F8) are matched the same way against the distinct values
 of ``product_type``.
@@ -26,6 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse
+from ..session import materialise
+
+#: (question, word) pairs up to which they are sent to every task.
+BROADCAST_WORDS = 200_000
 
 # Python's ``\W`` on text: anything but a letter, a number or "_". Java's
 # ``(?U)\W`` would also keep combining marks and every connector punctuation.
@@ -96,32 +101,38 @@ def retrieve(corpus: DataFrame, questions: DataFrame, key: str = "row_seq", qid:
     words get the first ``n`` rows (of their category) with score 0.
     """
     cols = [c for c in (search_columns or fixed.SEARCH_COLUMNS) if c in corpus.columns]
+    has_type = "product_type" in corpus.columns  # without it the category filter is skipped
+    use_category = category is not None and has_type
     q = questions.select(F.col(qid).alias("qid"), query_terms(F.col(question)).alias("words"),
-                         (F.lower(F.col(category)) if category else F.lit(None).cast("string")).alias("cat"))
+                         (F.lower(F.col(category)) if use_category else F.lit(None).cast("string")).alias("cat"))
 
     # (question, word, multiplicity)
-    qw = (q.select("qid", F.explode("words").alias("word"))
-          .groupBy("qid", "word").agg(F.count(F.lit(1)).alias("mult")))
+    qw = materialise(q.select("qid", F.explode("words").alias("word"))
+                     .groupBy("qid", "word").agg(F.count(F.lit(1)).alias("mult")), "retrieve-words")
+    if qw.count() <= BROADCAST_WORDS:  # small enough to go to every task; otherwise a shuffled join
+        qw = F.broadcast(qw)
 
-    # word hits per corpus row: number of searched columns containing the word
-    toks = _tokens(corpus, key, cols)
+    # one pass over the corpus: its distinct (row, column, token); of those, the ones that hold a question's word
+    toks = materialise(_tokens(corpus, key, cols), "retrieve-tokens")
     match = contains_pairs(toks.select(F.col("token").alias("value")), qw.select(F.col("word").alias("needle")))
-    hits = (toks.join(match.withColumnRenamed("value", "token"), "token")
-            .select(key, "col", F.col("needle").alias("word")).distinct()
+    match = materialise(match.select(F.col("value").alias("token"), F.col("needle").alias("word")), "retrieve-match")
+    # from here on a corpus row's data stay in one task: hits per word, scores per question, and the
+    # best n per question of the task; only those are shuffled
+    hits = (toks.join(match, "token").select(key, "col", "word").repartition(F.col(key)).distinct()
             .groupBy(key, "word").agg(F.count(F.lit(1)).alias("hits")))
-    scored = (qw.join(hits, "word")
+    scored = (hits.join(qw, "word")
               .groupBy("qid", key).agg(F.sum(F.col("mult") * F.col("hits")).alias("score")))
+    cand = scored.where(F.col("score") > 0)  # F9
 
     # category filter (F8): lower(product_type) contains the phrase
-    has_type = "product_type" in corpus.columns
-    ptype = F.lower(F.coalesce(F.col("product_type"), F.lit(""))) if has_type else F.lit("")
+    ptype = F.lower(F.coalesce(F.col("product_type").cast("string"), F.lit(""))) if has_type else F.lit("")
     rows = corpus.select(F.col(key), ptype.alias("ptype"))
     cats = q.where(F.col("cat").isNotNull()).select(F.col("cat").alias("needle")).distinct()
     type_match = contains_pairs(rows.select(F.col("ptype").alias("value")), cats) \
         .select(F.col("value").alias("ptype"), F.col("needle").alias("cat"))
-    cand = scored.join(q.select("qid", "cat"), "qid").join(rows, key)
-    cand = cand.join(type_match, ["ptype", "cat"], "left_semi").unionByName(cand.where(F.col("cat").isNull()))
-    cand = cand.where(F.col("score") > 0)  # F9
+    if use_category:
+        cand = cand.join(q.select("qid", "cat"), "qid").join(rows, key)
+        cand = cand.join(type_match, ["ptype", "cat"], "left_semi").unionByName(cand.where(F.col("cat").isNull()))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.col(key))
     best = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("qid", "rank", key, F.col("score").cast("bigint").alias("score")))
@@ -135,6 +146,8 @@ def retrieve(corpus: DataFrame, questions: DataFrame, key: str = "row_seq", qid:
         "rank", F.row_number().over(Window.partitionBy("cat").orderBy(key))).where(F.col("rank") <= n) \
         .select("cat", "rank", key)
     fb_all = empty.where(F.col("cat").isNull()).join(first_all, "rank").select("qid", "rank", key)
+    if not use_category:
+        return best.unionByName(fb_all.withColumn("score", F.lit(0).cast("bigint")))
     fb_cat = empty.where(F.col("cat").isNotNull()).join(by_cat, ["cat", "rank"]).select("qid", "rank", key)
     fallback = fb_all.unionByName(fb_cat).withColumn("score", F.lit(0).cast("bigint"))
     return best.unionByName(fallback)
@@ -160,7 +173,7 @@ def context_lines(hits: DataFrame, corpus: DataFrame, key: str = "row_seq",
 
 def prompts(questions: DataFrame, contexts: DataFrame, qid: str = "qid", question: str = "question",
             category: str = "category") -> DataFrame:
-    """R2 fallback messages + R3 prompt per question: ``(qid, context, prompt)``."""
+    """R2 fallback messages + R3 messages per question: ``(qid, context, system, prompt)``."""
     no_hit = F.when(F.col(category).isNotNull(),
                     F.replace(F.lit(fixed.NO_HIT_WITH_CATEGORY), F.lit("{category}"), F.col(category))) \
         .otherwise(F.lit(fixed.NO_HIT))
@@ -169,7 +182,7 @@ def prompts(questions: DataFrame, contexts: DataFrame, qid: str = "qid", questio
     pre, mid = fixed.PROMPT_TEMPLATE.split("{context}")
     mid, post = mid.split("{question}")
     prompt = F.concat(F.lit(pre), ctx, F.lit(mid), F.col(question), F.lit(post))
-    return j.select(F.col(qid), ctx.alias("context"), prompt.alias("prompt"))
+    return j.select(F.col(qid), ctx.alias("context"), F.lit(fixed.SYSTEM_MESSAGE).alias("system"), prompt.alias("prompt"))
 
 
 def preview_prompts(table: DataFrame, questions: DataFrame, order_key: str = "row_seq",

@@ -6,9 +6,11 @@ hot value never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """A4: exactly ``bins`` equal-width bins over [min, max] of the non-null values.
@@ -39,42 +41,97 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .groupBy(column).agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantile(x, p: float, accuracy: int | None = None):
-    """Interpolated quantile: exact by default; ``accuracy`` switches to bounded-memory
-    ``percentile_approx`` (relative rank error about 1 / accuracy).
+QUANTILE_BUCKETS = 1 << 12
+
 
-    The exact form keeps a value -> count map per task and merges them in one
-    final task, so its memory follows the number of distinct values: fine for
-    prices and ratings (bounded cents / tenths), not for free-form doubles at
-    very large scale - pass ``accuracy`` there.
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """Exact interpolated quantiles: ``column, share, value`` (no row for a column without values).
+
+    Values are grouped with their counts; a column's range is cut into buckets on a
+    signed logarithmic scale, whose cumulative counts tell which bucket holds
+    a quantile's two neighbouring ranks; only those buckets are ordered. No
+    task sees all values and nothing passes through the driver.
     """
-    x = F.col(x) if isinstance(x, str) else x
-    if accuracy is None:
-        return F.percentile(x, F.lit(p))
-    return F.percentile_approx(x, F.lit(p), F.lit(accuracy))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
+    counts = (df.select(pairs).select("p.column", "p.v").where("v is not null and not isnan(v)")
+              .groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
+    scale = F.signum("v") * F.log1p(F.abs("v"))
+    # one row per column
+    spans = counts.groupBy("column").agg(F.min(scale).alias("lo"), F.max(scale).alias("hi"), F.sum("c").alias("n"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((scale - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BUCKETS)).otherwise(F.lit(0))
+    placed = counts.join(F.broadcast(spans), "column").select("column", "v", "c", place.cast("long").alias("b"))
+    in_column = Window.partitionBy("column").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (placed.groupBy("column", "b").agg(F.sum("c").alias("m"))  # QUANTILE_BUCKETS + 1 rows a column
+               .withColumn("before", F.coalesce(F.sum("m").over(in_column), F.lit(0))))
+    position = F.col("share") * (F.col("n") - 1)
+    wanted = (spans.select("column", "n", F.explode(F.array(*map(F.lit, shares))).alias("share"))
+              .select("column", "share", (position - F.floor(position)).alias("part"),
+                      F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(position).alias("k")),
+                                        F.struct(F.lit(1).alias("side"), F.ceil(position).alias("k")))).alias("r"))
+              .select("column", "share", "part", "r.side", "r.k"))
+    found = wanted.join(buckets, "column").where("before <= k and k < before + m")
+    # two ranks per column and share: a handful of rows
+    inside = placed.join(F.broadcast(found.select("column", "b").distinct()), ["column", "b"])
+    in_bucket = Window.partitionBy("column", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("skip", F.coalesce(F.sum("c").over(in_bucket), F.lit(0)))
+    met = found.join(inside.select("column", "b", "v", "c", "skip"), ["column", "b"]).where("before + skip <= k and k < before + skip + c")
+    low, high = (F.max(F.when(F.col("side") == n, F.col("v"))) for n in (0, 1))
+    return met.groupBy("column", "share", "part").agg(low.alias("low"), high.alias("high")).select(
+        "column", "share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
+
+
+def median(df: DataFrame, column: str):
+    """Exact median as a scalar subquery; null without values."""
+    return quantiles(df, [column], [0.5]).select("value").scalar()
 
 
 def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, interpolated quartiles, max per column.
 
-    One pass over the table; the result is one row per column (``stack``).
-    Quartiles are exact unless ``accuracy`` is given (see ``quantile``).
+    One pass for the moments; quartiles are exact (see ``quantiles``) unless ``accuracy``
+    asks for ``percentile_approx`` (relative rank error about 1 / accuracy).
     """
+    shares = [0.25, 0.5, 0.75]
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 quantile(x, 0.25, accuracy).alias(f"{c}__p25"), quantile(x, 0.5, accuracy).alias(f"{c}__p50"),
-                 quantile(x, 0.75, accuracy).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    parts = ", ".join(
-        f"'{c}', " + ", ".join(f"`{c}__{s}`" + (" " if s != "count" else "") for s in stats)
-        for c in columns)
-    return wide.selectExpr(
-        f"stack({len(columns)}, {parts}) AS (column, count, mean, std, min, p25, p50, p75, max)"
-    ).withColumn("count", F.col("count").cast("bigint"))
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+        if accuracy is not None:
+            aggs.append(F.percentile_approx(x, shares, accuracy).alias(f"{c}__quartiles"))
+    stats = ["count", "mean", "std", "min", "max"] + (["quartiles"] if accuracy is not None else [])
+    parts = ", ".join(f"'{c}', " + ", ".join(f"`{c}__{s}`" for s in stats) for c in columns)
+    rows = df.agg(*aggs).selectExpr(f"stack({len(columns)}, {parts}) AS (column, {', '.join(stats)})")
+    if accuracy is not None:
+        rows = rows.select("column", *stats[:-1], *(F.get("quartiles", F.lit(i)).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)))
+    else:
+        found = quantiles(df, columns, shares).groupBy("column").agg(
+            *(F.max(F.when(F.col("share") == q, F.col("value"))).alias(f"p{int(q * 100)}") for q in shares))
+        rows = rows.join(found, "column", "left")
+    return rows.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """``df`` with each row's 1-based rank in ``order``, over the whole table, without ordering it in one task.
+
+    The sorted table is written with ids that grow along its partitions; the partitions'
+    row counts (one row each) turn them into ranks.
+    """
+    ids = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ids.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    low = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ids.join(parts, part == F.col("_part")).select(*df.columns, (F.col("_before") + low + 1).cast("bigint").alias(name))
+
+
+def slider_bounds(df: DataFrame, column: str) -> DataFrame:
+    """A13, storefront: price slider limits; equal ones are set apart by 1, (0, 1) without any price."""
+    lo, hi = F.min(column).cast("double"), F.max(column).cast("double")
+    return df.agg(lo.alias("lo"), hi.alias("hi")).select(
+        F.coalesce("lo", F.lit(0.0)).alias("price_min"),
+        F.when(F.col("hi").isNull(), 1.0).when(F.col("hi") == F.col("lo"), F.col("hi") + 1.0).otherwise(F.col("hi")).alias("price_max"))
 
 
 def bounds(df: DataFrame, columns: list[str], fallback: dict[str, tuple[float, float]]) -> DataFrame:

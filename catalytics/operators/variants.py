@@ -12,11 +12,12 @@ scalar (price range) is a scalar subquery.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parse
 from ..functions.display import fixed_point, thousands
+from ..session import materialise
 from . import stats
 
 ORDER = ["variant_id", "product_id", "supplier_key"]
@@ -53,6 +54,7 @@ def facet_filter(df: DataFrame, store: str = fixed.ALL_LABEL, vendor: str = fixe
 
 def facet_values(df: DataFrame, store: str = fixed.ALL_LABEL, vendor: str = fixed.ALL_LABEL) -> DataFrame:
     """Sorted distinct values of each facet, each after the facets before it."""
+    df = df.select("store_domain", "vendor", "product_type").distinct()  # one pass; the rest works on its few rows
     stores = df.select(F.lit("store_domain").alias("facet"), F.col("store_domain").alias("value")).distinct()
     s = facet_filter(df, store=store)
     vendors = s.select(F.lit("vendor").alias("facet"), F.col("vendor").alias("value")).distinct()
@@ -85,15 +87,15 @@ def availability_filter(df: DataFrame, available: bool | None = None) -> DataFra
 
 # --- aggregates -------------------------------------------------------------------
 
-def kpis(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def kpis(df: DataFrame) -> DataFrame:
     """A3 + A12: one row of variant KPIs.
 
     ``unavailable`` = rows - available, so a null availability counts as
-    unavailable; the median is exact unless ``accuracy`` is given.
+    unavailable; the median is exact. Counts, distinct counts and median read one
+    written copy of the columns they need.
     """
-    # The exact median is its own aggregate: inside the distinct-count rewrite it would ride an
-    # object-hash aggregate keyed by every distinct value, which falls back to sorting.
-    median = df.select(stats.quantile("price", 0.5, accuracy)).scalar()
+    df = materialise(df.select("product_id", "available", "price", "vendor", "product_type"), "variant-kpis")
+    median = stats.median(df, "price")
     k = df.agg(
         F.count_distinct("product_id").alias("unique_products"),
         F.count(F.lit(1)).alias("variants"),
@@ -143,7 +145,14 @@ def vendor_dominance(df: DataFrame, threshold: float = fixed.DOMINANCE_PERCENT)
 
 # --- samples and rankings -----------------------------------------------------------
 
-def unavailable_sample(df: DataFrame, n: int = 10) -> DataFrame:
+def _placed(top: DataFrame, place: bool, order: list, cols: list[str]) -> DataFrame:
+    """The columns of a short ranking, with its rows numbered if asked."""
+    if place:
+        top = top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return top.select(*cols, *["place"] * place)
+
+
+def unavailable_sample(df: DataFrame, n: int = 10, place: bool = False) -> DataFrame:
     """T5: first ``n`` distinct (title, variant_title, vendor, store) of unavailable variants.
 
     "First" is by first occurrence in file order: a partial/final aggregate
@@ -152,16 +161,15 @@ def unavailable_sample(df: DataFrame, n: int = 10) -> DataFrame:
     cols = ["title", "variant_title", "vendor", "store_domain"]
     first = (df.where(F.col("available") == F.lit(False))
              .groupBy(*cols).agg(F.min(F.struct(*order_cols(df))).alias("_first")))
-    return first.orderBy("_first").limit(n).select(*cols)
+    return _placed(first.orderBy("_first").limit(n), place, ["_first"], cols)
 
 
-def most_expensive(df: DataFrame, n: int = 5) -> DataFrame:
+def most_expensive(df: DataFrame, n: int = 5, place: bool = False) -> DataFrame:
     """Each product's most expensive variant, then the ``n`` most expensive products."""
-    from pyspark.sql import Window as W
-    w = W.partitionBy("product_id").orderBy(F.desc_nulls_last("price"), *order_cols(df))
+    w = Window.partitionBy("product_id").orderBy(F.desc_nulls_last("price"), *order_cols(df))
     best = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    return (best.orderBy(F.desc_nulls_last("price"), *order_cols(df)).limit(n)
-            .select("product_id", "title", "vendor", "price", "store_domain"))
+    order = [F.desc_nulls_last("price"), *order_cols(df)]
+    return _placed(best.orderBy(*order).limit(n), place, order, ["product_id", "title", "vendor", "price", "store_domain"])
 
 
 def raw_projection(df: DataFrame) -> DataFrame:

@@ -64,19 +64,22 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def variants_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one output row per line item with ~20 string expressions: spread the scan first
-    li = read_table(spark, sf_dir, "lineitem", rebalance=True).select(
+def variants_raw(spark: SparkSession, sf_dir: str, dates: bool = True) -> DataFrame:
+    """One variant per line item; without ``dates`` the order dates are null and ``orders`` is not read."""
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(supp, li.l_suppkey == supp.s_suppkey)
-         .join(nation, supp.s_nationkey == nation.n_nationkey)
-         .join(orders, li.l_orderkey == orders.o_orderkey, "left"))
+         .join(nation, supp.s_nationkey == nation.n_nationkey))
+    if dates:
+        orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+        j = j.join(orders, li.l_orderkey == orders.o_orderkey, "left")
+    else:
+        j = j.withColumn("o_orderdate", F.lit(None).cast("date"))
     return j.select(
         F.expr("concat(lower(n_name), '.example.com')").alias("store_domain"),
         F.col("l_partkey").alias("product_id"),
@@ -114,7 +117,7 @@ VARIANT_COLUMNS = ["store_domain", "product_id", "title", "handle", "vendor", "p
                    "all_image_srcs"]
 
 
-VARIANTS_PER_PAGE = 250
+ORDERS_PER_PAGE = 50_000
 
 
 def products_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +130,10 @@ def products_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
-    # Paginate: a part's variants are spread over ceil(n / VARIANTS_PER_PAGE) documents by a hash
-    # of the line key, so no document (and no collect_list group) holds a hot part whole. Pages are
-    # concatenated on read, so flattening gives the same rows. Parts whose variant list must be
-    # empty or absent keep a single document.
-    n = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("_n"))
-    pages = F.ceil(F.col("_n") / F.lit(VARIANTS_PER_PAGE))
-    li = li.join(n, "l_partkey").withColumn(
-        "page", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), pages.cast("bigint")))
+    # Paginate: a part's variants of ORDERS_PER_PAGE orders form a document, so no document (and no
+    # collect_list group) holds a hot part whole. Pages are concatenated on read, so flattening
+    # gives the same rows. Parts whose variant list must be empty or absent keep a single document.
+    li = li.withColumn("page", F.floor(F.col("l_orderkey") / ORDERS_PER_PAGE))
     li = li.where(~((F.col("l_partkey") % 31 == 0) | (F.col("l_partkey") % 37 == 0)))
     variants = (li.groupBy("l_partkey", "page")
                 .agg(F.collect_list(F.struct(

@@ -13,7 +13,7 @@ from ..operators import listings as L
 from ..operators import variants as V
 from ..sources import files
 from ..streaming.refresh import refresh
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from . import fixtures
 from . import sql as S
 from .variant_queries import VARIANTS
@@ -44,7 +44,7 @@ def q_incremental_refresh(spark, sf):
     base = scratch_path(spark, "refresh")
     landing, table, ckpt = f"{base}/landing", f"{base}/table", f"{base}/_checkpoint"
     cols = fixtures.VARIANT_COLUMNS + ["supplier_key"]
-    raw = fixtures.variants_raw(spark, sf).select(*cols)
+    raw = materialise(fixtures.variants_raw(spark, sf).select(*cols), "refresh-input")  # both drops come from it
     schema = files.string_schema(cols)
 
     def typed(df):
@@ -54,9 +54,9 @@ def q_incremental_refresh(spark, sf):
 
     even = F.col("variant_id") % 2 == 0
     files.write_csv(raw.where(even), landing, mode="append")        # first drop (S7)
-    refresh(spark, landing, table, ckpt, schema, typed)             # S8: reads drop 1
+    refresh(spark, landing, table, ckpt, schema, typed, multi_line=True)  # S8: reads drop 1 (body_html has line breaks)
     files.write_csv(raw.where(~even), landing, mode="append")       # second drop
-    refresh(spark, landing, table, ckpt, schema, typed)             # S8: reads only drop 2
+    refresh(spark, landing, table, ckpt, schema, typed, multi_line=True)  # S8: reads only drop 2
     return spark.read.parquet(table).select("variant_id", "product_id", "supplier_key", "store_domain", "vendor",
                                             "price", "available")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import listings as L
 from ..operators import stats
+from ..session import read_table
 from ..sources.files import normalise_na
 from . import fixtures
 from . import sql as S
@@ -46,9 +47,14 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- queries ---------------------------------------------------------------------------
 
+def _place(top: DataFrame, *order) -> DataFrame:
+    """Number the rows of a short ranking (a limit's result) in its own order."""
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def q_topk_score(spark, sf):
-    top = L.top_k(filtered_a(spark, sf), 10)
-    return top.select("row_seq", "name", "price_numeric", "rating_numeric", "sales_numeric",
+    top = _place(L.top_k(filtered_a(spark, sf), 10), F.desc("score"), "row_seq")
+    return top.select("place", "row_seq", "name", "price_numeric", "rating_numeric", "sales_numeric",
                       "discount_percentage_numeric", _r("score"))
 
 
@@ -83,7 +89,31 @@ def q_listing_kpis_c(spark, sf):
 
 def q_keyword_filter_sorted(spark, sf):
     df = L.filter_grid(L.keyword_filter(L.clean_c(positional(spark, sf)), "RING|bolt"))
-    return L.sort_grid(df, "rating_desc").select("row_seq", "Title", "Price_MAD", "Rating", "Sales_Num")
+    df = df.select("row_seq", "Title", "Price_MAD", "Rating", "Sales_Num")
+    return stats.ranked(df, *L.grid_order("rating_desc"))
+
+
+def _sorted(mode: str):
+    def query(spark, sf):
+        """The whole grid in one sort mode, with every row's rank."""
+        df = grid(spark, sf).select("row_seq", "Title", "Price_MAD", "Rating", "Sales_Num")
+        return stats.ranked(df, *L.grid_order(mode)).select("rank", "row_seq", "Price_MAD", "Rating", "Sales_Num")
+
+    return query
+
+
+def q_clean_numeric_input(spark, sf):
+    """P1, P2, P4-P7, P9 on numeric columns (a table whose reader already typed them)."""
+    part, sold = (read_table(spark, sf, t) for t in ("part", "lineitem"))
+    sold = sold.groupBy("l_partkey").agg(F.sum("l_quantity").alias("sales_info"), F.max("l_discount").alias("discount_percentage"))
+    raw = part.join(sold, part["p_partkey"] == sold["l_partkey"], "left").select(
+        F.col("p_partkey").alias("row_seq"), F.when(F.col("p_partkey") % 17 != 0, F.col("p_retailprice") * 10000).alias("price"),
+        F.when(F.col("p_partkey") % 13 != 0, F.lit(1) + F.col("p_size") * F.lit(0.08)).otherwise(F.lit(float("nan"))).alias("rating"),
+        "sales_info", "discount_percentage", F.lit(None).cast("string").alias("additional_badges"), F.lit("x").alias("name"))
+    a = L.clean_a(raw).select("row_seq", _r("price_numeric"), _r("rating_numeric"), "sales_numeric", "discount_percentage_numeric")
+    b = L.clean_b(raw).select(F.col("row_seq").alias("k"), F.round("price_numeric", R).alias("price_b"), F.col("sales_numeric").alias("sales_b"),
+                              F.round("rating_numeric", R).alias("rating_b"))
+    return a.join(b, a["row_seq"] == b["k"]).drop("k")
 
 
 def q_price_band(spark, sf):
@@ -94,6 +124,13 @@ def q_display_fields(spark, sf):
     return L.display_a(cleaned_a(spark, sf))
 
 
+def q_display_no_discount(spark, sf):
+    """The table without a discount column: original prices are parsed and struck through where they are higher."""
+    raw = fixtures.listings_raw(spark, sf).drop("discount_percentage")
+    shown = L.display_a(L.with_score(L.clean_a(raw)))
+    return shown.select("row_seq", "price_display", "original_price_display", "discount_display", "rating_display")
+
+
 def q_display_grid(spark, sf):
     return L.display_c(grid(spark, sf))
 
@@ -140,7 +177,8 @@ def q_kpi_display(spark, sf):
 
 
 def q_top_sales(spark, sf):
-    return L.top_sales(filtered_a(spark, sf), 10).select("row_seq", "name", "sales_numeric")
+    top = _place(L.top_sales(filtered_a(spark, sf), 10), F.desc("sales_numeric"), "row_seq")
+    return top.select("place", "row_seq", "name", "sales_numeric")
 
 
 def q_scatter(spark, sf):
@@ -161,8 +199,11 @@ QUERIES = {
     "q_listing_kpis": q_listing_kpis,
     "q_listing_kpis_c": q_listing_kpis_c,
     "q_keyword_filter_sorted": q_keyword_filter_sorted,
+    **{f"q_sort_{mode}": _sorted(mode) for mode in L.GRID_SORTS},
+    "q_clean_numeric_input": q_clean_numeric_input,
     "q_price_band": q_price_band,
     "q_display_fields": q_display_fields,
+    "q_display_no_discount": q_display_no_discount,
     "q_display_grid": q_display_grid,
     "q_hist_price30": q_hist_price30,
     "q_hist_rating10": q_hist_rating10,
@@ -201,9 +242,9 @@ for _c in ["price_numeric", "rating_numeric", "sales_numeric", "discount_percent
 
 ORACLE = {
     "q_topk_score": S.with_ctes(S.LISTINGS_A, f"""
-SELECT row_seq, name, price_numeric, rating_numeric, sales_numeric, discount_percentage_numeric,
-       round(score, {R}) AS score
-FROM filtered ORDER BY score DESC, row_seq LIMIT 10"""),
+SELECT CAST(row_number() OVER (ORDER BY f.score DESC, row_seq) AS INTEGER) AS place, row_seq, name, price_numeric, rating_numeric,
+       sales_numeric, discount_percentage_numeric, round(f.score, {R}) AS score
+FROM filtered f ORDER BY f.score DESC, row_seq LIMIT 10"""),
     "q_clean_dialect_a": S.with_ctes(S.LISTINGS_A, """
 SELECT row_seq, price_numeric, rating_numeric, sales_numeric, discount_percentage_numeric FROM clean_a"""),
     "q_clean_dialect_b": S.with_ctes(S.LISTINGS_RAW, f"""
@@ -229,9 +270,21 @@ SELECT count(*) AS n_products, round(avg("Price_MAD"), {R}) AS avg_price, round(
        CASE WHEN sum("Sales_Num") > 0 THEN CAST(sum("Sales_Num") AS BIGINT) END AS total_sales
 FROM grid"""),
     "q_keyword_filter_sorted": S.with_ctes(S.LISTINGS_C, """
-SELECT row_seq, "Title", "Price_MAD", "Rating", "Sales_Num" FROM grid
-WHERE coalesce(regexp_matches("Title", 'RING|bolt', 'i'), false)
-ORDER BY "Rating" DESC NULLS LAST, row_seq"""),
+SELECT row_seq, "Title", "Price_MAD", "Rating", "Sales_Num", row_number() OVER (ORDER BY "Rating" DESC NULLS LAST, row_seq) AS rank
+FROM grid WHERE coalesce(regexp_matches("Title", 'RING|bolt', 'i'), false)"""),
+    **{f"q_sort_{mode}": S.with_ctes(S.LISTINGS_C, f"""
+SELECT row_number() OVER (ORDER BY {order}row_seq) AS rank, row_seq, "Price_MAD", "Rating", "Sales_Num" FROM grid""")
+       for mode, order in {"relevance": "", "price_asc": '"Price_MAD" ASC NULLS LAST, ', "price_desc": '"Price_MAD" DESC NULLS LAST, ',
+                           "rating_desc": '"Rating" DESC NULLS LAST, ', "sales_desc": '"Sales_Num" DESC NULLS LAST, '}.items()},
+    "q_clean_numeric_input": f"""
+WITH s AS (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
+t AS (SELECT p_partkey AS row_seq, CASE WHEN p_partkey % 17 <> 0 THEN p_retailprice * 10000 END AS price,
+             CASE WHEN p_partkey % 13 <> 0 THEN 1 + p_size * CAST(0.08 AS DOUBLE) END AS rating, q
+      FROM part LEFT JOIN s ON l_partkey = p_partkey)
+SELECT row_seq, round(price, {R}) AS price_numeric, round(rating, {R}) AS rating_numeric, CAST(0 AS BIGINT) AS sales_numeric,
+       CAST(0.0 AS DOUBLE) AS discount_percentage_numeric, round(price, {R}) AS price_b, CAST(coalesce(trunc(q), 0) AS BIGINT) AS sales_b,
+       round(rating, {R}) AS rating_b
+FROM t""",
     "q_price_band": S.with_ctes(S.LISTINGS_C, """
 , m AS (SELECT avg("Price_MAD") AS mean FROM grid)
 SELECT row_seq, "Price_MAD", CASE WHEN m.mean IS NULL THEN 'blue' WHEN "Price_MAD" < m.mean THEN 'green'
@@ -243,13 +296,20 @@ SELECT row_seq,
   '' AS original_price_display,
   CASE WHEN discount_percentage_numeric > 0 THEN printf(' (%.0f%% de réduction)', discount_percentage_numeric)
        ELSE '' END AS discount_display,
-  coalesce(printf('%.1f', rating_numeric), 'N/D') AS rating_display,
+  coalesce(printf('%.1f \u2b50', rating_numeric), 'N/D') AS rating_display,
   coalesce(format('{:,}', sales_numeric), 'N/D') AS sales_display,
   printf('%.2f', score) AS score_display,
   CASE WHEN url IS NOT NULL AND url <> 'N/A' THEN url END AS link,
   CASE WHEN additional_badges IS NOT NULL AND additional_badges <> 'N/A' THEN additional_badges END AS badges,
   CASE WHEN image_url IS NOT NULL AND image_url <> 'N/A' THEN image_url END AS image
 FROM scored"""),
+    "q_display_no_discount": S.with_ctes(S.LISTINGS_RAW, f"""
+, c AS (SELECT row_seq, {S.price_a('price')} AS p, {S.price_a('original_price')} AS o, {S.rating_a('rating')} AS r FROM listings_raw),
+d AS (SELECT *, CASE WHEN o > p AND o > 0 THEN (o - p) / o * 100.0 ELSE 0.0 END AS pct FROM c)
+SELECT row_seq, coalesce(printf('MAD %.2f', p), 'N/D') AS price_display,
+       CASE WHEN o > p THEN printf('~~MAD %.2f~~', o) ELSE '' END AS original_price_display,
+       CASE WHEN pct > 0 THEN printf(' (%.0f%% de réduction)', pct) ELSE '' END AS discount_display,
+       coalesce(printf('%.1f \u2b50', r), 'N/D') AS rating_display FROM d"""),
     "q_display_grid": S.with_ctes(S.LISTINGS_C, """
 SELECT row_seq,
   CASE WHEN starts_with("Image_URL", 'http') THEN "Image_URL"
@@ -275,7 +335,7 @@ SELECT coalesce(min(""" + S.price_a("price") + """), 0.0) AS price_numeric_min,
        (SELECT coalesce(max("Price_MAD"), 1000.0) FROM clean_c) AS grid_price_max
 FROM listings_raw"""),
     "q_top_sales": S.with_ctes(S.LISTINGS_A, """
-SELECT row_seq, name, sales_numeric FROM filtered
+SELECT CAST(row_number() OVER (ORDER BY sales_numeric DESC, row_seq) AS INTEGER) AS place, row_seq, name, sales_numeric FROM filtered
 WHERE (SELECT coalesce(sum(sales_numeric), 0) FROM filtered) > 0
 ORDER BY sales_numeric DESC, row_seq LIMIT 10"""),
     "q_scatter": S.with_ctes(S.LISTINGS_A, """

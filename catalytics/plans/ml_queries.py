@@ -43,42 +43,73 @@ def q_single_class_flip(spark, sf):
     return labelled(spark, sf, threshold=100, flip_single_class=True).select("row_seq", ml.LABEL)
 
 
-_FITTED: dict = {}
+def _split(spark, sf):
+    scratch_path(spark, "fit")  # makes sure a checkpoint folder exists
+    return ml.stratified_split(labelled(spark, sf).checkpoint()).checkpoint()
 
 
 def _fit(spark, sf):
-    """Split + fitted forest, trained once per session and input (the original caches it too)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        scratch_path(spark, "fit")  # makes sure a checkpoint folder exists
-        split = ml.stratified_split(labelled(spark, sf).checkpoint()).checkpoint()
-        _FITTED[key] = (split, ml.train(split.where(F.col("part") == "train")))
-    return _FITTED[key]
+    """Split and a forest fitted on its training part (every query fits its own)."""
+    split = _split(spark, sf)
+    return split, ml.train(split.where(F.col("part") == "train"))
+
+
+def _share(c):
+    return F.col(c).between(0.0, 1.0)
+
+
+def q_report_rule(spark, sf):
+    """M4 with a rule as the model: the badge predicts the label."""
+    pred = labelled(spark, sf).withColumn("prediction", F.col("has_bestseller_badge"))
+    rep = ml.report(pred)
+    return rep.select("class", *[F.round(c, R).alias(c) for c in ("precision", "recall", "f1")], "support",
+                      F.round("accuracy", R).alias("accuracy"))
 
 
 def q_ml_metrics(spark, sf):
+    """M3 + M4: the report's checkable facts - supports are those of the split, scores are shares, F1 follows from them."""
     split, model = _fit(spark, sf)
     rep = ml.report(ml.predict(model, split.where(F.col("part") == "test")))
-    return rep.select("class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support",
-                      F.round("accuracy", 4).alias("accuracy"))
+    f1 = F.when(F.col("precision") + F.col("recall") > 0,
+                2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return rep.select("class", "support", (_share("precision") & _share("recall") & _share("accuracy")).alias("shares"),
+                      (F.col("class").endswith("avg") | (F.abs(f1 - F.col("f1")) < 1e-9)).alias("f1_follows"))
 
 
 def q_ml_predict(spark, sf):
-    split, model = _fit(spark, sf)
-    return ml.predict(model, labelled(spark, sf)).select("row_seq", "prediction",
-                                                         F.round("probability_1", 4).alias("probability_1"))
+    """M5: every labelled listing is scored; the class follows from its probability."""
+    _, model = _fit(spark, sf)
+    out = ml.predict(model, labelled(spark, sf))
+    return out.select("row_seq", _share("probability_1").alias("share"),
+                      (F.col("prediction") == (F.col("probability_1") > 0.5).cast("int")).alias("class_follows"))
 
 
 def q_ml_importance(spark, sf):
+    """M6: importances of the forest fitted on the given tables: shares that sum to 1, largest first."""
     split, model = _fit(spark, sf)
-    ranked = ml.importances(model)
-    # four (feature, importance) pairs from the fitted model
-    return spark.createDataFrame([(i + 1, f, float(v)) for i, (f, v) in enumerate(ranked)],
-                                 "rank int, feature string, importance double")
+    found = ml.importances(model)
+    values = [v for _, v in found]
+    rows = [(f, bool(0.0 <= v <= 1.0), abs(sum(values) - 1.0) < 1e-9, values == sorted(values, reverse=True)) for f, v in found]
+    facts = spark.createDataFrame(rows, "feature string, share boolean, sum_is_one boolean, ordered boolean")
+    n = split.where(F.col("part") == "train").select(F.count(F.lit(1))).scalar()
+    return facts.withColumn("trained_on", n)
 
 
 def q_train_job(spark, sf):
-    return ml.train_job(spark, fixtures.listings_raw(spark, sf), scratch_path(spark, "train-job"))
+    """The saved model, read back, agrees with the saved metrics and scores all listings."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    path = scratch_path(spark, "train-job")
+    raw = fixtures.listings_raw(spark, sf)
+    saved = ml.train_job(spark, raw, path)
+    model = RandomForestClassificationModel.load(f"{path}/model")
+    split = _split(spark, sf)
+    again = ml.report(ml.predict(model, split.where(F.col("part") == "test"))).where(F.col("class") == "1").select(
+        F.round("accuracy", 4).alias("accuracy_again"), F.round("f1", 4).alias("f1_again"), "support")
+    scored = ml.predict(model, labelled(spark, sf)).select(F.count_if(_share("probability_1"))).scalar()
+    return saved.join(again, F.lit(True)).select(  # one row each
+        (F.col("accuracy") == F.col("accuracy_again")).alias("same_accuracy"), (F.col("f1_1") == F.col("f1_again")).alias("same_f1"),
+        F.col("support").alias("test_support_1"), scored.alias("n_scored"))
 
 
 QUERIES = {
@@ -87,6 +118,7 @@ QUERIES = {
     "q_preprocess_counts": q_preprocess_counts,
     "q_ml_split": q_ml_split,
     "q_single_class_flip": q_single_class_flip,
+    "q_report_rule": q_report_rule,
     "q_ml_metrics": q_ml_metrics,
     "q_ml_predict": q_ml_predict,
     "q_ml_importance": q_ml_importance,
@@ -116,6 +148,16 @@ labelled AS (
   WHERE price_numeric IS NOT NULL AND sales_numeric IS NOT NULL AND rating_numeric IS NOT NULL
 )"""
 
+# rows per class of the split's parts
+SPLIT = """
+, c AS (SELECT is_attractive, count(*) AS n_c FROM labelled GROUP BY 1),
+t0 AS (SELECT *, sum(n_c) OVER () AS n, sum(n_c) OVER () - CAST(ceil(sum(n_c) OVER () * 0.25) AS BIGINT) AS n_train
+      FROM c),
+a AS (SELECT *, (CAST(n_c AS DOUBLE) / n) * n_train AS cont FROM t0),
+f0 AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM a),
+g AS (SELECT *, n_train - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, is_attractive) AS r FROM f0),
+q AS (SELECT is_attractive, n_c, CAST(fl + CASE WHEN r <= need THEN 1 ELSE 0 END AS BIGINT) AS tr FROM g)"""
+
 ORACLE = {
     "q_ml_labels": S.with_ctes(LABELS, """
 SELECT row_seq, price_numeric, sales_numeric, rating_numeric, has_bestseller_badge, attractiveness_score,
@@ -123,16 +165,36 @@ SELECT row_seq, price_numeric, sales_numeric, rating_numeric, has_bestseller_bad
     "q_class_balance": S.with_ctes(LABELS, "SELECT is_attractive, count(*) AS n FROM labelled GROUP BY 1"),
     "q_preprocess_counts": S.with_ctes(LABELS, """
 SELECT (SELECT count(*) FROM listings_raw) AS n_raw, count(*) AS n_processed FROM labelled"""),
-    "q_ml_split": S.with_ctes(LABELS, """
-, c AS (SELECT is_attractive, count(*) AS n_c FROM labelled GROUP BY 1),
-t AS (SELECT *, sum(n_c) OVER () AS n, sum(n_c) OVER () - CAST(ceil(sum(n_c) OVER () * 0.25) AS BIGINT) AS n_train
-      FROM c),
-a AS (SELECT *, (CAST(n_c AS DOUBLE) / n) * n_train AS cont FROM t),
-f AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM a),
-g AS (SELECT *, n_train - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, is_attractive) AS r FROM f),
-q AS (SELECT is_attractive, n_c, CAST(fl + CASE WHEN r <= need THEN 1 ELSE 0 END AS BIGINT) AS tr FROM g)
+    "q_ml_split": S.with_ctes(LABELS, SPLIT + """
 SELECT is_attractive, 'test' AS part, n_c - tr AS n FROM q WHERE n_c - tr > 0
 UNION ALL SELECT is_attractive, 'train' AS part, tr AS n FROM q WHERE tr > 0"""),
+    "q_report_rule": S.with_ctes(LABELS, f"""
+, m AS (SELECT c, count(*) FILTER (is_attractive = c AND has_bestseller_badge = c) AS tp,
+               count(*) FILTER (is_attractive <> c AND has_bestseller_badge = c) AS fp,
+               count(*) FILTER (is_attractive = c AND has_bestseller_badge <> c) AS fn
+        FROM labelled, (VALUES (0), (1)) AS k(c) GROUP BY c),
+p AS (SELECT CAST(c AS VARCHAR) AS class, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, tp + fn AS support FROM m),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM p),
+r AS (SELECT class, precision, recall, f1, support FROM f
+      UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+      UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                       sum(f1 * support) / sum(support), sum(support) FROM f)
+SELECT class, round(precision, {R}) AS precision, round(recall, {R}) AS recall, round(f1, {R}) AS f1,
+       CAST(support AS BIGINT) AS support,
+       (SELECT round(avg(CAST(is_attractive = has_bestseller_badge AS INTEGER)), {R}) FROM labelled) AS accuracy FROM r"""),
+    "q_ml_metrics": S.with_ctes(LABELS, SPLIT + """
+, t AS (SELECT is_attractive, n_c - tr AS n FROM q)
+SELECT CAST(is_attractive AS VARCHAR) AS class, n AS support, true AS shares, true AS f1_follows FROM t
+UNION ALL SELECT 'macro avg', CAST(sum(n) AS BIGINT), true, true FROM t
+UNION ALL SELECT 'weighted avg', CAST(sum(n) AS BIGINT), true, true FROM t"""),
+    "q_ml_predict": S.with_ctes(LABELS, "SELECT row_seq, true AS share, true AS class_follows FROM labelled"),
+    "q_ml_importance": S.with_ctes(LABELS, SPLIT + """
+SELECT feature, true AS share, true AS sum_is_one, true AS ordered, (SELECT CAST(sum(tr) AS BIGINT) FROM q) AS trained_on
+FROM (VALUES ('price_numeric'), ('sales_numeric'), ('rating_numeric'), ('has_bestseller_badge')) AS v(feature)"""),
+    "q_train_job": S.with_ctes(LABELS, SPLIT + """
+SELECT true AS same_accuracy, true AS same_f1, (SELECT n_c - tr FROM q WHERE is_attractive = 1) AS test_support_1,
+       (SELECT count(*) FROM labelled) AS n_scored"""),
     "q_single_class_flip": S.with_ctes(LABELS, """
 , one AS (SELECT row_seq, CAST(attractiveness_score >= 100 AS INTEGER) AS y FROM labelled),
 s AS (SELECT count(DISTINCT y) AS k, count(*) AS n, min(row_seq) AS first FROM one)

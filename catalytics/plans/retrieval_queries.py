@@ -18,7 +18,7 @@ from . import sql as S
 
 
 def corpus(spark, sf):
-    d = read_table(spark, sf, "documents", rebalance=True)  # whole texts are tokenized
+    d = read_table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("row_seq"),
                     F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
                     F.col("text").alias("body_html"), F.col("lang").alias("product_type"),
@@ -58,6 +58,26 @@ def q_prompts(spark, sf):
     return RT.prompts(qs, RT.context_lines(hits, c))
 
 
+def part_questions(spark, sf):
+    """Questions that name real types, ask for words of real products, or hold no search word."""
+    p = read_table(spark, sf, "part").where(F.col("p_partkey") % 40 == 1)
+    kind = F.lower("p_type")
+    text = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("show me the best "), F.col("p_name"), F.lit(" in "), kind))
+            .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("some good "), F.col("p_name"), F.lit(" from "), F.col("p_brand")))
+            .otherwise(F.lit("what is the best in a ")))
+    return p.select(F.col("p_partkey").alias("qid"), text.alias("question")).withColumn("category", RT.category_phrase("question"))
+
+
+def part_corpus(spark, sf):
+    p = read_table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("row_seq"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"),
+                    F.col("p_type").alias("product_type"))
+
+
+def q_retrieve_by_category(spark, sf):
+    return RT.retrieve(part_corpus(spark, sf), part_questions(spark, sf), category="category")
+
+
 def q_preview_prompt(spark, sf):
     table = fixtures.listings_raw(spark, sf)
     return RT.preview_prompts(table, user_turns(spark, sf))
@@ -72,6 +92,7 @@ QUERIES = {
     "q_query_category": q_query_category,
     "q_retrieve_topn": q_retrieve_topn,
     "q_prompts": q_prompts,
+    "q_retrieve_by_category": q_retrieve_by_category,
     "q_preview_prompt": q_preview_prompt,
     "q_transcripts": q_transcripts,
 }
@@ -94,11 +115,17 @@ _DOCS = """d AS (SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) AS title, text
               lower(coalesce(lang, '')) AS l3, lower(coalesce(source, '')) AS l4 FROM documents)"""
 
 
-def _retrieve_sql(with_category: bool) -> str:
+_PARTS = """d AS (SELECT p_partkey AS doc_id, lower(p_name) AS l1, '' AS l2, lower(p_type) AS l3, lower(p_brand) AS l4 FROM part)"""
+_PART_QUESTIONS = """(SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN 'show me the best ' || p_name || ' in ' || lower(p_type)
+           WHEN 1 THEN 'some good ' || p_name || ' from ' || p_brand ELSE 'what is the best in a ' END AS text
+    FROM part WHERE p_partkey % 40 = 1)"""
+
+
+def _retrieve_sql(with_category: bool, questions: str = "benchmark", docs: str = _DOCS) -> str:
     cat = _CAT.format(x="text") if with_category else "CAST(NULL AS VARCHAR)"
     return f"""q AS (SELECT item_id AS qid, text AS question, {_TERMS.format(x="text")} AS words, {cat} AS category
-           FROM benchmark),
-{_DOCS},
+           FROM {questions}),
+{docs},
 pairs AS (SELECT q.qid, d.doc_id,
             list_sum(list_transform(q.words, lambda w: CAST(contains(d.l1, w) AS INTEGER) + CAST(contains(d.l2, w) AS INTEGER)
                                         + CAST(contains(d.l3, w) AS INTEGER) + CAST(contains(d.l4, w) AS INTEGER))) AS score
@@ -133,6 +160,7 @@ FROM (SELECT conv_id, turn, {_TERMS.format(x="text")} AS t FROM conversations WH
     "q_query_category": f"""
 SELECT conv_id, turn, {_CAT.format(x="text")} AS category FROM conversations WHERE role = 'user'""",
     "q_retrieve_topn": "WITH " + _retrieve_sql(False) + "\nSELECT * FROM hits",
+    "q_retrieve_by_category": "WITH " + _retrieve_sql(True, _PART_QUESTIONS, _PARTS) + "\nSELECT * FROM hits",
     "q_prompts": "WITH " + _retrieve_sql(True) + f""",
 ctx AS (SELECT h.qid, '{_sq(fixed.CONTEXT_HEADER)}' || replace('{_HEADER}', '\\n', chr(10)) || chr(10)
               || string_agg('| ' || d.title || ' | ' || coalesce(d.vendor, '') || ' | ' || coalesce(d.product_type, '')
@@ -142,7 +170,7 @@ fullctx AS (SELECT q.qid, q.question, coalesce(ctx.context,
            CASE WHEN q.category IS NOT NULL THEN '{_sq(_NOHIT_CAT_PRE)}' || q.category || '{_sq(_NOHIT_CAT_POST)}'
                 ELSE '{_sq(fixed.NO_HIT)}' END) AS context
          FROM q LEFT JOIN ctx ON ctx.qid = q.qid)
-SELECT qid, context, '{_sq(_P_PRE)}' || context || '{_sq(_P_MID)}' || question || '{_sq(_P_POST)}' AS prompt
+SELECT qid, context, '{_sq(fixed.SYSTEM_MESSAGE)}' AS system, '{_sq(_P_PRE)}' || context || '{_sq(_P_MID)}' || question || '{_sq(_P_POST)}' AS prompt
 FROM fullctx""",
     "q_preview_prompt": S.with_ctes(S.LISTINGS_RAW, f"""
 , head AS (SELECT string_agg('| ' || concat_ws(' | ', {_PREVIEW_CELLS}) || ' |', chr(10) ORDER BY row_seq) AS t

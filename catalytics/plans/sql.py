@@ -6,6 +6,8 @@ SQL so that the driver can compare both engines row by row.
 
 from __future__ import annotations
 
+from ..functions import fixed
+
 FLOAT_RE = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
@@ -62,16 +64,14 @@ def sales_c(x: str) -> str:
 
 
 def badge(x: str) -> str:
-    marks = ["le plus vendu", "best seller", "top selling", "choix d''aliexpress", "choice"]
+    marks = [m.replace("'", "''") for m in fixed.BADGE_MARKERS]
     cond = " OR ".join(f"contains(lower({x}), '{m}')" for m in marks)
     return f"CAST(coalesce({cond}, false) AS INTEGER)"
 
 
 def na(x: str) -> str:
     """pandas read_csv NA tokens -> NULL."""
-    toks = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-            "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-    lst = ", ".join("'" + t + "'" for t in toks)
+    lst = ", ".join("'" + t + "'" for t in fixed.NA_TOKENS)
     return f"(CASE WHEN {x} IN ({lst}) THEN NULL ELSE {x} END)"
 
 

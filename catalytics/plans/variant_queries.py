@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -17,6 +17,7 @@ R = 6
 PROBE_STORE = "nation_3.example.com"
 PROBE_VENDOR = "Brand#4"
 PROBE_TYPE = "SMALL"
+STORE_SALTS = 16
 
 
 def _r(c: str):
@@ -27,8 +28,8 @@ def _s(c: str):
     return F.col(c).cast("string").alias(c)
 
 
-def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return V.clean_variants(fixtures.variants_raw(spark, sf))
+def cleaned(spark: SparkSession, sf: str, dates: bool = False) -> DataFrame:
+    return V.clean_variants(fixtures.variants_raw(spark, sf, dates))
 
 
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,8 +37,13 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return V.availability_filter(V.price_range_filter(V.facet_filter(cleaned(spark, sf))))
 
 
+def _place(top: DataFrame, *order) -> DataFrame:
+    """Number the rows of a short ranking (a limit's result) in its own order."""
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def q_variant_clean(spark, sf):
-    return cleaned(spark, sf).select(
+    return cleaned(spark, sf, dates=True).select(
         *V.ORDER, "store_domain", "vendor", "product_type", "price", "compare_at_price", "available",
         *[_s(c) for c in V.TIMESTAMP_COLUMNS])
 
@@ -62,16 +68,28 @@ def q_facet_cascade(spark, sf):
     return df.select(*V.ORDER, "price")
 
 
+def q_variant_bounds(spark, sf):
+    """Slider limits of the whole table, of one store and of a selection without prices."""
+    df = cleaned(spark, sf)
+    views = {"all": df, "store": V.facet_filter(df, store=PROBE_STORE), "none": df.where(F.col("price").isNull()),
+             "one": df.where(F.col("price") == df.select(F.max("price")).scalar())}
+    out = None
+    for name, view in views.items():
+        row = stats.slider_bounds(view, "price").withColumn("view", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_availability(spark, sf):
     return V.availability_counts(dashboard(spark, sf))
 
 
 def q_products_by_vendor(spark, sf):
-    return V.products_by(dashboard(spark, sf), "vendor")
+    return _place(V.products_by(dashboard(spark, sf), "vendor"), F.desc("unique_products"), "vendor")
 
 
 def q_products_by_type(spark, sf):
-    return V.products_by(dashboard(spark, sf), "product_type")
+    return _place(V.products_by(dashboard(spark, sf), "product_type"), F.desc("unique_products"), "product_type")
 
 
 def q_vendor_dominance(spark, sf):
@@ -81,11 +99,11 @@ def q_vendor_dominance(spark, sf):
 
 
 def q_unavailable_sample(spark, sf):
-    return V.unavailable_sample(dashboard(spark, sf))
+    return V.unavailable_sample(dashboard(spark, sf), place=True)
 
 
 def q_most_expensive(spark, sf):
-    return V.most_expensive(dashboard(spark, sf))
+    return V.most_expensive(dashboard(spark, sf), place=True)
 
 
 def q_raw_projection(spark, sf):
@@ -107,7 +125,9 @@ def q_json_flatten(spark, sf):
 
 def land_variants(spark, sf, path: str) -> None:
     """Land the typed variant table once, partitioned by store (F5 then prunes whole folders)."""
-    files.write_table(cleaned(spark, sf), path, partition_by=["store_domain"])
+    # a store's rows meet in STORE_SALTS tasks: few files per folder, and a hot store still spreads
+    rows = cleaned(spark, sf, dates=True).repartition("store_domain", F.pmod(F.xxhash64("variant_id"), F.lit(STORE_SALTS)))
+    files.write_table(rows, path, partition_by=["store_domain"])
 
 
 def q_landed_store_facet(spark, sf):
@@ -131,6 +151,7 @@ QUERIES = {
     "q_variant_kpi_display": q_variant_kpi_display,
     "q_facet_values": q_facet_values,
     "q_facet_cascade": q_facet_cascade,
+    "q_variant_bounds": q_variant_bounds,
     "q_availability": q_availability,
     "q_products_by_vendor": q_products_by_vendor,
     "q_products_by_type": q_products_by_type,
@@ -225,14 +246,22 @@ WHERE price >= (SELECT coalesce(min(price), 0.0) FROM f)
   AND price <= (SELECT CASE WHEN max(price) IS NULL THEN 1.0 WHEN min(price) = max(price) THEN max(price) + 1.0
                             ELSE max(price) END FROM f)
   AND available = true"""),
+    "q_variant_bounds": _w(f"""
+, v AS (SELECT 'all' AS view, price FROM vclean UNION ALL SELECT 'store', price FROM vclean WHERE store_domain = '{PROBE_STORE}'
+        UNION ALL SELECT 'one', price FROM vclean WHERE price = (SELECT max(price) FROM vclean)),
+b AS (SELECT view, min(price) AS lo, max(price) AS hi FROM v GROUP BY view UNION ALL SELECT 'none', NULL, NULL)
+SELECT view, coalesce(lo, 0.0) AS price_min,
+       CASE WHEN hi IS NULL THEN 1.0 WHEN hi = lo THEN hi + 1.0 ELSE hi END AS price_max FROM b"""),
     "q_availability": _w("""
 SELECT available, count(*) AS n, CASE WHEN available THEN 'Disponible' ELSE 'Indisponible' END AS label
 FROM vdash WHERE available IS NOT NULL GROUP BY available"""),
     "q_products_by_vendor": _w("""
-SELECT vendor, count(DISTINCT product_id) AS unique_products FROM vdash GROUP BY vendor
+SELECT *, CAST(row_number() OVER (ORDER BY unique_products DESC, vendor) AS INTEGER) AS place FROM (
+SELECT vendor, count(DISTINCT product_id) AS unique_products FROM vdash GROUP BY vendor)
 ORDER BY unique_products DESC, vendor LIMIT 20"""),
     "q_products_by_type": _w("""
-SELECT product_type, count(DISTINCT product_id) AS unique_products FROM vdash GROUP BY product_type
+SELECT *, CAST(row_number() OVER (ORDER BY unique_products DESC, product_type) AS INTEGER) AS place FROM (
+SELECT product_type, count(DISTINCT product_id) AS unique_products FROM vdash GROUP BY product_type)
 ORDER BY unique_products DESC, product_type LIMIT 20"""),
     "q_vendor_dominance": _w(f"""
 , pv AS (SELECT vendor, count(DISTINCT product_id) AS n FROM vdash GROUP BY vendor),
@@ -243,14 +272,18 @@ SELECT top.vendor AS top_vendor, top.n AS top_vendor_products, CAST(tot.total AS
        CAST(top.n AS DOUBLE) / tot.total * 100.0 > 40.0 AS dominant
 FROM top, tot WHERE tot.n_vendors > 1"""),
     "q_unavailable_sample": _w("""
-SELECT title, variant_title, vendor, store_domain FROM vdash WHERE available = false
+SELECT title, variant_title, vendor, store_domain,
+       CAST(row_number() OVER (ORDER BY min((variant_id, product_id, supplier_key))) AS INTEGER) AS place
+FROM vdash WHERE available = false
 GROUP BY title, variant_title, vendor, store_domain
 ORDER BY min((variant_id, product_id, supplier_key)) LIMIT 10"""),
     "q_most_expensive": _w("""
 , best AS (SELECT *, row_number() OVER (PARTITION BY product_id
                                          ORDER BY price DESC NULLS LAST, variant_id, product_id, supplier_key) AS rn
            FROM vdash)
-SELECT product_id, title, vendor, price, store_domain FROM best WHERE rn = 1
+SELECT product_id, title, vendor, price, store_domain,
+       CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, variant_id, product_id, supplier_key) AS INTEGER) AS place
+FROM best WHERE rn = 1
 ORDER BY price DESC NULLS LAST, variant_id, product_id, supplier_key LIMIT 5"""),
     "q_raw_projection": _w("""
 SELECT store_domain, vendor, title, product_type, variant_title, price, available,

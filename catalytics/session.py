@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "catalytics",
@@ -68,24 +68,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df, min_partitions: int | None = None):
-    """Rebalance a DataFrame that has fewer partitions than the cluster can run.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: what is above it runs once, however often it is used."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    An unsplittable input (one file / one row group) scans as a single task
-    and every narrow step after it would run single-threaded. Inputs that
-    already have enough splits (the normal case on a large table) are left
-    untouched, so no shuffle is added there. Filters and column pruning are
-    still pushed below the round-robin exchange.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as is
-        return df
-    return df.repartition(target) if current < target else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = False):
-    """Read a driver table; ``rebalance`` spreads an unsplittable file before heavy per-row work."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df) if rebalance else df
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a driver table."""
+    return spark.read.parquet(table_path(sf_dir, name))

@@ -32,14 +32,15 @@ def normalise_na(df: DataFrame, columns: list[str] | None = None,
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True,
-             na_tokens: bool = True) -> DataFrame:
+             na_tokens: bool = True, multi_line: bool = False) -> DataFrame:
     """Read a CSV with an explicit all-text schema.
 
     ``header=False`` reads by position (S2): the header line stays a data row.
-    Quoted fields may span lines (``body_html``).
+    ``multi_line`` is for files whose quoted fields hold line breaks (``body_html``);
+    such a file can't be split, so it is off by default.
     """
     df = (spark.read.schema(string_schema(columns))
-          .option("header", header).option("multiLine", True).option("escape", '"')
+          .option("header", header).option("multiLine", multi_line).option("escape", '"')
           .option("mode", "PERMISSIVE").csv(path))
     return normalise_na(df, columns) if na_tokens else df
 

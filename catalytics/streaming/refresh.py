@@ -17,14 +17,15 @@ from pyspark.sql import types as T
 
 
 def refresh(spark: SparkSession, landing_dir: str, table_dir: str, checkpoint_dir: str, schema: T.StructType,
-            transform: Callable[[DataFrame], DataFrame] | None = None, header: bool = True) -> int:
-    """Process every file that landed since the last refresh; returns new rows written."""
-    src = (spark.readStream.schema(schema).option("header", header).option("multiLine", True)
+            transform: Callable[[DataFrame], DataFrame] | None = None, header: bool = True, multi_line: bool = False) -> None:
+    """Process every file that landed since the last refresh.
+
+    ``multi_line``: quoted fields may hold line breaks (a file is then one task).
+    """
+    src = (spark.readStream.schema(schema).option("header", header).option("multiLine", multi_line)
            .option("escape", '"').csv(landing_dir))
     out = transform(src) if transform else src
     q = (out.writeStream.format("parquet").option("path", table_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = q.recentProgress
-    return int(sum(p.get("numInputRows", 0) for p in progress)) if progress else 0

@@ -56,3 +56,11 @@ def test_train_job_saves_reloadable_model(spark):
     model = RandomForestClassificationModel.load(f"{out}/model")
     assert model.getNumTrees == 100
     assert len(ml.importances(model)) == 4
+
+
+def test_one_class_is_refused(spark):
+    import pytest
+
+    data = MQ.labelled(spark, SF_SMALL, threshold=100)
+    with pytest.raises(ValueError, match="two classes"):
+        ml.train(data)

@@ -75,3 +75,20 @@ def test_topk_is_prefix_of_full_sort(spark):
 def test_variant_kpis_add_up(spark):
     k = VQ.q_variant_kpis(spark, SF_SMALL).collect()[0]
     assert k.available_variants + k.unavailable_variants == k.variants
+
+
+def test_exact_quantiles_gather_no_value_maps(spark):
+    from catalytics.plans import ml_queries as MQ
+
+    for q in (VQ.q_variant_kpis, LQ.q_describe, MQ.q_ml_labels):
+        assert "ObjectHashAggregate" not in plan(q(spark, SF_SMALL)), q.__name__
+
+
+def test_display_plans_have_no_python(spark):
+    for q in (LQ.q_display_fields, LQ.q_display_no_discount, LQ.q_display_grid, LQ.q_kpi_display, VQ.q_variant_kpi_display):
+        assert "Python" not in plan(q(spark, SF_SMALL)), q.__name__
+
+
+def test_orders_is_read_for_its_dates_only(spark):
+    assert "orders.parquet" not in plan(VQ.q_availability(spark, SF_SMALL))
+    assert "orders.parquet" in plan(VQ.q_variant_clean(spark, SF_SMALL))

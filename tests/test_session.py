@@ -1,24 +1,38 @@
-"""Session helpers: conditional rebalancing keeps pushdown; shared folder handling."""
+"""Session helpers: shared folder handling, written intermediate tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from catalytics.session import read_table, scratch_path, shared_dir, spread
-from conftest import SF_SMALL
+from catalytics.session import materialise, scratch_path, shared_dir
 
 
-def test_spread_only_when_needed(spark):
-    wide = spark.range(0, 1000, numPartitions=16)
-    assert spread(wide, 8) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert spread(narrow, 8).rdd.getNumPartitions() == 8
+def test_missing_shared_folder_is_an_error_on_a_cluster():
+    """Without spark.checkpoint.dir a cluster session raises; a local one gets a folder of its own."""
+    class Context:
+        master, folder = "spark://host:7077", None
 
+        def getCheckpointDir(self):
+            return self.folder
 
-def test_rebalanced_read_keeps_pushdown_and_pruning(spark):
-    df = read_table(spark, SF_SMALL, "lineitem", rebalance=True).where(F.col("l_quantity") > 10).select("l_partkey")
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in p
-    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in p
-    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in p
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert shared_dir(Session()) == Session.sparkContext.folder
+
+
+def test_materialised_tables_are_read_back(spark):
+    df = materialise(spark.range(5).withColumn("x", F.lit("a")), "test-materialise")
+    assert df.count() == 5 and "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def test_scratch_paths_are_unique_under_the_shared_folder(spark):

@@ -13,6 +13,33 @@ def test_describe_exact_and_approximate(spark):
     assert abs(approx.p50 - exact.p50) <= 1.5 * 10001 / 10000 + 1.5
 
 
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    data = {"a": rng.normal(0, 100, 997), "b": np.repeat([3.0, 7.0, 1e12], [500, 490, 7]), "c": np.round(rng.exponential(5, 997), 1)}
+    rows = [tuple(float(x) for x in r) for r in zip(*data.values(), strict=True)] + [(None, None, float("nan"))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("d", F.lit(None).cast("double"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["column"], r["share"]): r["value"] for r in stats.quantiles(df, ["a", "b", "c", "d"], shares).collect()}
+    assert set(got) == {(c, q) for c in data for q in shares}
+    for (c, q), value in got.items():
+        assert abs(value - np.quantile(data[c], q)) <= 1e-9 * max(1.0, abs(value))
+    assert stats.quantiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
+def test_ranks_follow_the_order(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 101) for i in range(500)], "k int, v int").repartition(7)
+    got = stats.ranked(df, "v", "k").collect()
+    assert [r["k"] for r in sorted(got, key=lambda r: r["rank"])] == [r["k"] for r in sorted(got, key=lambda r: (r["v"], r["k"]))]
+    assert sorted(r["rank"] for r in got) == list(range(1, 501))
+
+
+def test_slider_bounds(spark):
+    one = lambda values: tuple(stats.slider_bounds(spark.createDataFrame([(v,) for v in values], "price double"), "price").first())
+    assert one([1.5, 4.0]) == (1.5, 4.0) and one([2.0, 2.0]) == (2.0, 3.0) and one([None]) == (0.0, 1.0)
+
+
 def test_histogram_counts_sum_to_non_null(spark):
     df = spark.createDataFrame([(float(i % 37),) for i in range(500)] + [(None,)], "v double")
     h = stats.histogram(df, "v", 10)
