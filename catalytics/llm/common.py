@@ -7,9 +7,21 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import read_table, scratch_path
+from . import kernels as K
+
+
+#: Rows and bytes of a batch that passes between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the memory of a worker's batch small: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return read_table(spark, sf_dir, "documents")
 
 
@@ -61,4 +73,23 @@ def per_batch(function: Callable, schema: str) -> Callable[[DataFrame], DataFram
         for batch in batches:
             yield from function(batch)
 
-    return lambda df: df.mapInArrow(run, schema)
+    return lambda df: df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run(batches)`` that gives its memory back to the system when a task ends: workers outlive their tasks."""
+    def whole(batches: Iterator):
+        yield from run(batches)
+        K.release()
+
+    return whole
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of a group's table."""
+    def whole(table):
+        out = run(table)
+        K.release()
+        return out
+
+    return whole

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import per_batch, read_table
+from .common import per_batch, read_table, small_batches
 
 # fixed values: element names and name parts of the HTML standard and common page furniture
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -194,6 +194,7 @@ def _extract(batch: pa.RecordBatch):
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
+    small_batches(pages.sparkSession)
     plain = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     return per_batch(_extract, "page_id long, url string, text string, n_chars long")(plain)
 

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
-from .common import documents, landed, per_batch, read_table, texts
+from .common import documents, landed, per_batch, read_table, texts, tidy
 
 WORD_BITS = 18
 PAIR_BITS = 21
+RUN_BYTES = 1 << 21  # every run passes over tables of fixed size
 STRETCH = 1 << 14  # slots that one row of counts covers
 MIX = 0.7  # weight of the bigram estimate where its context is known
 PRIOR = 0.1  # added to every word's count
@@ -53,7 +54,7 @@ def _count(batches):
     """Counts of a task's documents: rows ``model, name, stretch, at, n`` of the non-zero slots."""
     sums = {(model, name): np.zeros(SIZES[name], np.int64) for model in (0, 1) for name in TABLES}
     for batch in batches:
-        for rows, data, offsets in K.runs(batch, "text"):
+        for rows, data, offsets in K.runs(batch, "text", RUN_BYTES):
             word, _, pair, doc, _ = slots(data, offsets)
             good = rows.column(1).fill_null(False).to_numpy(zero_copy_only=False)[doc]
             for name, slot in (("words", word), ("pairs", pair)):
@@ -128,8 +129,8 @@ def _own_contexts(doc: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.
 
 def train(marked: DataFrame) -> Models:
     """Count ``(doc_id, good, text)`` rows: all for the background, those marked good for the target."""
-    parts = marked.mapInArrow(_count, "model int, name string, stretch int, at binary, n binary")
-    summed = landed(parts.repartition("model", "name", "stretch").mapInArrow(_add, "model int, name string, stretch int, n binary"), "lm-counts")
+    parts = marked.mapInArrow(tidy(_count), "model int, name string, stretch int, at binary, n binary")
+    summed = landed(parts.repartition("model", "name", "stretch").mapInArrow(tidy(_add), "model int, name string, stretch int, n binary"), "lm-counts")
     counts = {(m, name): np.zeros(SIZES[name], np.int64) for m in (0, 1) for name in TABLES}
     for r in summed.toLocalIterator():  # tables of fixed size, whatever the corpus
         counts[r["model"], r["name"]][r["stretch"] * STRETCH:(r["stretch"] + 1) * STRETCH] = np.frombuffer(bytes(r["n"]), "<i8")
@@ -141,7 +142,7 @@ def score(marked: DataFrame, models: Models) -> DataFrame:
     shared = marked.sparkSession.sparkContext.broadcast(models)
 
     def run(batch: pa.RecordBatch):
-        for rows, data, offsets in K.runs(batch, "text"):
+        for rows, data, offsets in K.runs(batch, "text", RUN_BYTES):
             word, context, pair, doc, first = slots(data, offsets)
             good = rows.column(1).fill_null(False).to_numpy(zero_copy_only=False)[doc]
             n = np.diff(first)

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
+
 MAX_BITS = 28
 
 
@@ -46,6 +48,6 @@ def split(rows: DataFrame, key: str, packed: np.ndarray) -> tuple[DataFrame, Dat
                 key_hash = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield batch.filter(pa.array(passes(shared.value, key_hash) == wanted))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(tidy(run), rows.schema)
 
     return part(True), part(False)

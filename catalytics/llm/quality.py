@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
-from .common import documents, landed, per_batch, read_table, texts
+from .common import documents, landed, per_batch, read_table, texts, tidy
 
 FEATURES = ("log_words", "word_length", "upper", "marks", "mark_runs", "lone_marks", "digits", "repeats", "distinct")
 SCHEMA = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
@@ -176,13 +176,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """Filter: the rows of ``docs`` that the classifier accepts, all columns as they are."""
-    model = fit(training_rows(document_features(docs), labels))
+    model = fit(training_rows(document_features(docs), labels))  # sets small batches, too
 
     def run(batch: pa.RecordBatch):
         for rows, data, offsets in K.runs(batch, text_col):
             yield rows.filter(pa.array(score_of(model.margin(features(data, offsets))) >= 0.5))
 
-    return docs.mapInArrow(lambda batches: (out for b in batches for out in run(b)), docs.schema)
+    return docs.mapInArrow(tidy(lambda batches: (out for b in batches for out in run(b))), docs.schema)
 
 
 def op7_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K, prefilter
-from .common import attach, documents, landed, per_batch, same_row, texts
+from .common import attach, documents, landed, per_batch, same_row, texts, tidy_group
 
 LENGTH = 400
 GRAM = 100
@@ -214,7 +214,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = members.join(contexts.withColumnRenamed("context", "c"), F.col("context") == F.col("c")).select("key", "context", "many", "anchor_at", "bytes")
     calls = max(1, -(-members.count() // GROUPED))
     built = (rows.where(F.col("many") <= hot).groupBy(F.pmod(F.xxhash64("key"), F.lit(calls)).alias("call"))
-             .applyInArrow(_build, "context long, first int, last int"))
+             .applyInArrow(tidy_group(_build), "context long, first int, last int"))
     windows = per_batch(_window_hashes, "key long, context long, column int, window long")(rows.where(F.col("many") > hot))
     met = windows.groupBy("key", "column", "window").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b")
     again = windows.join(met.select(F.col("key").alias("mk"), F.col("column").alias("mc"), F.col("window").alias("mw")),
