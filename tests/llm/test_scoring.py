@@ -9,7 +9,6 @@ import numpy as np
 
 from catalytics.llm import decontaminate, lm_score, quality
 from conftest import SF_SMALL
-from .conftest import frame
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -101,14 +100,11 @@ def test_winnowing_keeps_a_fingerprint_of_every_window():
 
 def brute_losses(rows, good):
     """The models of ``lm_score`` with dictionaries, over the same slots."""
-    from catalytics.llm import kernels as K
-
     slots = []
     for _, text, *_ in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         word, context, pair, _, _ = lm_score.slots(raw, np.array([0, len(raw)]))
         slots.append((word.tolist(), context.tolist(), pair.tolist()))
-    assert K.seeded(77) is not None
     out = []
     tables = []
     for member in ([True] * len(rows), good):
