@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K, prefilter
-from .common import attach, documents, landed, per_batch, texts
+from .common import attach, documents, landed, per_batch, texts, tidy, tidy_group
 
 WINDOW = 13
 PERIOD = 7
 COVER = (1, 2, 4)  # every difference modulo 7 is one of two members
 GRAM = WINDOW - PERIOD + 1
-BLOCK = 1 << 19  # hashes that a task gathers before it sends them
+BLOCK = 1 << 18  # hashes that a task gathers before it sends them
 LAST = np.iinfo(np.int64).max
 
 BLOCK_ROW = ("block long, doc_ids array<long>, tkeys array<long>, counts array<int>, positions binary, entries binary, local binary, "
@@ -238,13 +238,13 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = texts(docs)
-    sent = plain.select("text").mapInArrow(_anchor_blocks(buckets), "bucket int, own binary, multi binary")
-    found = landed(sent.groupBy("bucket").applyInArrow(_repeated, "n long, hashes binary"), "cover-anchors")
+    sent = plain.select("text").mapInArrow(tidy(_anchor_blocks(buckets)), "bucket int, own binary, multi binary")
+    found = landed(sent.groupBy("bucket").applyInArrow(tidy_group(_repeated), "n long, hashes binary"), "cover-anchors")
     shared = spark.sparkContext.broadcast(_bitmap(found))
-    blocks = landed(plain.select("doc_id", "tkey", "text").mapInArrow(_window_blocks(shared), BLOCK_ROW), "cover-windows")
+    blocks = landed(plain.select("doc_id", "tkey", "text").mapInArrow(tidy(_window_blocks(shared)), BLOCK_ROW), "cover-windows")
     asked = per_batch(_questions(buckets), "bucket int, block long, hashes binary, checks binary, least binary")(
         blocks.select("block", "hashes", "checks", "least"))
-    answers = asked.groupBy("bucket").applyInArrow(_answers, "of long, bucket int, n int, bits binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy_group(_answers), "of long, bucket int, n int, bits binary")
     answers = answers.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answers"))
     met = blocks.join(answers, F.col("block") == F.col("of")).select("doc_ids", "tkeys", "counts", "positions", "entries", "local", "answers")
     return per_batch(_decide, "doc_id long, tkey long, spans array<struct<start: int, stop: int>>")(met).dropDuplicates(["doc_id", "tkey"])
