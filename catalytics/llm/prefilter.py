@@ -51,3 +51,17 @@ def split(rows: DataFrame, key: str, packed: np.ndarray) -> tuple[DataFrame, Dat
         return rows.mapInArrow(tidy(run), rows.schema)
 
     return part(True), part(False)
+
+
+def hot_join(rows: DataFrame, row_key: str, facts: DataFrame, fact_key: str, hot: np.ndarray, salts: int = 32) -> DataFrame:
+    """Inner join of many ``rows`` with one fact per key (both keys long), where a key may hold any share of the rows.
+
+    Rows of the keys in the bitmap ``hot`` are dealt over ``salts`` parts by their content and their facts
+    repeated for each part; the other keys are joined as they are.
+    """
+    many, few = split(rows, row_key, hot)
+    facts_many, facts_few = split(facts, fact_key, hot)
+    salted = many.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    repeated = facts_many.withColumn("fact_salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    first = salted.join(repeated, (F.col(row_key) == F.col(fact_key)) & (F.col("salt_") == F.col("fact_salt_"))).drop("salt_", "fact_salt_")
+    return first.unionByName(few.join(facts_few, F.col(row_key) == F.col(fact_key)))

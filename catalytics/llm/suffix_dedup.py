@@ -41,6 +41,7 @@ REACH = LENGTH - GRAM  # bytes on either side of an anchor that a window with it
 HALF = REACH // 2
 WIDTH = 2 * REACH + GRAM
 HOT = 1 << 15
+COPIED = 2048  # places from which a context's join is dealt over several tasks
 GROUPED = 1 << 13  # contexts that one call builds at once
 
 ANCHOR = "doc_id long, tkey long, pos int, hash long, context long, right long, left long, before int, after int"
@@ -225,7 +226,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     built = built.groupBy("context").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     of = distinct.select(F.col("context").alias("c"), "times").join(
         built.select(F.col("context").alias("bc"), "first", "last"), F.col("c") == F.col("bc"), "left").where("times > 1 or first is not null")
-    spans = marks.join(of, F.col("context") == F.col("c"))
+    copied = prefilter.bitmap(landed(distinct.where(F.col("times") >= COPIED).select("context"), "suffix-copied"), "context")
+    spans = prefilter.hot_join(marks, "context", of.drop("bc"), "c", copied)
     whole = F.col("times") > 1
     return spans.select("doc_id", "tkey",
                         F.when(whole, F.col("pos") - F.col("before")).otherwise(F.col("pos") - REACH + F.col("first")).alias("start"),
