@@ -32,10 +32,11 @@ FURNITURE = set("nav footer aside form button select option textarea script styl
                 "dialog menu head title audio video map fieldset".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = set("ul ol dl table tbody thead tfoot select body article main section div td th blockquote".split())
-PARTS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
-            "popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu nav navbar navigation breadcrumb "
-            "breadcrumbs pagination pager footer comment comments disqus replies reply respond share sharing social related recommended "
-            "recommendations teaser toolbar search skip masthead topbar copyright disclaimer legal".split())
+PARTS = set("ad ads adslot adbox adsense adunit banner consent gdpr notice notices popup modal overlay subscribe subscription signup "
+            "login widget widgets menu menus nav navbar navigation pagination pager footer disqus replies reply respond share sharing "
+            "social related recommended recommendations toolbar search skip masthead topbar copyright disclaimer legal contentinfo "
+            "complementary alert dialog".split())
+PREFIXES = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
 NAMES = re.compile(r"(?:\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))|\b(hidden)\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -44,17 +45,21 @@ WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """Label part of an element's class, id and role, and whether they name page furniture."""
-    label, furniture = "", False
+def _named(attributes: str) -> tuple[str, int]:
+    """Label part of an element's class, id and role, and whether they name page furniture (2) or a header (1)."""
+    label, furniture = "", 0
     for m in NAMES.finditer(attributes):
         if not m[1]:
-            furniture = True  # hidden from readers
+            furniture = 2  # hidden from readers
             continue
         for name in m[2].strip("\"'").lower().split():
             label += "." + name
             if not name.startswith(("no-", "has-", "with-", "without-")):
-                furniture = furniture or not PARTS.isdisjoint(WORD_SPLIT.split(name))
+                parts = WORD_SPLIT.split(name)
+                if not PARTS.isdisjoint(parts) or any(p.startswith(PREFIXES) for p in parts):
+                    furniture = 2
+                elif "header" in parts:
+                    furniture = max(furniture, 1)
     return label, furniture
 
 
@@ -119,9 +124,11 @@ class Page:
                         open_tags[name] -= 1
                     del stack[depth:]
             _, path, element, furniture, article = stack[-1]
-            label, named = _named(m[3]) if m[3].strip() else ("", False)
+            label, named = _named(m[3]) if m[3].strip() else ("", 0)
             article = article or tag in ("article", "main")
-            furniture = furniture or tag in FURNITURE or (tag == "header" and not article) or (named and tag not in ("html", "body", "article", "main"))
+            named = 0 if tag in ("html", "body", "article", "main") else max(named, int(tag == "header"))
+            # an article's own header holds its headline
+            furniture = furniture or tag in FURNITURE or named == 2 or (named == 1 and not article)
             number = numbers.setdefault((path, tag + label), len(numbers) + 1)
             self.parents.append(element)
             self.articles.append(tag in ("article", "main"))
