@@ -29,8 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import kernels as K
-from .common import documents, landed, per_batch, texts
+from . import kernels as K, prefilter
+from .common import documents, landed, per_batch, same_row, texts, tidy_group
 from .components import components
 
 SHINGLE = 5
@@ -173,10 +173,11 @@ def _probe(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-def links(nodes: DataFrame, texts_of_nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Labels of all nodes with a link: ``node, label``.
 
-    ``nodes``: node, size, bands (one row per distinct shingle set); ``texts_of_nodes``: node, text.
+    ``nodes``: node, size, bands, and doc_id, tkey of a row of ``docs`` that has the node's shingle set. Only
+    texts of nodes that share a bucket are fetched; a bitmap keeps most others out of that join.
     """
     spread = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -190,8 +191,10 @@ def links(nodes: DataFrame, texts_of_nodes: DataFrame) -> DataFrame:
     may = F.least("size", "hub_size") >= SIMILAR * F.greatest("size", "hub_size")
     pairs = members.where((F.col("node") != F.col("hub")) & may).select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    wanted = members.select("node").distinct()
-    sets = landed(per_batch(_sets, "node binary, shingles array<long>")(texts_of_nodes.join(wanted, "node").select("node", "text")), "dup-sets")
+    wanted = landed(nodes.select("node", "doc_id", "tkey").join(members.select("node").distinct(), "node"), "dup-wanted")
+    holders, _ = prefilter.split(texts(docs), "tkey", prefilter.bitmap(wanted, "tkey"))
+    fetched = holders.join(wanted, same_row(holders, wanted)).select("node", "text")
+    sets = landed(per_batch(_sets, "node binary, shingles array<long>")(fetched).dropDuplicates(["node"]), "dup-sets")  # repeated rows
     edges = landed(checked(pairs, sets), "dup-edges")
     labels = landed(components(edges), "dup-labels")
     # what a bucket's hub leaves open: members, other than the hub, of different classes
@@ -210,7 +213,7 @@ def links(nodes: DataFrame, texts_of_nodes: DataFrame) -> DataFrame:
     probes = named.where("label <> main").select("bucket", "node", "label", F.lit(True).alias("probe"), every("blocks").alias("block"),
                                                  part(F.col("probe_blocks")).alias("probe_block"))
     rows = base.unionByName(probes).join(sets, "node")
-    late = rows.groupBy("bucket", "block", "probe_block").applyInPandas(_probe, "a binary, b binary")
+    late = rows.groupBy("bucket", "block", "probe_block").applyInPandas(tidy_group(_probe), "a binary, b binary")
     late = landed(late.distinct(), "dup-late-edges")
     if late.isEmpty():
         return labels
@@ -225,10 +228,7 @@ def classes(docs: DataFrame) -> DataFrame:
         plain.select("doc_id", "tkey", "text")), "dup-signatures")
     one = F.min(F.struct("doc_id", "tkey")).alias("one")
     nodes = landed(signed.groupBy("node").agg(one, F.first("size").alias("size"), F.first("bands").alias("bands")), "dup-nodes")
-    chosen = nodes.select("node", F.col("one.doc_id").alias("one_id"), F.col("one.tkey").alias("one_key"))
-    # one text per node: copies of the chosen row are dropped where they repeat
-    text_of = plain.join(chosen, (plain["tkey"] == chosen["one_key"]) & plain["doc_id"].eqNullSafe(chosen["one_id"])).select("node", "text")
-    labels = links(nodes.where(F.size("bands") > 0).select("node", "size", "bands"), text_of.dropDuplicates(["node"]))
+    labels = links(nodes.where(F.size("bands") > 0).select("node", "size", "bands", "one.doc_id", "one.tkey"), docs)
     named = signed.select("doc_id", "tkey", "node").join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         "doc_id", "tkey", "node", F.coalesce("label", "node").alias("label"))
     named = landed(named, "dup-named")
@@ -240,12 +240,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Filter: of every class the row with the smallest id (and text hash), all columns as they are."""
     found = classes(docs)
     first = found.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "tkey", "doc_id")).alias("one"))
-    kept = first.select(F.col("one.doc_id").alias("kept_id"), F.col("one.tkey").alias("kept_key"))
+    # ids as texts, so that a null id is a value: the window then finds the join's partitioning in place
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = first.select(name(F.col("one.doc_id")).alias("kept_id"), F.col("one.tkey").alias("kept_key"))
     names = docs.columns
-    mine = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), docs["doc_id"].cast("long").alias("id"),
+    mine = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), name(docs["doc_id"].cast("long")).alias("id"),
                        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("key"))
-    met = mine.join(kept, mine["id"].eqNullSafe(kept["kept_id"]) & (mine["key"] == kept["kept_key"]))
-    nth = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.lit(1)))  # repeated rows: one stays
+    met = mine.join(kept, (mine["id"] == kept["kept_id"]) & (mine["key"] == kept["kept_key"]))
+    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(1)))  # repeated rows: one stays
     return met.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
