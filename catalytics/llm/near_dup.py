@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import kernels as K, prefilter
-from .common import documents, landed, per_batch, same_row, texts, tidy_group
+from .common import documents, landed, per_batch, same_row, texts
 from .components import components
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 BLOCK = 1024
+RUN_BYTES = 1 << 22  # the number of throws of a run is that of its smallest document: long runs share them
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +121,7 @@ def node_keys(value: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _sign(batch: pa.RecordBatch):
-    for rows, data, offsets in K.runs(batch, "text"):
+    for rows, data, offsets in K.runs(batch, "text", RUN_BYTES):
         value, first = shingles(data, offsets)
         signed = signatures(value, np.ones(len(value)), first, BANDS * ROWS)
         bands = np.zeros((len(first) - 1, BANDS), np.uint64)
@@ -213,7 +214,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     probes = named.where("label <> main").select("bucket", "node", "label", F.lit(True).alias("probe"), every("blocks").alias("block"),
                                                  part(F.col("probe_blocks")).alias("probe_block"))
     rows = base.unionByName(probes).join(sets, "node")
-    late = rows.groupBy("bucket", "block", "probe_block").applyInPandas(tidy_group(_probe), "a binary, b binary")
+    late = rows.groupBy("bucket", "block", "probe_block").applyInPandas(_probe, "a binary, b binary")
     late = landed(late.distinct(), "dup-late-edges")
     if late.isEmpty():
         return labels
