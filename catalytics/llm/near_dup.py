@@ -37,7 +37,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 BLOCK = 1024
-RUN_BYTES = 1 << 22  # the number of throws of a run is that of its smallest document: long runs share them
+RUN_BYTES = 1 << 20  # the number of throws of a run is that of its smallest document: long runs share them
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
