@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import kernels as K
+from . import kernels as K, prefilter
 from .common import documents, landed, per_batch, read_table, texts, tidy
 
 WORD_BITS = 18
@@ -154,11 +154,20 @@ def score(marked: DataFrame, models: Models) -> DataFrame:
 
 
 def mark(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, good, text``: whether a document belongs to the target."""
+    """``doc_id, good, text``: whether a document belongs to the target.
+
+    Only texts whose id may be that of a target document (a bitmap of bounded size tells) are
+    shuffled to meet their labels, with tables of any size by the same join.
+    """
     good = (labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["quality"].cast("int").alias("q"))
-            .where("label_id is not null and q is not null").groupBy("label_id").agg(F.min("q").alias("q")).where("q = 1").select("label_id"))
-    plain = texts(docs)
-    return plain.join(good, plain["doc_id"] == good["label_id"], "left").select("doc_id", F.col("label_id").isNotNull().alias("good"), "text")
+            .where("label_id is not null and q is not null").groupBy("label_id").agg(F.min("q").alias("q")).where("q = 1")
+            .select("label_id", F.xxhash64("label_id").alias("hash")))
+    good = landed(good, "lm-target")
+    plain = texts(docs).select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+    some, none = prefilter.split(plain, "hash", prefilter.bitmap(good))
+    met = some.join(good.select("label_id").hint("merge"), some["doc_id"] == good["label_id"], "left")
+    return met.select("doc_id", F.col("label_id").isNotNull().alias("good"), "text").unionByName(
+        none.select("doc_id", F.lit(False).alias("good"), "text"))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
