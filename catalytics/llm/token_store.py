@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
 from . import kernels as K
-from .common import documents, texts
+from .common import documents, texts, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 VOCABULARY = 49408
@@ -34,7 +34,9 @@ END = 1
 SHARD_TOKENS = 1 << 20
 MAX_RULES = (1 << 16) - VOCABULARY  # symbols are 16 bits wide
 MIN_COUNT = 24  # a pair less frequent than this does not pay for its rule
+PAIR_BITS = 20  # size of the table that counts pairs
 CACHED_PIECES = 600_000
+RUN_BYTES = 1 << 21  # longer runs hold fewer distinct pieces
 
 SHARD = ("part int, shard int, first_id long, last_id long, n_tokens long, doc_ids array<long>, doc_symbols array<int>, "
          "doc_tokens array<int>, rules binary, rule_lengths binary, symbols binary")
@@ -138,48 +140,61 @@ class Encoder:
 def repair(ids: np.ndarray, doc_lengths: np.ndarray, vocabulary: int = VOCABULARY, max_rules: int = MAX_RULES, min_count: int = MIN_COUNT):
     """Re-Pair: symbols, symbols per document, and the rules (pairs of symbols) in order of creation.
 
-    Each round counts all adjacent pairs, turns those within a factor four of the most
+    Each round counts all adjacent pairs, turns those within a factor eight of the most
     frequent into rules and replaces them from left to right, until no pair occurs
-    ``min_count`` times. The counts of a round first bound each pair from above in a
-    hashed table; only pairs that may qualify are counted exactly.
+    ``min_count`` times. Pairs are counted in a table by hash; where two share a slot the round
+    counts one of them exactly and leaves the other to a later round, which hashes differently.
     """
     seq = ids.astype(np.uint32)
     opens = np.zeros(len(seq), bool)
     opens[(np.cumsum(doc_lengths) - doc_lengths)] = True
     rules = np.zeros((0, 2), np.uint32)
-    least = None
+    held = np.zeros(1 << PAIR_BITS, np.uint64)
+    least, turn = None, 0
     while len(seq) > 1 and len(rules) < max_rules:
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((code * np.uint64(K.BASE)) >> np.uint64(44)).astype(np.int64)
-        within = ~opens[1:]
-        bound = np.bincount(slot[within], minlength=1 << 20)
-        if least is None or least > bound.max():
-            least = int(bound.max())
-        if least < min_count:
+        turn += 1
+        code = seq[:-1].astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= seq[1:]
+        slot = (code * np.uint64(K.BASE + 2 * turn) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
+        slot[opens[1:]] = -1  # pairs across documents
+        bound = np.bincount(slot + 1, minlength=(1 << PAIR_BITS) + 1)[1:]
+        top = int(bound.max())
+        if top < min_count:
             break
-        least = max(min_count, least // 4)
-        at = np.flatnonzero((bound[slot] >= least) & within)
-        pairs, which, counts = np.unique(code[at], return_inverse=True, return_counts=True)
-        good = counts >= least
-        if good.sum() > max_rules - len(rules):
+        last = least == min_count
+        least = max(min_count, min(top, least or top) // 8)
+        frequent = np.append(bound >= least, False)  # the last entry serves slot -1
+        at = np.flatnonzero(frequent[slot])
+        place, own = slot[at], code[at]
+        held[place] = own
+        same = held[place] == own
+        at, place = at[same], place[same]
+        good = np.bincount(place, minlength=1 << PAIR_BITS) >= least
+        room = max_rules - len(rules)
+        if good.sum() > room:
+            best = np.argsort(-np.where(good, bound, 0), kind="stable")[:room]
             good[:] = False
-            good[np.argsort(-counts, kind="stable")[:max_rules - len(rules)]] = True
-            good &= counts >= least
-        if good.any():
-            symbol = np.cumsum(good) - 1 + vocabulary + len(rules)
-            chosen = good[which]
-            at, new = at[chosen], symbol[which[chosen]]
-            # of pairs that overlap, take every other one from the left
-            run_start = np.concatenate([[True], np.diff(at) > 1])
-            offset = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-            take = offset % 2 == 0
-            at, new = at[take], new[take]
-            rules = np.concatenate([rules, np.column_stack([pairs[good] >> np.uint64(32), pairs[good] & np.uint64(0xFFFFFFFF)]).astype(np.uint32)])
-            seq[at] = new
-            keep = np.ones(len(seq), bool)
-            keep[at + 1] = False
-            seq, opens = seq[keep], opens[keep]
-        if least == min_count and not good.any():
+            good[best] = True
+        if not good.any():
+            if last:
+                break
+            continue
+        symbol = (np.cumsum(good) - 1 + vocabulary + len(rules)).astype(np.uint32)
+        chosen = good[place]
+        at, new = at[chosen], symbol[place[chosen]]
+        # of pairs that overlap, take every other one from the left
+        index = np.arange(len(at))
+        run_start = np.concatenate([[True], np.diff(at) > 1])
+        take = (index - np.maximum.accumulate(np.where(run_start, index, 0))) % 2 == 0
+        at, new = at[take], new[take]
+        pairs = held[good]
+        rules = np.concatenate([rules, np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)])
+        seq[at] = new
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq, opens = seq[keep], opens[keep]
+        if last and len(at) < len(seq) // 200:  # what is left pays for no further round
             break
     begins = np.flatnonzero(opens)
     return seq, np.diff(np.append(begins, len(seq))), rules
@@ -239,7 +254,7 @@ def _shard_rows(tokenizer: str):
             return pa.RecordBatch.from_arrays([every[c] for c in names], names)
 
         for batch in batches:
-            for rows, data, offsets in K.runs(batch, "text"):
+            for rows, data, offsets in K.runs(batch, "text", RUN_BYTES):
                 ids, lengths = encoder.run(data, offsets)
                 held.append((rows.column(0), ids, lengths))
                 if sum(len(h[1]) for h in held) >= SHARD_TOKENS:
@@ -254,7 +269,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None
     """Write ``docs`` in ascending doc_id order as ``path/shards`` and ``path/manifest``."""
     spark = docs.sparkSession
     ordered = texts(docs).repartitionByRange("doc_id", "tkey").sortWithinPartitions("doc_id", "tkey").select("doc_id", "text")
-    ordered.mapInArrow(_shard_rows(tokenizer), SHARD).write.parquet(f"{path}/shards")
+    ordered.mapInArrow(tidy(_shard_rows(tokenizer)), SHARD).write.parquet(f"{path}/shards")
     shards = spark.read.schema(SHARD).parquet(f"{path}/shards").select("part", "shard", "first_id", "last_id", "n_tokens")
     # global starts: running sums within a part, on top of the totals of the parts before (one row a part)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
@@ -297,7 +312,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
     shards, manifest = _tables(spark, path)
     schema = "doc_id long, part int, shard int, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    rows = shards.mapInArrow(run, schema)
+    rows = shards.mapInArrow(tidy(run), schema)
     return rows.join(manifest.select("part", "shard", F.col("start").alias("shard_start")), ["part", "shard"]).select(
         "doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
@@ -323,7 +338,7 @@ def read_range(spark: SparkSession, path: str, start: int, count: int) -> DataFr
     shards, manifest = _tables(spark, path)
     wanted = manifest.where((F.col("start") < start + count) & (F.col("start") + F.col("n_tokens") > start))
     met = shards.join(wanted.select("part", "shard", "start"), ["part", "shard"])
-    return met.select("start", "n_tokens", "rules", "rule_lengths", "symbols").mapInArrow(run, "start long, ids array<int>")
+    return met.select("start", "n_tokens", "rules", "rule_lengths", "symbols").mapInArrow(tidy(run), "start long, ids array<int>")
 
 
 def encode_and_read(docs: DataFrame) -> DataFrame:
