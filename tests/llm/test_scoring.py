@@ -150,3 +150,38 @@ def test_scores_tell_good_from_bad(spark):
     rows = lm_score.op6_cross_entropy_difference(spark, MIDDLE).join(marks, marks["i"] == lm_score.F.col("doc_id")).collect()
     mean = {q: np.mean([r["score"] for r in rows if r["quality"] == q]) for q in (0, 1)}
     assert mean[1] < mean[0]
+
+
+def test_losses_count_words_and_pairs_themselves(spark):
+    """More distinct words and bigrams than 2**18 and 2**21, against dictionaries keyed by the words."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in np.where(rng.random(4000) < 0.3, rng.integers(0, 50, 4000), rng.integers(0, 1 << 20, 4000))) for _ in range(700)]
+    texts += ["", " w1  W1 w2\n", "the the the"]
+    good = [i % 3 == 0 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    marks = labels_of(spark, [(i, int(g), 0) for i, g in enumerate(good)])
+    tables = [(collections.Counter(), collections.Counter()) for _ in range(2)]
+    split = [t.lower().split() for t in texts]
+    for w, g in zip(split, good, strict=True):
+        for words, pairs in tables[:1 + g]:
+            words.update(w)
+            pairs.update(zip(w, w[1:]))
+    distinct = len(tables[0][0])
+    assert distinct > 1 << 18 and len(tables[0][1]) > 1 << 21
+    tokens = [sum(t[0].values()) for t in tables]
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, marks).collect()}
+    assert len(got) == len(texts)
+    for i in [0, 1, 2, 350, 699, 700, 701, 702]:
+        w, losses = split[i], []
+        for (words, pairs), scale, n, inside in zip(tables, (tokens[1] / tokens[0], 1.0), tokens, (True, good[i]), strict=True):
+            own_w, own_p = (collections.Counter(w), collections.Counter(zip(w, w[1:]))) if inside else ({}, {})
+            loss = 0.0
+            for before, a in zip([None, *w], w):
+                single = (scale * (words[a] - (own_w[a] if inside else 0)) + lm_score.PRIOR) / (scale * (n - len(w) * inside) + lm_score.PRIOR * distinct)
+                seen = scale * (words[before] - (own_w[before] if inside else 0))
+                both = min(scale * (pairs[before, a] - (own_p[before, a] if inside else 0)), seen)
+                weight = lm_score.MIX * seen / (seen + 1)
+                loss -= np.log(weight * both / max(seen, 1e-9) + (1 - weight) * single)
+            losses.append(loss / max(len(w), 1))
+        assert got[i]["n_tokens"] == len(w)
+        assert np.allclose([got[i]["background_loss"], got[i]["target_loss"], got[i]["score"]], [*losses, losses[1] - losses[0]], atol=1e-6)
