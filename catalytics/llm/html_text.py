@@ -39,7 +39,8 @@ PARTS = set("ad ads adslot adbox adsense adunit banner consent gdpr notice notic
 PREFIXES = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
-NAMES = re.compile(r"(?:\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))|\b(hidden)\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 MARKS = re.compile(r"[^\w\s]")
 WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
@@ -48,11 +49,12 @@ SPACE = re.compile(r"\s+")
 def _named(attributes: str) -> tuple[str, int]:
     """Label part of an element's class, id and role, and whether they name page furniture (2) or a header (1)."""
     label, furniture = "", 0
-    for m in NAMES.finditer(attributes):
-        if not m[1]:
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and HIDING.search(value)):
             furniture = 2  # hidden from readers
             continue
-        for name in m[2].strip("\"'").lower().split():
+        for name in value.lower().split() if key in ("class", "id", "role") else ():
             label += "." + name
             if not name.startswith(("no-", "has-", "with-", "without-")):
                 parts = WORD_SPLIT.split(name)

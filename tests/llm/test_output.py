@@ -194,6 +194,16 @@ def test_main_text_without_article():
     assert html_text.main_text(page) == "\n".join([f"Paragraph {i} has a good number of words, and marks too." for i in range(5)] + ["Short."])
 
 
+def test_only_hidden_elements_are_hidden():
+    kept = ['style="overflow:hidden"', 'title="Hidden gems"', 'data-hidden="no"', "style='display:block'", 'aria-hidden="false"', 'data-note="display:none"']
+    for attribute in kept:
+        assert html_text.main_text(f"<article><h1>Head</h1><div {attribute}><p>All of this text, it stays.</p></div></article>") == "Head\nAll of this text, it stays."
+    link = "<article><p>See <a href=/the-hidden-city.html>the city</a> and <a href='/hidden'>more</a>, today.</p></article>"
+    assert html_text.main_text(link) == "See the city and more, today."
+    for attribute in ["hidden", "hidden=''", "HIDDEN=until-found", 'aria-hidden="true"', 'style="color:red; display : none"', "style='visibility:hidden'"]:
+        assert html_text.main_text(f"<article><h1>Head</h1><div {attribute}><p>None of this text, it goes.</p></div></article>") == "Head"
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "plain &lt; text", "<p", "<script>x", "<!-- a", "</p></div>", "<div>" * 30000 + "deep, text." + "</div>" * 5, "<b>" * 5 + "x" + "</i>" * 5]
     want = ["", "", "plain < text", "<p", "", "", "", "deep, text.", "x"]
