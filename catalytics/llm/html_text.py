@@ -3,9 +3,10 @@
 A page is read as a sequence of text nodes with their root-to-leaf tag paths. Per path the
 lengths of its texts, their punctuation and the number of its nodes are summed; text and
 punctuation per node are fused to one ratio, smoothed over the sequence of nodes,
-and compared with their spread: nodes above it are content. The element that holds the
-content nodes' bulk is the main one (an article or main element where the page marks one), and
-all its text that no menu, form, advert or other boilerplate element contains is the main text.
+and compared with their spread: nodes above it are content. Main are the elements that the page marks:
+its main element, or its articles, all of them. In a page without such marks it is the innermost
+container (no paragraph, heading or list) around all content nodes. All text in there that no menu, form,
+advert or other boilerplate element contains is the main text.
 
 Defined cases: null, empty and text-less pages give an empty text. Unclosed, misnested and
 unknown tags are tolerated, nesting may be of any depth, an unclosed comment or script
@@ -32,6 +33,8 @@ FURNITURE = set("nav footer aside form button select option textarea script styl
                 "dialog menu head title audio video map fieldset".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = set("ul ol dl table tbody thead tfoot select body article main section div td th blockquote".split())
+# elements of a text rather than around one
+LEAVES = INLINE | set("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dt dd pre blockquote figure figcaption address caption tr thead tbody tfoot table center".split())
 PARTS = set("ad ads adslot adbox adsense adunit banner consent gdpr notice notices popup modal overlay subscribe subscription signup "
             "login widget widgets menu menus nav navbar navigation pagination pager footer disqus replies reply respond share sharing "
             "social related recommended recommendations toolbar search skip masthead topbar copyright disclaimer legal contentinfo "
@@ -77,7 +80,7 @@ class Page:
         self.blocks: list[int] = []
         self.holders: list[int] = []
         self.furniture: list[bool] = []
-        self.parents, self.articles = [-1], [False]
+        self.parents, self.tags = [-1], [""]
         numbers: dict = {}
         stack = [("", 0, 0, False, False)]  # tag, path, element, in furniture, in an article
         open_tags: dict[str, int] = {}
@@ -133,7 +136,7 @@ class Page:
             furniture = furniture or tag in FURNITURE or named == 2 or (named == 1 and not article)
             number = numbers.setdefault((path, tag + label), len(numbers) + 1)
             self.parents.append(element)
-            self.articles.append(tag in ("article", "main"))
+            self.tags.append(tag)
             stack.append((tag, number, len(self.parents) - 1, furniture, article))
             open_tags[tag] = open_tags.get(tag, 0) + 1
             if tag in RAW:
@@ -149,14 +152,40 @@ class Page:
         self.furniture.append(top[3])
 
 
-def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, width: int = 2) -> np.ndarray:
-    """Smoothed ratio of each node: text per node of its path, raised by its punctuation per node."""
+def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Ratio of each node, text per node of its path, raised by its punctuation per node: by itself, and smoothed."""
     _, at = np.unique(paths, return_inverse=True)
     nodes = np.bincount(at)
     ratio = np.bincount(at, lengths) / nodes * (1.0 + np.bincount(at, marks) / nodes)
     kernel = np.exp(-0.5 * np.arange(-width, width + 1) ** 2)
     padded = np.pad(ratio[at], width, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), mode="valid")
+    return ratio[at], np.convolve(padded, kernel / kernel.sum(), mode="valid")
+
+
+def main_elements(page: Page, holders: list[int], weights: list[float]) -> set[int]:
+    """The elements whose text is the main one; ``holders`` are those of the text nodes, ``weights`` the content in each."""
+    content, some = [0.0] * len(page.parents), [False] * len(page.parents)
+    for e, w in zip(holders, weights, strict=True):
+        content[e] += w
+        some[e] = True
+    direct = [w > 0 for w in content]
+    for e in range(len(page.parents) - 1, 0, -1):  # parents have smaller numbers
+        content[page.parents[e]] += content[e]
+        some[page.parents[e]] |= some[e]
+    marks: list[set[int]] = [set(), set()]  # outermost articles and main elements
+    above = [False] * len(page.parents)
+    for e in range(1, len(page.parents)):
+        marked = page.tags[e] in ("article", "main")
+        if marked and not above[page.parents[e]] and some[e]:
+            marks[page.tags[e] == "main"].add(e)
+        above[e] = marked or above[page.parents[e]]
+    found = marks[0] | marks[1]
+    if any(content[e] for e in found):
+        return marks[1] if max(found, key=lambda e: (content[e], -e)) in marks[1] else found
+    common = max(e for e in range(len(page.parents)) if content[e] == content[0])  # the innermost around all
+    while page.tags[common] in LEAVES or (page.tags[common] in ("td", "th") and direct[common]):
+        common = page.parents[common]
+    return {common}
 
 
 def main_text(source: str | None) -> str:
@@ -169,27 +198,18 @@ def main_text(source: str | None) -> str:
         return ""
     lengths = np.array([len(page.texts[i]) for i in good], float)
     marks = np.array([len(MARKS.findall(page.texts[i])) for i in good], float)
-    score = path_scores(np.array([page.paths[i] for i in good]), lengths, marks)
-    chosen = score >= min(score.std(), score.max())
-    # text that the chosen nodes give to each element around them
-    weight = np.zeros(len(page.parents))
-    np.add.at(weight, [page.holders[i] for i in good], np.where(chosen, lengths, 0.0))
-    for element in range(len(page.parents) - 1, 0, -1):  # parents have smaller numbers
-        weight[page.parents[element]] += weight[element]
-    marked = [e for e in range(len(page.parents)) if page.articles[e] and weight[e] > 0]
-    if marked:
-        main = max(marked, key=lambda e: (weight[e], -e))
-    else:
-        main = max(e for e in range(len(page.parents)) if weight[e] >= 0.8 * weight[0])  # the innermost such element
-    inside = np.zeros(len(page.parents), bool)
-    inside[main] = True
-    for element in range(main + 1, len(page.parents)):
-        inside[element] = inside[page.parents[element]]
-    holds_page = not marked and page.parents[main] <= 1  # html or body: no element sets the content apart
-    keep = {i for i, c in zip(good, chosen, strict=True) if c} if holds_page else None
+    own, score = path_scores(np.array([page.paths[i] for i in good]), lengths, marks)
+    least = min(score.std(), score.max())
+    chosen = (score >= least) & (own >= least)  # not for their neighbours alone
+    if not chosen.any():
+        chosen = score >= least
+    main = main_elements(page, [page.holders[i] for i in good], np.where(chosen, lengths, 0.0).tolist())
+    inside = [e in main for e in range(len(page.parents))]
+    for element in range(1, len(page.parents)):
+        inside[element] |= inside[page.parents[element]]
     blocks: dict[int, list[str]] = {}
     for i in range(page.size):
-        if inside[page.holders[i]] and not page.furniture[i] and (keep is None or i in keep or page.texts[i].isspace()):
+        if inside[page.holders[i]] and not page.furniture[i]:
             blocks.setdefault(page.blocks[i], []).append(page.texts[i])
     lines = (SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)

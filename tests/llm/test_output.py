@@ -194,6 +194,24 @@ def test_main_text_without_article():
     assert html_text.main_text(page) == "\n".join([f"Paragraph {i} has a good number of words, and marks too." for i in range(5)] + ["Short."])
 
 
+def test_main_text_of_unmarked_pages_is_whole():
+    long = " ".join(["Some long sentence, with marks."] * 31)
+    paragraph = "A short paragraph, which has about as many as eighty characters of text in all."
+    menu = "<ul class=menu><li><a>Home</a><li><a>News</a></ul>"
+    page = f"<body>{menu}<div><h1>Head</h1><p>{long}</p><p>{paragraph}</p><p>{paragraph}</p></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", long, paragraph, paragraph])
+    page = f"<body>{menu}<div><div><p>{long}</p></div><div><p>{paragraph}</p></div></div></body>"
+    assert html_text.main_text(page) == f"{long}\n{paragraph}"
+    page = f"<body>{menu}<h1>Head</h1><p>{long}</p><h2>Next</h2><ul><li>a</li><li>b</li></ul><p>{paragraph}</p><p>{long}</p><h2>End</h2><p>So.</p></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", long, "Next", "a", "b", paragraph, long, "End", "So."])
+    page = f"<body>{menu}<div><article><h2>One</h2><p>{long}</p></article><article><h2>Two</h2><p>Tiny.</p></article></div><div>x</div></body>"
+    assert html_text.main_text(page) == f"One\n{long}\nTwo\nTiny."
+    page = f"<body>{menu}<main><h1>Head</h1><article><p>{long}</p></article><article><p>{paragraph}</p></article></main></body>"
+    assert html_text.main_text(page) == f"Head\n{long}\n{paragraph}"
+    page = f"<table><tr><td><a>Home</a></td><td><h1>Head</h1><p>{long}</p><p>{paragraph}</p></td></tr></table>"
+    assert html_text.main_text(page) == f"Head\n{long}\n{paragraph}"
+
+
 def test_only_hidden_elements_are_hidden():
     kept = ['style="overflow:hidden"', 'title="Hidden gems"', 'data-hidden="no"', "style='display:block'", 'aria-hidden="false"', 'data-note="display:none"']
     for attribute in kept:
