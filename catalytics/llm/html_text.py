@@ -34,12 +34,20 @@ FURNITURE = set("nav footer aside form button select option textarea script styl
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = set("ul ol dl table tbody thead tfoot select body article main section div td th blockquote".split())
 # elements of a text rather than around one
-LEAVES = INLINE | set("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dt dd pre blockquote figure figcaption address caption tr thead tbody tfoot table center".split())
+LEAVES = INLINE | set("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dt dd pre blockquote figure figcaption address caption tr thead tbody tfoot table".split())
 PARTS = set("ad ads adslot adbox adsense adunit banner consent gdpr notice notices popup modal overlay subscribe subscription signup "
             "login widget widgets menu menus nav navbar navigation pagination pager footer disqus replies reply respond share sharing "
             "social related recommended recommendations toolbar search skip masthead topbar copyright disclaimer legal contentinfo "
             "complementary alert dialog".split())
-PREFIXES = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "promo", "sidebar", "sponsor")
+STEMS = re.compile(r"(?:advert(?:s|ise|isements?|ising)?|breadcrumbs?|comment(?:s|list|box|form|area)?|cookie(?:s|bar|box|banner|notice|consent)?|"
+                   r"newsletters?|promo(?:s|box|banner)?|sidebars?|sponsor(?:s|ed)?)\d*")
+# words that are as often the topic of a section as the name of furniture, and words that add nothing to a name
+TOPICS = set("advertising banner consent notice notices subscribe subscription login navigation replies reply respond share sharing social related "
+             "recommended recommendations search copyright cookies disclaimer legal complementary alert dialog sponsors".split())
+PLAIN = set("area bar block bottom box button buttons col column container content form group icon icons inner item items left link links "
+            "list main outer page panel post posts primary right row secondary section site slot thread title top unit wrap wrapper".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXTS = HEADINGS | set("p li dt dd blockquote pre figcaption".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -49,29 +57,41 @@ WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-def _named(attributes: str) -> tuple[str, int]:
-    """Label part of an element's class, id and role, and whether they name page furniture (2) or a header (1)."""
+def _judge(tag: str, key: str, name: str) -> int:
+    """Whether a class, id or role names page furniture for sure (3), perhaps (2), a header (1) or nothing (0)."""
+    parts = [p for p in WORD_SPLIT.split(name) if p]
+    if name.startswith(("no-", "has-", "with-", "without-")) or (key == "id" and tag in TEXTS):  # an id there is an anchor
+        return 0
+    named = [p for p in parts if p in PARTS or STEMS.fullmatch(p)]
+    if named:
+        only = key != "id" and len(named) == len(parts)
+        if only or (not TOPICS.issuperset(named) and all(p in named or p in PLAIN or p.isdigit() for p in parts)):
+            return 3
+        return 0 if tag in TEXTS else 2
+    return int("header" in parts and tag not in HEADINGS and (key != "id" or PLAIN.issuperset(p for p in parts if p != "header")))
+
+
+def _named(tag: str, attributes: str) -> tuple[str, int]:
+    """Label part of an element's class, id and role, and what they name, as in ``_judge``."""
     label, furniture = "", 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and HIDING.search(value)):
-            furniture = 2  # hidden from readers
+            furniture = 3  # hidden from readers
             continue
         for name in value.lower().split() if key in ("class", "id", "role") else ():
-            label += "." + name
-            if not name.startswith(("no-", "has-", "with-", "without-")):
-                parts = WORD_SPLIT.split(name)
-                if not PARTS.isdisjoint(parts) or any(p.startswith(PREFIXES) for p in parts):
-                    furniture = 2
-                elif "header" in parts:
-                    furniture = max(furniture, 1)
+            found = _judge(tag, key, name)
+            if key != "id" or (tag not in TEXTS and found != 2):  # an anchor does not set a path apart
+                label += "." + name
+            furniture = max(furniture, found)
     return label, furniture
 
 
 class Page:
     """Text nodes of a page: text, tag path, block, element, whether furniture holds it.
 
-    Paths and elements are numbered; ``parents`` gives the element an element is in.
+    Paths and elements are numbered; ``parents`` gives the element an element is in, ``doubtful`` whether
+    its names may be those of furniture, ``in_article`` whether an article or main element is around it.
     """
 
     def __init__(self, source: str):
@@ -80,7 +100,9 @@ class Page:
         self.blocks: list[int] = []
         self.holders: list[int] = []
         self.furniture: list[bool] = []
-        self.parents, self.tags = [-1], [""]
+        self.links: list[bool] = []
+        self.headings: list[bool] = []
+        self.parents, self.tags, self.doubtful, self.in_article = [-1], [""], [False], [False]
         numbers: dict = {}
         stack = [("", 0, 0, False, False)]  # tag, path, element, in furniture, in an article
         open_tags: dict[str, int] = {}
@@ -96,6 +118,8 @@ class Page:
                 self.blocks.append(block)
                 self.holders.append(element)
                 self.furniture.append(furniture)
+                self.links.append(bool(open_tags.get("a")))
+                self.headings.append(any(open_tags.get(h) for h in HEADINGS))
             if not m:
                 break
             at = m.end()
@@ -129,14 +153,16 @@ class Page:
                         open_tags[name] -= 1
                     del stack[depth:]
             _, path, element, furniture, article = stack[-1]
-            label, named = _named(m[3]) if m[3].strip() else ("", 0)
+            label, named = _named(tag, m[3]) if m[3].strip() else ("", 0)
             article = article or tag in ("article", "main")
             named = 0 if tag in ("html", "body", "article", "main") else max(named, int(tag == "header"))
             # an article's own header holds its headline
-            furniture = furniture or tag in FURNITURE or named == 2 or (named == 1 and not article)
+            furniture = furniture or tag in FURNITURE or named == 3 or (named == 1 and not article)
             number = numbers.setdefault((path, tag + label), len(numbers) + 1)
             self.parents.append(element)
             self.tags.append(tag)
+            self.doubtful.append(named == 2)
+            self.in_article.append(article)
             stack.append((tag, number, len(self.parents) - 1, furniture, article))
             open_tags[tag] = open_tags.get(tag, 0) + 1
             if tag in RAW:
@@ -150,6 +176,8 @@ class Page:
         self.blocks.append(block)
         self.holders.append(top[2])
         self.furniture.append(top[3])
+        self.links.append(False)
+        self.headings.append(False)
 
 
 def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +190,34 @@ def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, width
     return ratio[at], np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def boilerplate(page: Page, good: list[int], lengths: np.ndarray, weights: np.ndarray) -> tuple[list[bool], list[bool]]:
+    """Which elements are or are in a doubtful one that its own text tells to be furniture, and which outside articles are or are in any.
+
+    It is furniture if half of its text is links; else in an article if less than half is content and
+    it has no heading, elsewhere if either. One around an article is furniture by its links only.
+    """
+    text, linked, content, headed = ([0.0] * len(page.parents) for _ in range(4))
+    for i, n, w in zip(good, lengths.tolist(), weights.tolist(), strict=True):
+        e = page.holders[i]
+        text[e] += n
+        linked[e] += n * page.links[i]
+        content[e] += w
+        headed[e] += page.headings[i]
+    around = [float(tag in ("article", "main")) for tag in page.tags]
+    for sums in (text, linked, content, headed, around):
+        for e in range(len(page.parents) - 1, 0, -1):
+            sums[page.parents[e]] += sums[e]
+    dropped, doubted = [False] * len(page.parents), [False] * len(page.parents)
+    for e in range(1, len(page.parents)):
+        dropped[e], doubted[e] = dropped[page.parents[e]], doubted[page.parents[e]]
+        if page.doubtful[e]:
+            signs = (2 * content[e] >= text[e], headed[e] > 0)
+            outside = not page.in_article[e] and not around[e]
+            dropped[e] |= 2 * linked[e] >= text[e] or (outside and not all(signs)) or (page.in_article[e] and not any(signs))
+            doubted[e] |= outside
+    return dropped, doubted
+
+
 def main_elements(page: Page, holders: list[int], weights: list[float]) -> set[int]:
     """The elements whose text is the main one; ``holders`` are those of the text nodes, ``weights`` the content in each."""
     content, some = [0.0] * len(page.parents), [False] * len(page.parents)
@@ -203,13 +259,23 @@ def main_text(source: str | None) -> str:
     chosen = (score >= least) & (own >= least)  # not for their neighbours alone
     if not chosen.any():
         chosen = score >= least
-    main = main_elements(page, [page.holders[i] for i in good], np.where(chosen, lengths, 0.0).tolist())
+    weights = np.where(chosen, lengths, 0.0)
+    holders = [page.holders[i] for i in good]
+    dropped = None
+    if any(page.doubtful):
+        dropped, doubted = boilerplate(page, good, lengths, weights)
+        sure = np.array([not dropped[e] and not doubted[e] for e in holders])
+        if weights[sure].any():
+            weights = weights * sure
+        else:  # no other content
+            dropped = None
+    main = main_elements(page, holders, weights.tolist())
     inside = [e in main for e in range(len(page.parents))]
     for element in range(1, len(page.parents)):
         inside[element] |= inside[page.parents[element]]
     blocks: dict[int, list[str]] = {}
     for i in range(page.size):
-        if inside[page.holders[i]] and not page.furniture[i]:
+        if inside[page.holders[i]] and not page.furniture[i] and not (dropped and dropped[page.holders[i]]):
             blocks.setdefault(page.blocks[i], []).append(page.texts[i])
     lines = (SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -212,6 +212,23 @@ def test_main_text_of_unmarked_pages_is_whole():
     assert html_text.main_text(page) == f"Head\n{long}\n{paragraph}"
 
 
+def test_slug_names_do_not_remove_article_text():
+    long = " ".join(["Some long sentence, with marks."] * 12)
+    slugs = ["related-work", "legal-history", "search-results", "social-effects", "dialog", "commentary", "promoting-peace"]
+    for open_page, close_page in (("<body><article>", "</article></body>"), ("<body><div>", "</div></body>"), ("<body>", "</body>")):
+        for slug in slugs:
+            page = f"{open_page}<h1>Head</h1><p>{long}</p><section id={slug}><h2 id='{slug}-2'>Next</h2><p id={slug}-3>{long}</p></section><h2 id={slug}-4>End</h2><p>{long}</p>{close_page}"
+            assert html_text.main_text(page) == "\n".join(["Head", long, "Next", long, "End", long]), page
+    page = f"<article><p>{long}</p><section id=legal-history><h2>Then</h2><p>Short.</p></section><div class=commentary><p>{long}</p></div></article>"
+    assert html_text.main_text(page) == f"{long}\nThen\nShort.\n{long}"
+    links = "<ul><li><a href=/a>One more story to read</a><li><a href=/b>Another story to read</a></ul>"
+    for name in ("id=related-stories", "class='related-stories'", "class=comments-area", "id=comments", "class=ad", "id=cookie-notice", "class=share-links"):
+        page = f"<article><p>{long}</p><div {name}><h3>Related</h3>{links}</div><p>{long}</p></article>"
+        assert html_text.main_text(page) == f"{long}\n{long}"
+    assert html_text.main_text(f"<body><p>{long}</p><div id=search-results><article><p>{long} Yes.</p></article></div></body>") == f"{long} Yes."
+    assert html_text.main_text(f"<article><p>{long}</p><div class=comments-area><h3>Comments</h3><p>{long}</p></div></article>") == long
+
+
 def test_only_hidden_elements_are_hidden():
     kept = ['style="overflow:hidden"', 'title="Hidden gems"', 'data-hidden="no"', "style='display:block'", 'aria-hidden="false"', 'data-note="display:none"']
     for attribute in kept:
