@@ -167,6 +167,7 @@ def repair(ids: np.ndarray, doc_lengths: np.ndarray, vocabulary: int = VOCABULAR
         frequent = np.append(bound >= least, False)  # the last entry serves slot -1
         at = np.flatnonzero(frequent[slot])
         place, own = slot[at], code[at]
+        every = own
         held[place] = own
         same = held[place] == own
         at, place = at[same], place[same]
@@ -177,7 +178,8 @@ def repair(ids: np.ndarray, doc_lengths: np.ndarray, vocabulary: int = VOCABULAR
             good[:] = False
             good[best] = True
         if not good.any():
-            if last:
+            # slots that pairs share look more frequent than the pairs are
+            if last and np.unique(every, return_counts=True)[1].max() < min_count:
                 break
             continue
         symbol = (np.cumsum(good) - 1 + vocabulary + len(rules)).astype(np.uint32)
@@ -194,8 +196,6 @@ def repair(ids: np.ndarray, doc_lengths: np.ndarray, vocabulary: int = VOCABULAR
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, opens = seq[keep], opens[keep]
-        if last and len(at) < len(seq) // 200:  # what is left pays for no further round
-            break
     begins = np.flatnonzero(opens)
     return seq, np.diff(np.append(begins, len(seq))), rules
 

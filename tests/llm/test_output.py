@@ -58,6 +58,18 @@ def test_pieces_encode_like_whole_texts():
         assert ids[e - n:e].tolist() == ids_of(t), repr(t)
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 1_000_000) - 1, 40_000).astype(np.uint32)
+    lengths = np.full(1000, 1000)
+    symbols, per_doc, rules = token_store.repair(ids, lengths)
+    assert len(rules) < token_store.MAX_RULES and (token_store.expand(symbols, rules) == ids).all()
+    inside = np.ones(len(symbols) - 1, bool)
+    inside[np.cumsum(per_doc)[:-1] - 1] = False
+    codes = ((symbols[:-1].astype(np.int64) << 32) | symbols[1:])[inside]
+    assert np.unique(codes, return_counts=True)[1].max() < token_store.MIN_COUNT
+
+
 def test_grammar_round_trip_and_gain():
     rng = np.random.default_rng(3)
     ids = np.concatenate([np.tile(rng.integers(0, 50, 9), 300), rng.integers(0, 4, 5000), np.full(999, 7)]).astype(np.uint32)
