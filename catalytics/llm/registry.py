@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_dedup, decontaminate, filter_audit, fingerprints, html_text, lm_score, mixing, near_dup, quality, suffix_dedup, token_store
+from . import cover_dedup, decontaminate, exact_topk, filter_audit, fingerprints, hard_negatives, html_text, lm_score, mixing, near_dup, quality, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": near_dup.op1_dart_minhash,
@@ -20,12 +20,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_iblt_fingerprints": fingerprints.op9_iblt_fingerprints,
     "op10_tag_path_text": html_text.op10_tag_path_text,
     "op11_survival_words": filter_audit.op11_survival_words,
+    "op12_impact_topk": exact_topk.op12_impact_topk,
+    "op13_rns_negatives": hard_negatives.op13_rns_negatives,
 }
 
 ORACLE: dict[str, str] = {
     "op3_cover_dedup": cover_dedup.ORACLE_SQL,
     "op8_winnowing": decontaminate.ORACLE_SQL,
     "op11_survival_words": filter_audit.ORACLE_SQL,
+    "op12_impact_topk": exact_topk.ORACLE_SQL,
+    "op13_rns_negatives": hard_negatives.ORACLE_SQL,
 }
 
 
