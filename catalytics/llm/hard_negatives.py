@@ -3,7 +3,8 @@
 Scores of a group of anchors with a block of rows come from 32-bit float products of the component matrices modulo
 small primes: residues lie within half a prime of zero, and inner products of ``SLICE`` of them stay below 2^24, where
 32-bit floats are exact. The residues of a score modulo several primes give the score itself by Chinese remaindering (mixed
-radix digits, centred at zero); as many primes are used as the bound of the scores (Cauchy-Schwarz) needs.
+radix digits, centred at zero); as many primes are used as the bound of the scores (Cauchy-Schwarz) needs. The six primes
+represent scores up to half their product, about 5 * 10^17; larger ones end the job with an error.
 
 Mining takes two passes over all cells of anchors and rows. The first takes each anchor's best rows of its own label,
 its positives. The second takes, per anchor and positive, the best rows of other labels whose score lies in the
