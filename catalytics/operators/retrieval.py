@@ -5,20 +5,20 @@ pairs where the column text contains the word, case-insensitively, summed
 over the question's words (duplicates count twice). Only rows with relevance
 > 0 are kept; the best ``n`` per question win, ties in corpus order.
 
-Exact and without pairing every question with every row:
+Exact and without scoring every row that shares a word with a question:
 
 * a word holds only word characters, so it occurs in a text iff it occurs
-  inside one of the text's word tokens;
-* the corpus vocabulary (distinct tokens) is matched to the distinct query
-  words by an equi-join on the tokens' substrings, generated only for the
-  lengths that query words have (``contains_pairs``);
-* token hits are joined back to (row, column, token), dealt out by row once, and
-  scored there against the questions' words; a per-question ``row_number`` with a limit
-  becomes a partial ``WindowGroupLimit`` before the one shuffle by question, which carries at most
-  n rows per question and task.
+  inside one of the text's word tokens; the corpus vocabulary is matched to the distinct
+  query words through a q-gram index (``substrings``);
+* ``postings`` keeps, per word, its rows in blocks of ``BLOCK`` consecutive keys with the block's
+  largest contribution;
+* a question's rarest words give some rows whose exact scores bound its n-th best score from below (the threshold);
+  its *opened* words, rarest first, are so many that all the others together stay well below the threshold, so that a
+  row without any of them can't win. Blocks, then rows, whose opened words and the most that the other words
+  can add do not reach the threshold are left out; only the remaining rows get their exact score (``scored_rows``).
 
 Category phrases (F8) are matched the same way against the distinct values
-of ``product_type``.
+of ``product_type``; a block holds rows of one type, so a question with a category opens blocks of its types only.
 """
 
 from __future__ import annotations
@@ -28,9 +28,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parse
 from ..session import materialise
+from .substrings import contains_pairs
 
-#: (question, word) pairs up to which they are sent to every task.
-BROADCAST_WORDS = 200_000
+#: Consecutive keys of a block of postings.
+BLOCK = 8
+#: Postings that the search for a first threshold opens per question, and rows that it scores for each wanted row.
+SEED_POSTINGS, SEED_ROWS = 1024, 4
+#: The words that stay closed contribute less than this share of the threshold, and than the threshold less ``CLOSED_GAP``: fewer closed
+#: words open more postings, but leave fewer rows to score. The result is the same for any of them.
+CLOSED_SHARE, CLOSED_GAP = 0.85, 2
 
 # Python's ``\W`` on text: anything but a letter, a number or "_". Java's
 # ``(?U)\W`` would also keep combining marks and every connector punctuation.
@@ -52,43 +58,103 @@ def category_phrase(q) -> Column:
     return F.nullif(parse.pystrip(grp), F.lit(""))
 
 
-# --- exact substring matching -------------------------------------------------------
+# --- retrieval ----------------------------------------------------------------------
 
-def contains_pairs(values: DataFrame, needles: DataFrame) -> DataFrame:
-    """All distinct (value, needle) with ``needle`` a substring of ``value``.
+def _tokens(corpus: DataFrame, key: str, kind: Column, columns: list[str]) -> DataFrame:
+    """(key, kind, bit of the column, token): the distinct tokens of each searched text, of three characters and more.
 
-    ``values`` has a string column ``value``, ``needles`` a column ``needle``.
-    Substrings of each value are generated only for the needle lengths that
-    exist, then equi-joined with the needles.
+    One pass over the corpus: the searched columns become an array of
+    (bit, text) pairs that is exploded, then each text is split once.
     """
-    nd = needles.select("needle").where(F.length("needle") > 0).distinct()
-    lens = nd.select(F.length("needle").alias("len")).distinct()
-    bounds = lens.agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    v = values.select("value").where(F.col("value").isNotNull()).distinct()
-    v = v.where(F.length("value") >= lo)
-    with_len = v.select("value", F.explode(F.sequence(lo, F.least(F.length("value"), hi))).alias("len"))
-    with_len = with_len.join(lens, "len", "left_semi")
-    subs = with_len.select(
-        "value", "len",
-        F.explode(F.sequence(F.lit(1), F.length("value") - F.col("len") + 1)).alias("pos"))
-    subs = subs.select("value", F.substring("value", F.col("pos"), F.col("len")).alias("needle"))
-    return subs.join(nd, "needle").select("value", "needle").distinct()
+    texts = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.col(c).cast("string").alias("txt")) for i, c in enumerate(columns)])
+    pairs = corpus.select(F.col(key).alias("key"), kind.alias("kind"), F.explode(texts).alias("p"))
+    found = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(F.col("p.txt"), F.lit(""))), WORD_SPLIT)), lambda t: F.length(t) >= 3)
+    return pairs.select("key", "kind", F.col("p.bit").alias("bit"), F.explode(found).alias("token"))
 
 
-# --- retrieval ----------------------------------------------------------------------
+def postings(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``(word, kind, block, top, df, hits)`` of the ``words`` that occur, written: per word and block of keys the hits of each
+    of the block's rows (columns that contain the word), the most hits of a row and the number of rows with hits.
 
-def _tokens(corpus: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, col, token) for each searched column; tokens of length >= 3.
+    One exchange, by word and block: a common word spreads over as many tasks as it has blocks.
+    """
+    match = contains_pairs(tokens.select(F.col("token").alias("value")), words.select(F.col("word").alias("needle")))
+    found = (tokens.join(match, F.col("token") == F.col("value"))
+             .select(F.col("needle").alias("word"), "kind", F.floor(F.col("key") / BLOCK).alias("block"), F.pmod("key", F.lit(BLOCK)).alias("slot"), "bit"))
+    columns = found.groupBy("word", "kind", "block").agg(*(F.bit_or(F.when(F.col("slot") == i, F.col("bit"))).alias(f"s{i}") for i in range(BLOCK)))
+    blocks = columns.select("word", "kind", "block", F.array(*(F.coalesce(F.bit_count(f"s{i}"), F.lit(0)) for i in range(BLOCK))).alias("hits"))
+    return materialise(blocks.select("*", F.array_max("hits").alias("top"), F.size(F.filter("hits", lambda h: h > 0)).alias("df")), "postings")
 
-    One pass over the corpus: the searched columns become an array of
-    (column, text) pairs that is exploded, then each text is split once.
+
+def _open(words: DataFrame, blocks: DataFrame, kinds: DataFrame | None) -> DataFrame:
+    """The blocks of questions' words; those of a question with a category are of its types."""
+    if kinds is None:
+        return words.join(blocks, "word")
+    free = words.where(F.col("cat").isNull()).join(blocks, "word")
+    bound = words.where(F.col("cat").isNotNull()).join(kinds, "cat").join(blocks, ["word", "kind"])
+    return free.unionByName(bound)
+
+
+def _sums(opened: DataFrame, *facts: str) -> DataFrame:
+    """Per question, block and ``facts``: the bound of a row's score, and the sums of the block's rows."""
+    return opened.groupBy("qid", "kind", "block", *facts).agg(
+        F.sum(F.col("mult") * F.col("top")).alias("bound"), *(F.sum(F.col("mult") * F.col("hits")[i]).alias(f"s{i}") for i in range(BLOCK)))
+
+
+def _rows(sums: DataFrame, *facts: str) -> DataFrame:
+    """``(qid, kind, block, key, partial)`` and ``facts`` of the rows with hits in summed blocks."""
+    slots = F.posexplode(F.array(*(F.col(f"s{i}") for i in range(BLOCK)))).alias("slot", "partial")
+    return (sums.select("qid", "kind", "block", *facts, slots).where(F.col("partial") > 0)
+            .select("qid", "kind", "block", *facts, (F.col("block") * BLOCK + F.col("slot")).alias("key"), "partial"))
+
+
+def _complete(found: DataFrame, words: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(qid, key, score)``: rows with a partial score, and what the further ``words`` of their question add."""
+    more = (found.join(words.select("qid", "word", "mult"), "qid").join(blocks.select("word", "kind", "block", "hits"), ["word", "kind", "block"])
+            .select("qid", "key", (F.col("mult") * F.get("hits", F.pmod("key", F.lit(BLOCK)))).alias("partial")))
+    return found.select("qid", "key", "partial").unionByName(more).groupBy("qid", "key").agg(F.sum("partial").alias("score"))
+
+
+def scored_rows(words: DataFrame, blocks: DataFrame, n: int, kinds: DataFrame | None = None) -> DataFrame:
+    """``(qid, key, score)`` of every row that may be among the ``n`` best of a question, and of few others; scores are exact.
+
+    ``words``: ``(qid, cat, word, mult)``, distinct words of each question; ``kinds``: the types ``(cat, kind)`` of each category.
     """
-    texts = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("txt")) for c in columns])
-    pairs = corpus.select(F.col(key), F.explode(texts).alias("p"))
-    toks = pairs.select(F.col(key), F.col("p.col").alias("col"),
-                        F.explode(F.split(F.lower(F.coalesce(F.col("p.txt"), F.lit(""))), WORD_SPLIT)).alias("token"))
-    return toks.where(F.length("token") >= 3).distinct()
+    facts = blocks.groupBy("word").agg(F.sum("df").alias("df"), F.max("top").alias("most"))
+    per_question = Window.partitionBy("qid").orderBy("df", "word")
+    known = words.join(facts, "word").withColumns({
+        "before": F.coalesce(F.sum("df").over(per_question.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        # the most that this word and all commoner ones can contribute
+        "reach": F.sum(F.col("mult") * F.col("most")).over(per_question.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    known = materialise(known, "question-words")
+
+    # a threshold: the n-th best exact score among some rows with the question's rarest words
+    rare = known.where(F.col("before") < SEED_POSTINGS)
+    partial = _rows(_sums(_open(rare, blocks.drop("df"), kinds)))
+    best = Window.partitionBy("qid").orderBy(F.desc("partial"), "key")
+    seeds = partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SEED_ROWS * n).drop("place")
+    exact = _complete(materialise(seeds, "seeds"), known.where(F.col("before") >= SEED_POSTINGS), blocks)
+    by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
+    threshold = (exact.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == n)
+                 .select("qid", F.col("score").alias("threshold"), F.col("key").alias("last")))  # none: fewer rows than n, every row counts
+
+    # words are opened, rarest first, while this and the commoner ones could reach the closed share
+    split = known.join(threshold, "qid", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
+    closed = F.greatest(F.least(F.col("threshold") * F.lit(CLOSED_SHARE), F.col("threshold") - CLOSED_GAP), F.lit(1))
+    split = split.withColumn("open", F.col("reach") >= closed)
+    rest = F.max(F.when(~F.col("open"), F.col("reach"))).over(Window.partitionBy("qid"))
+    split = materialise(split.withColumn("rest", F.coalesce(rest, F.lit(0))), "opened-words")
+
+    def in_reach(sum_of_open: str, first_key: Column) -> Column:
+        """A row wins over the threshold's row by its score, or by its key at an equal score."""
+        most = F.col(sum_of_open) + F.col("rest")
+        return (most > F.col("threshold")) | ((most == F.col("threshold")) & (first_key <= F.col("last")))
+
+    facts = ["rest", "threshold", "last"]
+    near = _sums(_open(split.where("open").drop("df"), blocks, kinds), *facts).where(in_reach("bound", F.col("block") * BLOCK))
+    rows = _rows(near, *facts).where(in_reach("partial", F.col("key")))
+    found = materialise(rows.select("qid", "kind", "block", "key", "partial"), "rows-in-reach")
+    return _complete(found, split.where(~F.col("open")), blocks)
 
 
 def retrieve(corpus: DataFrame, questions: DataFrame, key: str = "row_seq", qid: str = "qid",
@@ -98,59 +164,39 @@ def retrieve(corpus: DataFrame, questions: DataFrame, key: str = "row_seq", qid:
 
     ``category`` names a column of ``questions`` holding the category phrase
     (None or a null value: no category filter). Questions without search
-    words get the first ``n`` rows (of their category) with score 0.
+    words get the first ``n`` rows (of their category) with score 0. ``key`` is a whole number.
     """
     cols = [c for c in (search_columns or fixed.SEARCH_COLUMNS) if c in corpus.columns]
     has_type = "product_type" in corpus.columns  # without it the category filter is skipped
     use_category = category is not None and has_type
     q = questions.select(F.col(qid).alias("qid"), query_terms(F.col(question)).alias("words"),
                          (F.lower(F.col(category)) if use_category else F.lit(None).cast("string")).alias("cat"))
-
-    # (question, word, multiplicity)
-    qw = materialise(q.select("qid", F.explode("words").alias("word"))
-                     .groupBy("qid", "word").agg(F.count(F.lit(1)).alias("mult")), "retrieve-words")
-    if qw.count() <= BROADCAST_WORDS:  # small enough to go to every task; otherwise a shuffled join
-        qw = F.broadcast(qw)
-
-    # one pass over the corpus: its distinct (row, column, token); of those, the ones that hold a question's word
-    toks = materialise(_tokens(corpus, key, cols), "retrieve-tokens")
-    match = contains_pairs(toks.select(F.col("token").alias("value")), qw.select(F.col("word").alias("needle")))
-    match = materialise(match.select(F.col("value").alias("token"), F.col("needle").alias("word")), "retrieve-match")
-    # from here on a corpus row's data stay in one task: hits per word, scores per question, and the
-    # best n per question of the task; only those are shuffled
-    hits = (toks.join(match, "token").select(key, "col", "word").repartition(F.col(key)).distinct()
-            .groupBy(key, "word").agg(F.count(F.lit(1)).alias("hits")))
-    scored = (hits.join(qw, "word")
-              .groupBy("qid", key).agg(F.sum(F.col("mult") * F.col("hits")).alias("score")))
-    cand = scored.where(F.col("score") > 0)  # F9
-
-    # category filter (F8): lower(product_type) contains the phrase
-    ptype = F.lower(F.coalesce(F.col("product_type").cast("string"), F.lit(""))) if has_type else F.lit("")
-    rows = corpus.select(F.col(key), ptype.alias("ptype"))
-    cats = q.where(F.col("cat").isNotNull()).select(F.col("cat").alias("needle")).distinct()
-    type_match = contains_pairs(rows.select(F.col("ptype").alias("value")), cats) \
-        .select(F.col("value").alias("ptype"), F.col("needle").alias("cat"))
+    words = q.select("qid", "cat", F.explode("words").alias("word")).groupBy("qid", "cat", "word").agg(F.count(F.lit(1)).alias("mult"))
+    kind = F.lower(F.coalesce(F.col("product_type").cast("string"), F.lit(""))) if use_category else F.lit("")
+    cats = q.where(F.col("cat").isNotNull()).select(F.col("cat").alias("needle"))
+    kinds = None
     if use_category:
-        cand = cand.join(q.select("qid", "cat"), "qid").join(rows, key)
-        cand = cand.join(type_match, ["ptype", "cat"], "left_semi").unionByName(cand.where(F.col("cat").isNull()))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.col(key))
-    best = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .select("qid", "rank", key, F.col("score").cast("bigint").alias("score")))
+        kinds = contains_pairs(corpus.select(kind.alias("value")), cats).select(F.col("value").alias("kind"), F.col("needle").alias("cat"))
+        kinds = materialise(kinds, "category-types")
+    blocks = postings(_tokens(corpus, key, kind, cols), words)
+    scored = scored_rows(words, blocks, n, kinds)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("key"))
+    best = (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .select("qid", "rank", F.col("key").alias(key), F.col("score").cast("bigint").alias("score")))
 
     # questions without words: the first n rows of their (category-filtered) corpus
     empty = q.where(F.size("words") == 0).select("qid", "cat",
                                                   F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
+    rows = corpus.select(F.col(key), kind.alias("kind"))
     first_all = rows.orderBy(key).limit(n).withColumn(
         "rank", F.row_number().over(Window.orderBy(key))).select("rank", key)  # n rows only
-    by_cat = rows.join(type_match, "ptype").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("cat").orderBy(key))).where(F.col("rank") <= n) \
-        .select("cat", "rank", key)
-    fb_all = empty.where(F.col("cat").isNull()).join(first_all, "rank").select("qid", "rank", key)
-    if not use_category:
-        return best.unionByName(fb_all.withColumn("score", F.lit(0).cast("bigint")))
-    fb_cat = empty.where(F.col("cat").isNotNull()).join(by_cat, ["cat", "rank"]).select("qid", "rank", key)
-    fallback = fb_all.unionByName(fb_cat).withColumn("score", F.lit(0).cast("bigint"))
-    return best.unionByName(fallback)
+    fallback = empty.where(F.col("cat").isNull()).join(first_all, "rank").select("qid", "rank", key)
+    if use_category:
+        by_cat = rows.join(kinds, "kind").withColumn(
+            "rank", F.row_number().over(Window.partitionBy("cat").orderBy(key))).where(F.col("rank") <= n) \
+            .select("cat", "rank", key)
+        fallback = fallback.unionByName(empty.where(F.col("cat").isNotNull()).join(by_cat, ["cat", "rank"]).select("qid", "rank", key))
+    return best.unionByName(fallback.withColumn("score", F.lit(0).cast("bigint")))
 
 
 # --- context and prompts ------------------------------------------------------------
