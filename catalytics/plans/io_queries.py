@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import listings as L
 from ..operators import variants as V
 from ..sources import files
+from ..sources import quoted_csv
+from ..streaming import kpi_state
 from ..streaming.refresh import refresh
 from ..session import materialise, scratch_path
 from . import fixtures
@@ -40,7 +42,8 @@ def q_csv_positional(spark, sf):
     return L.filter_grid(L.clean_c(pos)).select("row_seq", "Title", "Price_MAD", "Rating", "Sales_Num")
 
 
-def q_incremental_refresh(spark, sf):
+def _refreshed(spark, sf, state=None) -> str:
+    """The folder of a typed variant table after two drops of landed CSV files."""
     base = scratch_path(spark, "refresh")
     landing, table, ckpt = f"{base}/landing", f"{base}/table", f"{base}/_checkpoint"
     cols = fixtures.VARIANT_COLUMNS + ["supplier_key"]
@@ -53,18 +56,40 @@ def q_incremental_refresh(spark, sf):
             "supplier_key": F.col("supplier_key").cast("bigint")})
 
     even = F.col("variant_id") % 2 == 0
-    files.write_csv(raw.where(even), landing, mode="append")        # first drop (S7)
-    refresh(spark, landing, table, ckpt, schema, typed, multi_line=True)  # S8: reads drop 1 (body_html has line breaks)
-    files.write_csv(raw.where(~even), landing, mode="append")       # second drop
-    refresh(spark, landing, table, ckpt, schema, typed, multi_line=True)  # S8: reads only drop 2
-    return spark.read.parquet(table).select("variant_id", "product_id", "supplier_key", "store_domain", "vendor",
-                                            "price", "available")
+    for drop in (even, ~even):
+        files.write_csv(raw.where(drop), landing, mode="append")    # a drop (S7)
+        refresh(spark, landing, table, ckpt, schema, typed, multi_line=True, state=state)  # S8: reads that drop only (body_html has line breaks)
+    return table
+
+
+def q_incremental_refresh(spark, sf):
+    return spark.read.parquet(_refreshed(spark, sf)).select("variant_id", "product_id", "supplier_key", "store_domain", "vendor",
+                                                            "price", "available")
+
+
+def q_incremental_kpis(spark, sf):
+    """KPIs per store after two drops, from the state that each refresh adds for its new rows."""
+    state = scratch_path(spark, "kpi-state")
+    _refreshed(spark, sf, lambda rows, number: kpi_state.add(rows, state, number))
+    return kpi_state.read(spark, state)
+
+
+def q_csv_multiline(spark, sf):
+    """Fields with line breaks and quotes, from one CSV file that is read in splits."""
+    path = scratch_path(spark, "multiline-csv")
+    cols = ["variant_id", "supplier_key", "title", "body_html", "price"]
+    files.write_csv(fixtures.variants_raw(spark, sf).select(*cols).coalesce(1), path)
+    back = quoted_csv.read(spark, path, files.string_schema(cols))
+    return back.select(F.col("variant_id").cast("bigint").alias("variant_id"), F.col("supplier_key").cast("bigint").alias("supplier_key"), "title",
+                       "body_html", "price")
 
 
 QUERIES = {
     "q_csv_roundtrip": q_csv_roundtrip,
     "q_csv_positional": q_csv_positional,
     "q_incremental_refresh": q_incremental_refresh,
+    "q_incremental_kpis": q_incremental_kpis,
+    "q_csv_multiline": q_csv_multiline,
 }
 
 _NA_COLS = ", ".join(f"{S.na(c)} AS {c}" for c in files.LISTING_COLUMNS if c != "page_number")
@@ -76,4 +101,11 @@ SELECT row_seq, CAST(page_number AS VARCHAR) AS page_number, {_NA_COLS} FROM lis
 SELECT row_seq, "Title", "Price_MAD", "Rating", "Sales_Num" FROM grid"""),
     "q_incremental_refresh": "WITH " + VARIANTS.strip() + """
 SELECT variant_id, product_id, supplier_key, store_domain, vendor, price, available FROM vclean""",
+    "q_incremental_kpis": "WITH " + VARIANTS.strip() + """
+SELECT store_domain, count(*) AS variants, count(*) FILTER (WHERE available) AS available_variants,
+  count(*) FILTER (WHERE available IS DISTINCT FROM true) AS unavailable_variants, count(DISTINCT product_id) AS unique_products,
+  count(DISTINCT vendor) AS vendors, count(DISTINCT product_type) AS product_types, round(avg(price), 6) AS avg_price,
+  min(price) AS min_price, max(price) AS max_price FROM vclean GROUP BY store_domain""",
+    "q_csv_multiline": "WITH " + VARIANTS.strip() + """
+SELECT variant_id, supplier_key, title, '<p>' || title || '</p>' || chr(10) || '<p>"' || product_type || '"</p>' AS body_html, price FROM variants_raw""",
 }
