@@ -140,64 +140,88 @@ class Encoder:
 def repair(ids: np.ndarray, doc_lengths: np.ndarray, vocabulary: int = VOCABULARY, max_rules: int = MAX_RULES, min_count: int = MIN_COUNT):
     """Re-Pair: symbols, symbols per document, and the rules (pairs of symbols) in order of creation.
 
-    Each round counts all adjacent pairs, turns those within a factor eight of the most
-    frequent into rules and replaces them from left to right, until no pair occurs
-    ``min_count`` times. Pairs are counted in a table by hash; where two share a slot the round
-    counts one of them exactly and leaves the other to a later round, which hashes differently.
+    Pairs within a factor eight of the most frequent become rules together and are replaced from left to right, until no pair
+    occurs ``min_count`` times. Symbols stay at the position of their first id, linked to their neighbours, and a round
+    counts only the pairs of positions that are awake: a pair of old symbols never gets more frequent, so the positions of one below
+    ``min_count`` retire for good, those of one below the level sleep until the level falls, and both wake only when a neighbour
+    becomes a new symbol, which makes a new pair. Pairs are counted in a table by hash; where two share a slot the round
+    counts one of them exactly and leaves the other awake for the next round, which hashes differently.
     """
+    n = len(ids)
     seq = ids.astype(np.uint32)
-    opens = np.zeros(len(seq), bool)
-    opens[(np.cumsum(doc_lengths) - doc_lengths)] = True
-    rules = np.zeros((0, 2), np.uint32)
-    held = np.zeros(1 << PAIR_BITS, np.uint64)
-    least, turn = None, 0
-    while len(seq) > 1 and len(rules) < max_rules:
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    begins = np.cumsum(doc_lengths) - doc_lengths
+    final = np.zeros(n, bool)  # the last symbol of a document has no pair
+    final[begins[1:] - 1] = True
+    final[n - 1:] = True
+    alive = np.ones(n, bool)
+    state = np.where(final, OUT, AWAKE).astype(np.uint8)
+    rules: list[np.ndarray] = []
+    made, level, turn = 0, None, 0
+    while made < max_rules:
         turn += 1
-        code = seq[:-1].astype(np.uint64)
+        at = np.flatnonzero(state == AWAKE).astype(np.int32)
+        if not len(at):
+            asleep = state == ASLEEP
+            if not asleep.any():
+                break
+            state[asleep], level = AWAKE, None
+            continue
+        code = seq[at].astype(np.uint64)
         code <<= np.uint64(32)
-        code |= seq[1:]
-        slot = (code * np.uint64(K.BASE + 2 * turn) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
-        slot[opens[1:]] = -1  # pairs across documents
-        bound = np.bincount(slot + 1, minlength=(1 << PAIR_BITS) + 1)[1:]
-        top = int(bound.max())
-        if top < min_count:
-            break
-        last = least == min_count
-        least = max(min_count, min(top, least or top) // 8)
-        frequent = np.append(bound >= least, False)  # the last entry serves slot -1
-        at = np.flatnonzero(frequent[slot])
-        place, own = slot[at], code[at]
-        every = own
-        held[place] = own
-        same = held[place] == own
-        at, place = at[same], place[same]
-        good = np.bincount(place, minlength=1 << PAIR_BITS) >= least
-        room = max_rules - len(rules)
-        if good.sum() > room:
-            best = np.argsort(-np.where(good, bound, 0), kind="stable")[:room]
+        code |= seq[after[at]]
+        bits = min(PAIR_BITS, max(8, int(len(at)).bit_length() + 1))
+        slot = (code * np.uint64(K.BASE + 2 * turn) >> np.uint64(64 - bits)).astype(np.int64)
+        bound = np.bincount(slot, minlength=1 << bits)
+        if level is None:
+            level = max(min_count, int(bound.max()) // 8)
+        state[at] = _RESTS[(bound >= min_count).astype(np.int8) + (bound >= level)][slot]
+        near = bound[slot] >= level
+        at, slot, code = at[near], slot[near], code[near]
+        held = np.zeros(1 << bits, np.uint64)
+        held[slot] = code
+        same = held[slot] == code  # the others stay awake
+        at, slot = at[same], slot[same]
+        count = np.bincount(slot, minlength=1 << bits)
+        good = count >= level
+        state[at] = _RESTS[(count >= min_count).astype(np.int8) + good][slot]
+        chosen = np.flatnonzero(good)
+        if len(chosen) > max_rules - made:
+            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[:max_rules - made]])
             good[:] = False
-            good[best] = True
-        if not good.any():
-            # slots that pairs share look more frequent than the pairs are
-            if last and np.unique(every, return_counts=True)[1].max() < min_count:
-                break
+            good[chosen] = True
+        if not len(chosen):
             continue
-        symbol = (np.cumsum(good) - 1 + vocabulary + len(rules)).astype(np.uint32)
-        chosen = good[place]
-        at, new = at[chosen], symbol[place[chosen]]
+        symbol = (np.cumsum(good) - 1 + vocabulary + made).astype(np.uint32)
+        mine = good[slot]
+        at, new = at[mine], symbol[slot[mine]]
         # of pairs that overlap, take every other one from the left
         index = np.arange(len(at))
-        run_start = np.concatenate([[True], np.diff(at) > 1])
+        run_start = np.concatenate([[True], at[1:] != after[at[:-1]]])
         take = (index - np.maximum.accumulate(np.where(run_start, index, 0))) % 2 == 0
         at, new = at[take], new[take]
-        pairs = held[good]
-        rules = np.concatenate([rules, np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)])
-        seq[at] = new
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, opens = seq[keep], opens[keep]
-    begins = np.flatnonzero(opens)
-    return seq, np.diff(np.append(begins, len(seq))), rules
+        pairs = held[chosen]
+        rules.append(np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+        made += len(chosen)
+        second = after[at]
+        seq[at], final[at], after[at] = new, final[second], after[second]
+        alive[second], state[second] = False, OUT
+        follows = after[at]
+        inside = follows < n
+        before[follows[inside]] = at[inside]
+        previous = before[at]
+        state[at] = np.where(final[at], OUT, AWAKE)
+        previous = previous[previous >= 0]
+        state[previous[~final[previous]]] = AWAKE
+    symbols = seq[alive]
+    per_doc = np.add.reduceat(alive, begins, dtype=np.int64) if len(begins) else np.zeros(0, np.int64)
+    return symbols, per_doc, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+
+
+#: States of a position: no pair, or one that is too rare; to be counted; to be counted when the level falls.
+OUT, AWAKE, ASLEEP = 0, 1, 2
+#: What a position becomes whose pair reaches neither the least count nor the level, the least count only, or both.
+_RESTS = np.array([OUT, ASLEEP, AWAKE], np.uint8)
 
 
 def rule_lengths(rules: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
@@ -213,16 +237,21 @@ def rule_lengths(rules: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
-    """Ids of a sequence of symbols: replace nonterminals by their pairs until none is left."""
-    seq = symbols.astype(np.uint32)
-    while (high := seq >= vocabulary).any():
-        at = np.cumsum(1 + high) - (1 + high)
-        out = np.empty(len(seq) + int(high.sum()), np.uint32)
-        out[at[~high]] = seq[~high]
-        pair = rules[seq[high] - vocabulary]
-        out[at[high]], out[at[high] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    """Ids of a sequence of symbols: those of each symbol are looked up in a table of all expansions."""
+    lengths = np.concatenate([np.ones(vocabulary, np.int64), rule_lengths(rules, vocabulary)])
+    starts = np.cumsum(lengths) - lengths
+    table = np.empty(int(lengths.sum()), np.uint32)
+    table[:vocabulary] = np.arange(vocabulary)
+    todo, ready = np.arange(len(rules)), np.ones(len(lengths), bool)
+    ready[vocabulary:] = False
+    while len(todo):  # rules whose sides are in the table
+        good = ready[rules[todo]].all(axis=1)
+        now = todo[good]
+        for side, skip in ((rules[now, 0], 0), (rules[now, 1], lengths[rules[now, 0]])):
+            table[K.ragged(starts[vocabulary + now] + skip, lengths[side])] = table[K.ragged(starts[side], lengths[side])]
+        ready[vocabulary + now] = True
+        todo = todo[~good]
+    return table[K.ragged(starts[symbols], lengths[symbols])]
 
 
 def _shard_rows(tokenizer: str):
