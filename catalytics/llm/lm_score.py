@@ -16,7 +16,7 @@ own counts: they are taken off both models where they are in.
 Defined cases: null and empty texts have no tokens and losses of 0. Labels with null ids or quality are ignored,
 an id with several labels counts with its smallest. Rows with equal ids share labels; repeated rows each
 count. Without any target document the target model is uniform. The smoothing reckons with all distinct
-words of the documents, with ``SIZES["words"]`` where they are fewer.
+words of the documents.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ from .common import documents, landed, read_table, texts, tidy
 CHUNK_BYTES = 1 << 23  # text of a chunk (one longer text is a chunk of its own)
 MIX = 0.7  # weight of the bigram estimate where its context is known
 PRIOR = 0.1  # added to every word's count
-SIZES = {"words": 1 << 18}  # smallest vocabulary of the smoothing
 STRETCH_BITS = {"words": 9, "pairs": 11}  # stretches of the keys by their first bits; those of the pairs are numbered after the words'
-WORD_STRETCHES = 1 << STRETCH_BITS["words"]
+STRETCH_CHUNKS = 1 << 12  # for so many chunks; there are twice as many stretches for twice the chunks, so that one stays some 20 MB
 GAP_BYTES = 6  # keys are sent as their distances; a chunk's are mostly this near
 FAR = (1 << 8 * GAP_BYTES) - 1
 COUNTS = ("low0", "high0", "low1", "high1")
@@ -54,8 +53,15 @@ def slots(data: np.ndarray, offsets: np.ndarray):
     return word, context, K.mix(context * np.uint64(K.BASE) + word), doc, first
 
 
+def stretch_bits(chunks: int) -> dict[str, int]:
+    """First bits of a key that name its stretch, for words and for pairs: more stretches the more chunks there are."""
+    more = max(0, (max(chunks, 1) - 1) // STRETCH_CHUNKS).bit_length()
+    return {name: bits + more for name, bits in STRETCH_BITS.items()}
+
+
 def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    """All rows as one batch; Arrow raises an error where a column leaves 32-bit offsets."""
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 def _together(batches, column: str):
@@ -112,6 +118,8 @@ def _tokens(docs: pa.RecordBatch):
 
 def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Binary column of ``values[cuts[i]:cuts[i + 1]]``."""
+    if cuts[-1] * values.itemsize > np.iinfo(np.int32).max:
+        raise OverflowError("a column of a stretch leaves 32-bit offsets")
     offsets = (cuts * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
@@ -141,7 +149,7 @@ def _gaps(keys: np.ndarray, cuts: np.ndarray, base: np.ndarray) -> list[pa.Array
     return [_binary(np.ascontiguousarray(near).reshape(-1), cuts * GAP_BYTES), _binary(gap[wide].astype("<u8"), before[cuts])]
 
 
-def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _keys(rows: pa.RecordBatch, bits: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all rows of requests, and where each row's begin."""
     data, offsets = K.buffer(rows.column("gaps"))
     near = np.zeros((len(data) // GAP_BYTES, 8), np.uint8)
@@ -150,8 +158,8 @@ def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     gap[gap == FAR] = np.frombuffer(K.buffer(rows.column("far"))[0].tobytes(), "<u8")
     sums = np.cumsum(gap)
     stretch = rows.column("stretch").to_numpy()
-    base = np.where(stretch < WORD_STRETCHES, stretch.astype(np.uint64) << np.uint64(64 - STRETCH_BITS["words"]),
-                    (stretch - WORD_STRETCHES).astype(np.uint64) << np.uint64(64 - STRETCH_BITS["pairs"]))
+    base = np.where(stretch < 1 << bits["words"], stretch.astype(np.uint64) << np.uint64(64 - bits["words"]),
+                    (stretch - (1 << bits["words"])).astype(np.uint64) << np.uint64(64 - bits["pairs"]))
     return sums + np.repeat(base + gap[cuts[:-1]] - sums[cuts[:-1]], np.diff(cuts)), cuts
 
 
@@ -159,43 +167,49 @@ def _docs(value) -> pa.RecordBatch:
     return _whole(list(pa.ipc.open_stream(value.as_buffer())))
 
 
-def _ask(batches):
+def _ask(bits: dict[str, int]):
     """A chunk's distinct keys, in order, and their counts in it, by stretch."""
-    for batch in batches:
-        for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            word, pair, doc, _, good = _tokens(_docs(docs))
-            inside = good[doc]
-            for name, key, number in (("words", word, 0), ("pairs", pair, WORD_STRETCHES)):
-                keys, n = np.unique(key, return_counts=True)
-                some, n_some = np.unique(key[inside], return_counts=True)
-                target = np.zeros(len(keys), np.int64)
-                target[np.searchsorted(keys, some)] = n_some
-                shift = np.uint64(64 - STRETCH_BITS[name])
-                at, first = np.unique(keys >> shift, return_index=True)
-                cuts = np.append(first, len(keys)).astype(np.int64)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk, np.int64)), pa.array(at.astype(np.int32) + np.int32(number), pa.int32()), *_gaps(keys, cuts, at << shift),
-                                                      *_packed(n, cuts), *_packed(target, cuts)], ["chunk", "stretch", "gaps", "far", *COUNTS])
-
-
-def _reply(batches):
+    def run(batches):
+        for batch in batches:
+            for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                word, pair, doc, _, good = _tokens(_docs(docs))
+                inside = good[doc]
+                for name, key, number in (("words", word, 0), ("pairs", pair, 1 << bits["words"])):
+                    keys, n = np.unique(key, return_counts=True)
+                    some, n_some = np.unique(key[inside], return_counts=True)
+                    target = np.zeros(len(keys), np.int64)
+                    target[np.searchsorted(keys, some)] = n_some
+                    shift = np.uint64(64 - bits[name])
+                    at, first = np.unique(keys >> shift, return_index=True)
+                    cuts = np.append(first, len(keys)).astype(np.int64)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk, np.int64)), pa.array(at.astype(np.int32) + np.int32(number), pa.int32()), *_gaps(keys, cuts, at << shift),
+                                                          *_packed(n, cuts), *_packed(target, cuts)], ["chunk", "stretch", "gaps", "far", *COUNTS])
+
+    return run
+
+
+def _reply(bits: dict[str, int]):
     """Add up each key's counts over all chunks; every row gets the sums of its keys.
 
     ``words`` adds up to the number of distinct words, ``n0`` and ``n1`` to the tokens of both models.
     """
-    for rows in _together(batches, "stretch"):
-        key, cuts = _keys(rows)
-        _, which = np.unique(key, return_inverse=True)
-        of_words = rows.column("stretch").to_numpy() < WORD_STRETCHES
-        words, columns, tokens = np.zeros(rows.num_rows, np.int64), [], []
-        if of_words.any():  # they come first
-            words[0] = len(np.unique(key[:cuts[np.count_nonzero(of_words)]]))
-        for model in (0, 1):
-            n = _counts(rows, model)
-            columns += _packed(np.bincount(which, n).astype(np.int64)[which], cuts)
-            tokens.append(pa.array(np.where(of_words, np.add.reduceat(n, cuts[:-1]), 0)))
-        yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("stretch"), *columns, pa.array(words), *tokens],
-                                         ["chunk", "stretch", *COUNTS, "words", "n0", "n1"])
+    def run(batches):
+        for rows in _together(batches, "stretch"):
+            key, cuts = _keys(rows, bits)
+            _, which = np.unique(key, return_inverse=True)
+            of_words = rows.column("stretch").to_numpy() < 1 << bits["words"]
+            words, columns, tokens = np.zeros(rows.num_rows, np.int64), [], []
+            if of_words.any():  # they come first
+                words[0] = len(np.unique(key[:cuts[np.count_nonzero(of_words)]]))
+            for model in (0, 1):
+                n = _counts(rows, model)
+                columns += _packed(np.bincount(which, n).astype(np.int64)[which], cuts)
+                tokens.append(pa.array(np.where(of_words, np.add.reduceat(n, cuts[:-1]), 0)))
+            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("stretch"), *columns, pa.array(words), *tokens],
+                                             ["chunk", "stretch", *COUNTS, "words", "n0", "n1"])
+
+    return run
 
 
 def _own(doc: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -235,10 +249,10 @@ def losses(docs: pa.RecordBatch, words: list, pairs: list, tokens: list[int], vo
     return out
 
 
-def score(chunks: DataFrame, replies: DataFrame) -> DataFrame:
+def score(chunks: DataFrame, replies: DataFrame, bits: dict[str, int]) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of all documents of the chunks."""
     sums = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "words"))).first()
-    tokens, vocabulary = [sums["n0"], sums["n1"]], max(SIZES["words"], sums["words"])
+    tokens, vocabulary = [sums["n0"], sums["n1"]], max(1, sums["words"])
 
     def run(batches):
         for rows in _together(batches, "chunk"):
@@ -246,7 +260,7 @@ def score(chunks: DataFrame, replies: DataFrame) -> DataFrame:
             cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 docs, rest = _docs(rows.column("docs")[a]), rows.slice(a + 1, b - a - 1)  # stretch -1 comes first
-                split = int(np.searchsorted(rest.column("stretch").to_numpy(), WORD_STRETCHES))
+                split = int(np.searchsorted(rest.column("stretch").to_numpy(), 1 << bits["words"]))
                 words, pairs = ([_counts(part, model) for model in (0, 1)] for part in (rest.slice(0, split), rest.slice(split)))
                 n, background, target = losses(docs, words, pairs, tokens, vocabulary)
                 yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)],
@@ -277,8 +291,9 @@ def mark(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chunks = landed(mark(docs, labels).mapInArrow(tidy(_chunk), "chunk long, docs binary"), "lm-chunks")
-    requests = chunks.mapInArrow(tidy(_ask), REQUEST).repartition("stretch").sortWithinPartitions("stretch", "chunk")
-    return score(chunks, landed(requests.mapInArrow(tidy(_reply), REPLY), "lm-counts"))
+    bits = stretch_bits(chunks.count())
+    requests = chunks.mapInArrow(tidy(_ask(bits)), REQUEST).repartition("stretch").sortWithinPartitions("stretch", "chunk")
+    return score(chunks, landed(requests.mapInArrow(tidy(_reply(bits)), REPLY), "lm-counts"), bits)
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

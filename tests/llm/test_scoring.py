@@ -123,7 +123,7 @@ def brute_losses(rows, good):
             total = max(scale * n - scale * len(w) * inside, 0)
             loss = 0.0
             for a, b, x in zip(w, c, p, strict=True):
-                single = (scale * max(words[a] - own_w[a], 0) + lm_score.PRIOR) / (total + lm_score.PRIOR * lm_score.SIZES["words"])
+                single = (scale * max(words[a] - own_w[a], 0) + lm_score.PRIOR) / (total + lm_score.PRIOR * max(1, len(tables[0][0])))
                 seen = scale * max(words[b] - own_w[b], 0)
                 both = min(scale * max(pairs[x] - own_p[x], 0), seen)
                 weight = lm_score.MIX * seen / (seen + 1)
@@ -145,6 +145,26 @@ def test_losses_equal_brute_force(spark, docs, none, rows):
     assert lm_score.cross_entropy_difference(docs, labels_of(spark, [])).where("isnan(score)").count() == 0
 
 
+def test_many_batches_and_stretches(spark, docs, rows, monkeypatch):
+    """One text a chunk, rows of a stretch in many Arrow batches, and more stretches than for few chunks: the same losses."""
+    marks = labels_of(spark, [(0, 1, 0), (7, 1, 0)])
+    want = sorted((tuple(r)[:2] + tuple(round(x, 9) for x in tuple(r)[2:]) for r in lm_score.cross_entropy_difference(docs, marks).collect()), key=str)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(lm_score, "STRETCH_BITS", {"words": 1, "pairs": 2})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for chunks in (1, 20):
+        monkeypatch.setattr(lm_score, "STRETCH_CHUNKS", chunks)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        found = lm_score.cross_entropy_difference(docs, marks).collect()
+        assert sorted((tuple(r)[:2] + tuple(round(x, 9) for x in tuple(r)[2:]) for r in found), key=str) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_stretches_grow_with_the_chunks():
+    assert lm_score.stretch_bits(0) == lm_score.stretch_bits(lm_score.STRETCH_CHUNKS) == lm_score.STRETCH_BITS
+    assert lm_score.stretch_bits(lm_score.STRETCH_CHUNKS * 8) == {k: v + 3 for k, v in lm_score.STRETCH_BITS.items()}
+
+
 def test_scores_tell_good_from_bad(spark):
     marks = spark.read.parquet(f"{MIDDLE}/labels.parquet").selectExpr("doc_id as i", "quality")
     rows = lm_score.op6_cross_entropy_difference(spark, MIDDLE).join(marks, marks["i"] == lm_score.F.col("doc_id")).collect()
