@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .stats import median
+from .stats import quantiles
 
 FEATURES = ["price_numeric", "sales_numeric", "rating_numeric", "has_bestseller_badge"]
 LABEL = "is_attractive"
@@ -37,10 +37,12 @@ def preprocess(cleaned_b: DataFrame, threshold: int = fixed.ATTRACTIVENESS_SCORE
     ``flip_single_class`` (M7) flips the label of the first row when only one
     class is present; it falsifies data, so it is off by default.
     """
+    medians = quantiles(cleaned_b, ["price_numeric", "rating_numeric"], [0.5])
+    price, rating = (medians.where(F.col("column") == c).select("value").scalar() for c in ("price_numeric", "rating_numeric"))
     df = cleaned_b.withColumns({
-        "price_numeric": F.coalesce(F.col("price_numeric"), median(cleaned_b, "price_numeric")),
+        "price_numeric": F.coalesce(F.col("price_numeric"), price),
         "sales_numeric": F.coalesce(F.col("sales_numeric"), F.lit(0).cast("bigint")),
-        "rating_numeric": F.coalesce(F.col("rating_numeric"), median(cleaned_b, "rating_numeric")),
+        "rating_numeric": F.coalesce(F.col("rating_numeric"), rating),
     })
     pts = attractiveness_points(F.col("sales_numeric"), F.col("rating_numeric"), F.col("has_bestseller_badge"))
     df = df.withColumn("attractiveness_score", pts) \

@@ -41,42 +41,64 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .groupBy(column).agg(F.count(F.lit(1)).alias("n")))
 
 
-QUANTILE_BUCKETS = 1 << 12
+#: Values between a quantile's bounds that are ordered; while there are more, the bounds are drawn closer.
+SELECT_ROWS = 1 << 14
+#: Size of the sketches that propose bounds, and their distance from the wanted rank as a share of the values.
+SKETCH_K, MARGIN = 800, 0.01
+#: Least margin after a bound that the count disproved; beyond the whole range the bounds stay as they are.
+MARGIN_STEP = 0.005
+
+
+def _narrowed(data: DataFrame, targets: list[dict]) -> None:
+    """Draw the bounds ``lo``, ``hi`` of the targets closer: KLL sketches of the values between them propose new bounds, a count of the
+    values below and between those proves them. A bound that the count disproves is given up."""
+    def between(t, lo, hi):
+        return (F.col(t["column"]) >= F.lit(lo)) & (F.col(t["column"]) <= F.lit(hi))
+
+    proposals = []
+    for i, t in enumerate(targets):
+        sketch = F.kll_sketch_agg_double(F.when(between(t, t["lo"], t["hi"]), F.col(t["column"])), F.lit(SKETCH_K))  # one for all targets of a column at first
+        for side, rank, sign in (("l", t["first"], -1), ("h", t["last"] + 1, 1)):
+            share = (rank - t["below"]) / t["inside"] + sign * t["margin"]
+            proposals.append(F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, max(0.0, share)))).alias(f"{side}{i}"))
+    found = data.agg(*proposals).first()
+    new = [(max(t["lo"], found[f"l{i}"]), min(t["hi"], found[f"h{i}"])) for i, t in enumerate(targets)]
+    counts = data.agg(*(F.count_if(F.col(t["column"]) < F.lit(lo)).alias(f"b{i}") for i, (t, (lo, _)) in enumerate(zip(targets, new))),
+                      *(F.count_if(between(t, lo, hi)).alias(f"i{i}") for i, (t, (lo, hi)) in enumerate(zip(targets, new)))).first()
+    for i, (t, (lo, hi)) in enumerate(zip(targets, new)):
+        below, inside = counts[f"b{i}"], counts[f"i{i}"]
+        if below <= t["first"] and t["last"] < below + inside:
+            t["done"] = lo == hi or inside > 0.5 * t["inside"]  # a value that fills the range is one row when values are grouped
+            t.update(lo=lo, hi=hi, below=below, inside=inside)
+        else:
+            t["margin"] = max(4 * t["margin"], MARGIN_STEP)
+            t["done"] = t["margin"] > 1
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """Exact interpolated quantiles: ``column, share, value`` (no row for a column without values).
 
-    Values are grouped with their counts; a column's range is cut into buckets on a
-    signed logarithmic scale, whose cumulative counts tell which bucket holds
-    a quantile's two neighbouring ranks; only those buckets are ordered. No
-    task sees all values and nothing passes through the driver.
+    All columns and shares together: the columns are written once, sketches bound the wanted ranks (``_narrowed``: two
+    aggregates over the written columns), and only the values between the bounds are grouped, shuffled and
+    ordered. What passes through the driver are two bounds and two counts a quantile.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
-    counts = (df.select(pairs).select("p.column", "p.v").where("v is not null and not isnan(v)")
-              .groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
-    scale = F.signum("v") * F.log1p(F.abs("v"))
-    # one row per column
-    spans = counts.groupBy("column").agg(F.min(scale).alias("lo"), F.max(scale).alias("hi"), F.sum("c").alias("n"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((scale - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BUCKETS)).otherwise(F.lit(0))
-    placed = counts.join(F.broadcast(spans), "column").select("column", "v", "c", place.cast("long").alias("b"))
-    in_column = Window.partitionBy("column").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (placed.groupBy("column", "b").agg(F.sum("c").alias("m"))  # QUANTILE_BUCKETS + 1 rows a column
-               .withColumn("before", F.coalesce(F.sum("m").over(in_column), F.lit(0))))
-    position = F.col("share") * (F.col("n") - 1)
-    wanted = (spans.select("column", "n", F.explode(F.array(*map(F.lit, shares))).alias("share"))
-              .select("column", "share", (position - F.floor(position)).alias("part"),
-                      F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(position).alias("k")),
-                                        F.struct(F.lit(1).alias("side"), F.ceil(position).alias("k")))).alias("r"))
-              .select("column", "share", "part", "r.side", "r.k"))
-    found = wanted.join(buckets, "column").where("before <= k and k < before + m")
-    # two ranks per column and share: a handful of rows
-    inside = placed.join(F.broadcast(found.select("column", "b").distinct()), ["column", "b"])
-    in_bucket = Window.partitionBy("column", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("skip", F.coalesce(F.sum("c").over(in_bucket), F.lit(0)))
-    met = found.join(inside.select("column", "b", "v", "c", "skip"), ["column", "b"]).where("before + skip <= k and k < before + skip + c")
-    low, high = (F.max(F.when(F.col("side") == n, F.col("v"))) for n in (0, 1))
-    return met.groupBy("column", "share", "part").agg(low.alias("low"), high.alias("high")).select(
+    values = {c: F.col(c).cast("double") for c in columns}
+    data = materialise(df.select(*(F.when(~F.isnan(v), v).alias(c) for c, v in values.items())), "quantile-input")
+    sizes = data.agg(*(F.count(c).alias(c) for c in columns)).first()
+    targets = [{"column": c, "share": float(q), "first": int(q * (sizes[c] - 1)), "last": -int(-q * (sizes[c] - 1) // 1), "part": q * (sizes[c] - 1) % 1,
+                "lo": float("-inf"), "hi": float("inf"), "below": 0, "inside": sizes[c], "margin": MARGIN, "done": False}
+               for c in columns for q in shares if sizes[c]]
+    while wide := [t for t in targets if t["inside"] > SELECT_ROWS and not t["done"]]:
+        _narrowed(data, wide)
+    known = data.sparkSession.createDataFrame([(i, t["column"], t["share"], t["part"], t["first"], t["last"], t["below"]) for i, t in enumerate(targets)],
+                                              "i int, column string, share double, part double, first long, last long, below long")
+    near = [F.when((F.col(t["column"]) >= F.lit(t["lo"])) & (F.col(t["column"]) <= F.lit(t["hi"])), F.struct(F.lit(i).alias("i"), F.col(t["column"]).alias("v")))
+            for i, t in enumerate(targets)] or [F.lit(None).cast("struct<i: int, v: double>")]
+    inside = data.select(F.explode(F.array_compact(F.array(*near))).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = inside.withColumn("before", before).join(F.broadcast(known), "i").withColumn("at", F.col("below") + F.col("before"))  # a row a quantile
+    low, high = (F.max(F.when((F.col("at") <= F.col(r)) & (F.col(r) < F.col("at") + F.col("c")), F.col("v"))) for r in ("first", "last"))
+    return placed.groupBy("column", "share", "part").agg(low.alias("low"), high.alias("high")).select(
         "column", "share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
 
 

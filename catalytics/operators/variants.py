@@ -91,16 +91,20 @@ def kpis(df: DataFrame) -> DataFrame:
     """A3 + A12: one row of variant KPIs.
 
     ``unavailable`` = rows - available, so a null availability counts as
-    unavailable; the median is exact. Counts, distinct counts and median read one
+    unavailable; the median is exact. Counts and median read one
     written copy of the columns they need.
     """
     df = materialise(df.select("product_id", "available", "price", "vendor", "product_type"), "variant-kpis")
     median = stats.median(df, "price")
-    k = df.agg(
+    # a product has few vendors and types: the distinct counts, which repeat their input per column, see a row a combination
+    per = df.groupBy("product_id", "vendor", "product_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("available") == F.lit(True)).alias("n_available"),
+        F.sum("price").alias("prices"), F.count("price").alias("n_prices"))
+    k = per.agg(
         F.count_distinct("product_id").alias("unique_products"),
-        F.count(F.lit(1)).alias("variants"),
-        F.count_if(F.col("available") == F.lit(True)).alias("available_variants"),
-        F.avg("price").alias("avg_price"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("variants"),
+        F.coalesce(F.sum("n_available"), F.lit(0)).alias("available_variants"),
+        (F.sum("prices") / F.sum("n_prices")).alias("avg_price"),
         F.count_distinct("vendor").alias("vendors"),
         F.count_distinct("product_type").alias("product_types"),
     ).withColumn("median_price", median)

@@ -1,5 +1,6 @@
 """Statistics operators: exact vs bounded-memory quantiles, histogram invariants."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalytics.operators import stats
@@ -28,6 +29,25 @@ def test_quantiles_equal_numpy(spark):
     assert stats.quantiles(df.limit(0), ["a"], [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("limit, margin", [(20, 0.01), (100, 0.0)])
+def test_quantiles_by_narrowed_bounds(spark, monkeypatch, limit, margin):
+    """Few values may be ordered, so bounds are drawn closer in several rounds; bounds that miss the rank are given up."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "SELECT_ROWS", limit)
+    monkeypatch.setattr(stats, "MARGIN", margin)
+    rng = np.random.default_rng(3)
+    n = 6000
+    data = {"a": rng.normal(0, 1, n), "b": np.repeat([1.0, 2.0, 3.0], [n // 3, n // 3 + 1, n // 3 - 1]), "c": np.where(rng.random(n) < 0.4, 5.0, rng.exponential(5, n)),
+            "d": np.full(n, 7.0), "e": rng.integers(-50, 50, n).astype(float)}
+    df = spark.createDataFrame([tuple(float(x) for x in r) for r in zip(*data.values(), strict=True)], ", ".join(f"{c} double" for c in data)).repartition(5)
+    shares = [0.0, 0.25, 0.3334, 0.5, 0.999, 1.0]
+    got = {(r["column"], r["share"]): r["value"] for r in stats.quantiles(df, list(data), shares).collect()}
+    assert set(got) == {(c, q) for c in data for q in shares}
+    for (c, q), value in got.items():
+        assert abs(value - np.quantile(data[c], q)) <= 1e-9 * max(1.0, abs(value)), (c, q)
+
+
 def test_ranks_follow_the_order(spark):
     df = spark.createDataFrame([(i, (i * 37) % 101) for i in range(500)], "k int, v int").repartition(7)
     got = stats.ranked(df, "v", "k").collect()
