@@ -76,50 +76,42 @@ DETAIL_NO_H1 = "N/A (pageTitle H1 not found)"
 # HTML elements without content.
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
-# Result pages: the container, its cards (the whole class attribute, direct
-# children only) and the fields of a card: name, default, alternatives of
-# (selector, rule, detail). Selector forms: see sources/html.py.
-CARD_CONTAINER = "div#card-list"
-CARD = "> div[hm_bu search-item-card-wrapper-gallery]"
-CARD_TABLE = [
-    ("url", SENTINEL, [("a.jr_g", "link", "href")]),
-    ("name", SENTINEL, [("h3.jr_kp", "text", None)]),
-    ("price", SENTINEL, [("div.jr_kr", "amount", None)]),
-    ("original_price", SENTINEL, [("div.jr_ks", "text", None)]),
-    ("discount_percentage", SENTINEL, [("span.jr_kt", "text", None)]),
-    ("rating", SENTINEL, [("span.jr_kf", "text", None)]),
-    ("sales_info", SENTINEL, [("span.jr_j7", "text", "+ ")]),
-    ("image_url", SENTINEL, [("img.mm_be", "link", "src")]),
-    ("additional_badges", SENTINEL, [("", "badges", ["div.jr_ae > span.jr_ae", "div.jr_k2", "img.ms_mv", "span.ms_mu"])]),
-]
-
-# Retail detail pages, in the two sources' forms.
-DETAIL_NAME_PARTS = ["span.ProductName-primary", "span.ProductName-alt"]
-DETAIL_TAX_LABEL = "span.ProductPrice-taxLabel"
-DETAIL_PRICE = "div.ProductDetails-form__price div.ProductPrice"
-DETAIL_RATING = "div.bv_avgRating_component_container.notranslate"
-DETAIL_REVIEWS = "button.bv_main_container_row_flex div.bv_numReviews_text"
-DETAIL_REVIEWS_OTHER = ".ProductDetails-header-V2-metadata .bv_numReviews_text"
-DETAIL_TABLES = {
-    "joined": [
-        ("name", DETAIL_NO_H1, [("h1#pageTitle", "names", "joined")]),
-        ("price", SENTINEL, [(DETAIL_PRICE, "taxed", "span{ProductPrice-price|ProductPrice-finalPrice}")]),
-        ("rating", SENTINEL, [(DETAIL_RATING, "text", None)]),
-        ("reviews_count", SENTINEL, [(DETAIL_REVIEWS + ", " + DETAIL_REVIEWS_OTHER, "count", ""),
-                                     ("span.bv-rating-label", "count", "review")]),
-    ],
-    "paren": [
-        ("name", DETAIL_NO_H1, [("h1#pageTitle", "names", "paren")]),
-        ("price", SENTINEL, [(DETAIL_PRICE, "taxed", "span")]),
-        ("rating", SENTINEL, [(DETAIL_RATING, "text", None)]),
-        ("reviews_count", SENTINEL, [(DETAIL_REVIEWS, "count", ""), (DETAIL_REVIEWS_OTHER, "count", "")]),
-    ],
+# Result pages: id of the container div, the whole class attribute of its cards
+# (direct children only), and the elements of a card's fields as (tag, classes).
+CARD_CONTAINER = "card-list"
+CARD_CLASSES = "hm_bu search-item-card-wrapper-gallery"
+CARD_ELEMENTS = {
+    "url": ("a", "jr_g"),
+    "name": ("h3", "jr_kp"),
+    "price": ("div", "jr_kr"),
+    "original_price": ("div", "jr_ks"),
+    "discount_percentage": ("span", "jr_kt"),
+    "rating": ("span", "jr_kf"),
+    "sales_info": ("span", "jr_j7"),
+    "image_url": ("img", "mm_be"),
 }
+SALES_LEAD = "+ "
+# Badges: a holder and its direct labels, blocks with a titled picture or a caption.
+CARD_BADGES = [("div", "jr_ae"), ("span", "jr_ae"), ("div", "jr_k2"), ("img", "ms_mv"), ("span", "ms_mu")]
+
+# Retail detail pages: (tag, classes), or an outer and an inner element.
+DETAIL_TITLE = "pageTitle"
+DETAIL_NAME_PARTS = [("span", "ProductName-primary"), ("span", "ProductName-alt")]
+DETAIL_TAX_LABEL = ("span", "ProductPrice-taxLabel")
+DETAIL_PRICE = [("div", "ProductDetails-form__price"), ("div", "ProductPrice")]
+DETAIL_PRICE_PARTS = ("ProductPrice-price", "ProductPrice-finalPrice")
+DETAIL_RATING = ("div", "bv_avgRating_component_container notranslate")
+DETAIL_REVIEWS = [
+    [("button", "bv_main_container_row_flex"), ("div", "bv_numReviews_text")],
+    [(None, "ProductDetails-header-V2-metadata"), (None, "bv_numReviews_text")],
+]
+DETAIL_REVIEWS_LABEL = ("span", "bv-rating-label")
+REVIEW_WORD = "review"
 
 # Product cards of a retail listing page (both sources) and the link in each;
 # links taken from a page at most.
-PRODUCT_CARDS = "ul.ProductCardListing-grid li.ProductCard, ul.row li.product-container"
-PRODUCT_LINK = "a.ProductCard-link"
+PRODUCT_CARDS = [[("ul", "ProductCardListing-grid"), ("li", "ProductCard")], [("ul", "row"), ("li", "product-container")]]
+PRODUCT_LINK = ("a", "ProductCard-link")
 MAX_LINKS = 20
 
 # Context messages when retrieval finds nothing.

@@ -254,6 +254,7 @@ def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``p_partkey % 41 == 0`` have no title heading at all.
     """
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # the table is one row group; rows are small before rendering
     k = F.col("p_partkey")
     url = F.concat(F.lit("https://retail.example.com/p/"), k.cast("string"))
     alt = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<span class="ProductName-alt"> '),

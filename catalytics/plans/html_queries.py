@@ -22,11 +22,12 @@ def q_detail_extract(spark, sf):
 
 
 def q_page_links(spark, sf):
-    return H.page_links(read_table(spark, sf, "pages"))
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    return H.page_links(pages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id"))  # the table is one row group
 
 
 def q_product_links(spark, sf):
-    return H.page_links(fixtures.product_list_html(spark, sf), card=fixed.PRODUCT_CARDS, link=fixed.PRODUCT_LINK)
+    return H.page_links(fixtures.product_list_html(spark, sf), cards=H.product_cards, link=fixed.PRODUCT_LINK)
 
 
 QUERIES = {

@@ -1,220 +1,227 @@
 """HTML pages -> tables.
 
-A page is read into a flat list of elements and texts in document order (no
-recursion, so any nesting depth works); elements know where their subtree
-ends. What to take from a card or a detail page is a table of fields
-(``field, selector, rule``) that one evaluator walks. Each page is independent:
-the parse runs in ``mapInPandas`` over Arrow batches, a narrow map, and one bad
-page never fails the job.
+Python only reads a page into its nodes, elements and texts in document order:
+``page_nodes`` adds one array of node structs per page, without recursion, so any
+nesting depth works. A node knows its parent and where its subtree ends (``last``), so a subtree is a
+slice of the array. Cards, fields and links are chosen from those arrays by
+built-in functions: filters of slices, no joins and no shuffle, as a page's nodes
+never leave its row. One bad page never fails the job: it has no nodes.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
+from operator import and_, or_
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed
 
+NODES = ("array<struct<node int, parent int, last int, tag string, id string, classes array<string>, href string, src string, "
+         "title string, link string, text string>>")
+NODE_TYPES = [("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
+              ("classes", pa.list_(pa.string())), ("href", pa.string()), ("src", pa.string()), ("title", pa.string()),
+              ("link", pa.string()), ("text", pa.string())]
+#: Nodes after which a task hands on the pages read so far.
+BATCH_NODES = 1 << 15
+#: What the original's text trimming takes as white space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-# --- a flat document ---------------------------------------------------------------------
 
-class Document(HTMLParser):
-    """Elements and texts in document order: ``tags[i]`` is None for a text; ``ends[i]`` closes i's subtree."""
+# --- pages -> nodes ------------------------------------------------------------------------
 
-    def __init__(self, html: str):
+class _Reader(HTMLParser):
+    """Nodes of one page as rows in the order of ``NODE_TYPES``; a text has no tag, row 0 is the page itself."""
+
+    def __init__(self, html: str, url: str | None):
         super().__init__(convert_charrefs=True)
-        self.tags: list[str | None] = ["#root"]
-        self.values: list = [{}]  # attributes of an element, or the text
-        self.parents, self.ends = [-1], [0]
-        self._open, self._count = [0], Counter()
+        self.rows: list[list] = [[0, -1, 0, "#root", *[None] * 7]]
+        self._url, self._open, self._count = url, [0], Counter()
         self.feed(html)
         self.close()
         for i in self._open:
-            self.ends[i] = len(self.tags)
+            self.rows[i][2] = len(self.rows)
 
-    def _add(self, tag, value):
-        self.tags.append(tag)
-        self.values.append(value)
-        self.parents.append(self._open[-1])
-        self.ends.append(len(self.tags))
+    def _add(self, tag, attrs=(), text=None):
+        got = {k: v or "" for k, v in reversed(attrs)}  # the first of repeated attributes holds
+        link = _joined(self._url, got["href"]) if got.get("href") else None
+        n = len(self.rows)
+        self.rows.append([n, self._open[-1], n + 1, tag, got.get("id"), got.get("class", "").split(), got.get("href"), got.get("src"),
+                          got.get("title"), link, text])
 
     def handle_starttag(self, tag, attrs):
-        self._add(tag, {k: v or "" for k, v in reversed(attrs)})
+        self._add(tag, attrs)
         if tag not in fixed.VOID_ELEMENTS:
-            self._open.append(len(self.tags) - 1)
+            self._open.append(len(self.rows) - 1)
             self._count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self._add(tag, {k: v or "" for k, v in reversed(attrs)})
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag):
         while self._count[tag]:
-            i = self._open.pop()
-            self._count[self.tags[i]] -= 1
-            self.ends[i] = len(self.tags)
-            if self.tags[i] == tag:
+            row = self.rows[self._open.pop()]
+            self._count[row[3]] -= 1
+            row[2] = len(self.rows)
+            if row[3] == tag:
                 return
 
     def handle_data(self, data):
-        self._add(None, data)
-
-    def strings(self, i: int) -> list[str]:
-        return [self.values[j] for j in range(i, self.ends[i]) if self.tags[j] is None]
-
-    def text(self, i: int) -> str:
-        return "".join(self.strings(i)).strip()
-
-    def _fits(self, i: int, step: dict) -> bool:
-        if self.tags[i] is None or step["tag"] not in (None, self.tags[i]):
-            return False
-        own = self.values[i].get("class", "").split()
-        return (step["id"] in (None, self.values[i].get("id")) and step["classes"] <= set(own)
-                and (step["whole"] is None or " ".join(own) == step["whole"])
-                and (not step["parts"] or any(p in c for p in step["parts"] for c in own)))
-
-    def _chain(self, i: int, steps: list[dict]) -> bool:
-        if not self._fits(i, steps[-1]):
-            return False
-        direct, i = steps[-1]["direct"], self.parents[i]
-        for step in reversed(steps[:-1]):
-            while i > 0 and not self._fits(i, step):
-                if direct:
-                    return False
-                i = self.parents[i]
-            if i <= 0:
-                return False
-            direct, i = step["direct"], self.parents[i]
-        return True
-
-    def find(self, selector: str, within: int = 0, first: bool = False) -> list[int]:
-        """Elements inside ``within`` that fit any of the comma-separated selectors, in document order.
-
-        Steps are ``tag#id.class``, ``[whole class attribute]`` or ``{part|part}`` (a class contains one of
-        them); ``>`` asks for a direct child, as the first sign of the element ``within`` itself.
-        """
-        choices = [_steps(s) for s in selector.split(",")]
-        out = []
-        for i in range(within + 1, self.ends[within]):
-            if self.tags[i] is None:
-                continue
-            if any((not top or self.parents[i] == within) and self._chain(i, steps) for top, steps in choices):
-                out.append(i)
-                if first:
-                    break
-        return out
-
-
-_TOKEN = re.compile(r">|(?:[^\s>\[{]|\[[^\]]*\]|{[^}]*})+")
-_STEP = re.compile(r"(?P<tag>[^#.\[{]*)(?:#(?P<id>[^.\[{]*))?(?P<classes>(?:\.[^.\[{]*)*)(?:\[(?P<whole>[^\]]*)\])?(?:{(?P<parts>[^}]*)})?")
-_PARSED: dict[str, tuple] = {}
-
-
-def _steps(selector: str) -> tuple[bool, list[dict]]:
-    if selector not in _PARSED:
-        tokens = _TOKEN.findall(selector)
-        top = tokens[0] == ">"
-        steps, direct = [], False
-        for token in tokens[top:]:
-            if token == ">":
-                direct = True
-                continue
-            m = _STEP.fullmatch(token)
-            steps.append({"tag": m["tag"] or None, "id": m["id"], "classes": set(filter(None, m["classes"].split("."))),
-                          "whole": m["whole"], "parts": m["parts"].split("|") if m["parts"] else [], "direct": direct})
-            direct = False
-        _PARSED[selector] = (top, steps)
-    return _PARSED[selector]
-
-
-# --- rules: what a field takes from the element that its selector found -------------------
-
-def _link(doc, at, attribute, base):
-    href = doc.values[at].get(attribute)
-    if href is None:
-        return None
-    return "https:" + href if href.startswith("//") else base + href if href.startswith("/") else href
-
-
-def _amount(doc, at, _, base):
-    """Currency and number from their spans (a fourth one, after a dot, holds decimals), else all text pieces."""
-    spans = [doc.text(i) for i in doc.find("span", at)]
-    if len(spans) < 2:
-        return " ".join(filter(None, map(str.strip, doc.strings(at)))).replace(" . ", ".")
-    cents = "." + spans[3] if len(spans) == 4 and spans[2] == "." else ""
-    return " ".join(spans[:2]) + cents
-
-
-def _badges(doc, at, selectors, base):
-    """Distinct badge texts in sorted order (the original's order is that of a set: undefined)."""
-    label, block, picture, caption = selectors
-    found = {doc.text(i) for i in doc.find(label, at)} - {""}
-    for i in doc.find(block, at):
-        titles = [doc.values[j].get("title") for j in doc.find(picture, i, first=True)]
-        if any(titles):
-            found.add(titles[0].strip())
-        else:
-            found.update("".join(map(str.strip, doc.strings(j))) for j in doc.find(caption, i, first=True))
-    return " | ".join(sorted(found)) if found else None
-
-
-def _names(doc, at, form, base):
-    """Primary and alternative product name in the form of the source."""
-    own = [[doc.text(i) for i in doc.find(s, at, first=True)] for s in fixed.DETAIL_NAME_PARTS]
-    primary, other = ("".join(x) for x in own)
-    if form == "paren":
-        return (f"{primary} ({other})" if other else primary) or fixed.DETAIL_NO_NAME
-    return " ".join(filter(None, (primary, other))) or fixed.DETAIL_NO_NAME
-
-
-def _taxed(doc, at, selector, base):
-    """Price from the first span that fits (or the first of all) with the tax label."""
-    spans = doc.find(selector, at, first=True) or doc.find("span", at, first=True)
-    if not spans:
+        self._add(None, text=data)
+
+
+def _joined(url, href):
+    try:
+        return urljoin(url or "", href)
+    except ValueError:  # not an address, e.g. an open bracket in its host
+        return href
+
+
+def _rows(html, url) -> list[list] | None:
+    try:
+        return None if html is None else _Reader(html, url).rows
+    except Exception:  # noqa: BLE001 - the parser gives up on some broken markup: no nodes
         return None
-    price = doc.text(spans[0])
-    label = doc.find(fixed.DETAIL_TAX_LABEL, at, first=True)
-    return f"{price} ({doc.text(label[0])})" if label and price != fixed.SENTINEL else price
 
 
-def _count(doc, at, must_hold, base):
-    text = doc.text(at)
-    return text.replace("(", "").replace(")", "") if must_hold in text.lower() else None
+def page_nodes(pages: DataFrame, keys: list[str], html_col: str = "html", url_col: str | None = None) -> DataFrame:
+    """``keys`` and ``nodes`` of every page; ``link`` of a node is its href resolved against ``url_col``.
+
+    ``nodes`` is null for null pages and for those beyond parsing.
+    """
+    def run(batches):
+        for batch in batches:
+            found, start, size = [], 0, 0
+            urls = batch.column(len(keys) + 1).to_pylist() if url_col else [None] * batch.num_rows
+            for i in range(batch.num_rows):
+                found.append(_rows(batch.column(len(keys))[i].as_py(), urls[i]))
+                size += len(found[-1] or ())
+                if size > BATCH_NODES or i == batch.num_rows - 1:
+                    yield _with_nodes(batch.slice(start, len(found)), keys, found)
+                    found, start, size = [], i + 1, 0
 
+    types = dict(pages.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", nodes {NODES}"
+    return pages.select(*keys, F.col(html_col).alias("_html"), *([F.col(url_col).alias("_url")] if url_col else [])).mapInArrow(run, schema)
 
-RULES = {
-    "text": lambda doc, at, strip, base: doc.text(at).lstrip(strip) if strip else doc.text(at),
-    "link": _link, "amount": _amount, "badges": _badges, "names": _names, "taxed": _taxed, "count": _count,
-}
 
+def _with_nodes(batch, keys, found):
+    rows = [row for page in found for row in page or ()]
+    columns = list(zip(*rows)) if rows else [()] * len(NODE_TYPES)
+    nodes = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, NODE_TYPES)], names=[n for n, _ in NODE_TYPES])
+    offsets = [0]
+    for page in found:
+        offsets.append(offsets[-1] + len(page or ()))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=pa.array([page is None for page in found]))
+    return pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], lists], [*keys, "nodes"])
 
-def take(doc: Document, at: int, table: list[tuple], base: str, record: dict) -> None:
-    """Fill ``record`` field by field: the first alternative whose selector and rule give a value, else its default."""
-    for field, default, alternatives in table:
-        value = None
-        for selector, rule, detail in alternatives:
-            found = [at] if selector == "" else doc.find(selector, at, first=True)
-            value = RULES[rule](doc, found[0], detail, base) if found else None
-            if value is not None:
-                break
-        record[field] = default if value is None else value
 
+# --- choosing nodes ------------------------------------------------------------------------
 
-def _document(html) -> Document | None:
-    try:
-        return Document(html)
-    except Exception:  # noqa: BLE001 - the parser gives up on some broken markup: no document
-        return None
+Test = Callable[[Column], Column]
+
+
+def element(tag: str | None = None, classes: str = "", id: str | None = None, whole: str | None = None,
+            parts: tuple[str, ...] = ()) -> Test:
+    """Test of a node: its tag, classes it has among others, its id, all its classes in order, a part of any of its classes."""
+    def test(x):
+        checks = [x["tag"] == tag if tag else x["tag"].isNotNull()]
+        checks += [x["id"] == id] if id else []
+        checks += [F.array_contains(x["classes"], c) for c in classes.split()]
+        checks += [F.array_join(x["classes"], " ") == whole] if whole else []
+        if parts:
+            names = F.array_join(x["classes"], " ")
+            checks.append(reduce(or_, [F.contains(names, F.lit(p)) for p in parts]))
+        return reduce(and_, checks)
+    return test
+
+
+def subtree(nodes: Column, at: Column) -> Column:
+    """What is inside element ``at`` of ``nodes``, a page's or those of a subtree."""
+    return F.slice(nodes, at["node"] - F.get(nodes, F.lit(0))["node"] + 2, at["last"] - at["node"] - 1)
+
+
+def find_all(nodes: Column, test: Test) -> Column:
+    return F.filter(nodes, test)
+
+
+def find(nodes: Column, test: Test) -> Column:
+    """First node that passes, null if none."""
+    return F.get(F.filter(nodes, test), F.lit(0))
+
+
+def find_inside(nodes: Column, outer: Test, inner: Test) -> Column:
+    """All nodes that pass ``inner`` at any depth inside one that passes ``outer``, each once.
+
+    Only outermost ``outer`` nodes are searched: their subtrees are disjoint, so the work is linear in the nodes.
+    """
+    tops = F.aggregate(F.filter(nodes, outer), F.slice(nodes, 1, 0), lambda done, x: F.when(
+        x["node"] >= F.coalesce(F.get(done, F.size(done) - 1)["last"], F.lit(0)), F.concat(done, F.array(x))).otherwise(done))
+    return F.flatten(F.transform(tops, lambda top: F.filter(subtree(nodes, top), inner)))
+
+
+def either(first: Column, second: Column) -> Column:
+    """Nodes of two lists in document order, each once (the number is a node's first field)."""
+    return F.array_sort(F.array_distinct(F.concat(first, second)))
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES))
+
+
+def strings(nodes: Column) -> Column:
+    return F.transform(F.filter(nodes, lambda x: x["tag"].isNull()), lambda x: x["text"])
+
+
+def text_in(nodes: Column) -> Column:
+    return strip(F.array_join(strings(nodes), ""))
+
+
+def text_of(nodes: Column, at: Column) -> Column:
+    return text_in(subtree(nodes, at))
 
 
 # --- E1-E8: cards of a result page ----------------------------------------------------------
 
-CARD_COLUMNS = [field for field, _, _ in fixed.CARD_TABLE]
-CARD_SCHEMA = "page_number int, position int, " + ", ".join(f"{c} string" for c in CARD_COLUMNS)
+CARD_COLUMNS = ["url", "name", "price", "original_price", "discount_percentage", "rating", "sales_info", "image_url", "additional_badges"]
+
+
+def _absolute(address: Column, base: str) -> Column:
+    return (F.when(address.startswith("//"), F.concat(F.lit("https:"), address))
+            .when(address.startswith("/"), F.concat(F.lit(base), address)).otherwise(address))
+
+
+def _amount(inside: Column) -> Column:
+    """Currency and number from their spans (a fourth one, after a dot, holds decimals), else all text pieces."""
+    spans = F.transform(find_all(inside, element("span")), lambda x: text_of(inside, x))
+    decimals = F.when((F.size(spans) == 4) & (F.get(spans, F.lit(2)) == "."), F.concat(F.lit("."), F.get(spans, F.lit(3)))).otherwise("")
+    pieces = F.filter(F.transform(strings(inside), strip), lambda s: s != "")
+    return F.when(F.size(spans) >= 2, F.concat(F.array_join(F.slice(spans, 1, 2), " "), decimals)) \
+        .otherwise(F.replace(F.array_join(pieces, " "), F.lit(" . "), F.lit(".")))
+
+
+def _badges(inside: Column) -> Column:
+    """Distinct badge texts in sorted order (the original's order is that of a set: undefined), null if none."""
+    holder, label, block, picture, caption = (element(*e) for e in fixed.CARD_BADGES)
+    holders = find_all(inside, holder)
+    labels = F.flatten(F.transform(holders, lambda h: F.transform(
+        F.filter(subtree(inside, h), lambda x: label(x) & (x["parent"] == h["node"])), lambda x: text_of(inside, x))))
+
+    def of_block(at):
+        own = subtree(inside, at)
+        title = find(own, picture)["title"]
+        captions = F.array_join(F.transform(strings(subtree(own, find(own, caption))), strip), "")
+        return F.when(title != "", strip(title)).otherwise(captions)
+
+    blocks = F.filter(F.transform(find_all(inside, block), of_block), lambda s: s.isNotNull())
+    found = F.array_sort(F.array_union(F.filter(labels, lambda s: s != ""), blocks))
+    return F.when(F.size(found) > 0, F.array_join(found, " | "))
 
 
 def extract_cards(pages: DataFrame, base: str = fixed.MARKETPLACE_BASE, page_col: str = "page_number",
@@ -225,82 +232,96 @@ def extract_cards(pages: DataFrame, base: str = fixed.MARKETPLACE_BASE, page_col
     file order of the original CSV. Pages without a container, null pages and
     pages beyond parsing give no rows.
     """
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for page, html in zip(pdf[page_col], pdf[html_col]):
-                doc = _document(html) if html is not None else None
-                container = doc.find(fixed.CARD_CONTAINER, first=True) if doc else []
-                for position, card in enumerate(doc.find(fixed.CARD, container[0]) if container else []):
-                    record: dict = {}
-                    take(doc, card, fixed.CARD_TABLE, base, record)
-                    out.append([int(page), position, *(record[c] for c in CARD_COLUMNS)])
-            yield pd.DataFrame(out, columns=["page_number", "position", *CARD_COLUMNS])
-
-    return pages.select(page_col, html_col).mapInPandas(run, CARD_SCHEMA)
+    container, card = element("div", id=fixed.CARD_CONTAINER), element("div", whole=fixed.CARD_CLASSES)
+    inside, parsed = F.col("inside"), page_nodes(pages, [page_col], html_col).withColumn("container", find(F.col("nodes"), container))
+    cards = F.transform(F.filter(subtree(F.col("nodes"), F.col("container")), lambda x: card(x) & (x["parent"] == F.col("container.node"))),
+                        lambda x: subtree(F.col("nodes"), x))
+    rows = parsed.select(F.col(page_col).cast("int").alias("page_number"), F.posexplode(cards).alias("position", "inside"))
+
+    # elements first, then their subtrees, then the values: columns that are used more than once are worked out once
+    at = {field: F.col(f"_{field}") for field in fixed.CARD_ELEMENTS}
+    rows = rows.withColumns({f"_{field}": find(inside, element(*e)) for field, e in fixed.CARD_ELEMENTS.items()})
+    rows = rows.withColumn("_amount", subtree(inside, at["price"]))
+    values = {field: F.when(x.isNotNull(), text_of(inside, x)) for field, x in at.items()}
+    values["sales_info"] = F.ltrim(values["sales_info"], F.lit(fixed.SALES_LEAD))
+    values["price"] = F.when(at["price"].isNotNull(), _amount(F.col("_amount")))
+    values["url"] = _absolute(at["url"]["href"], base)
+    values["image_url"] = _absolute(at["image_url"]["src"], base)
+    values["additional_badges"] = _badges(inside)
+    return rows.select("page_number", "position", *[F.coalesce(values[c], F.lit(fixed.SENTINEL)).alias(c) for c in CARD_COLUMNS])
 
 
 # --- E9-E12: one retail detail page ---------------------------------------------------------
 
 DETAIL_COLUMNS = ["name", "price", "rating", "reviews_count"]
-DETAIL_SCHEMA = "url string, " + ", ".join(f"{c} string" for c in DETAIL_COLUMNS)
+
+
+def _name(inside: Column, style: str) -> Column:
+    """Primary and alternative product name, inside the title heading, in the form of the source."""
+    primary, other = (F.coalesce(text_in(subtree(inside, find(inside, element(*e)))), F.lit("")) for e in fixed.DETAIL_NAME_PARTS)
+    if style == "paren":
+        full = F.when(other != "", F.concat(primary, F.lit(" ("), other, F.lit(")"))).otherwise(primary)
+    else:
+        full = F.concat_ws(" ", F.nullif(primary, F.lit("")), F.nullif(other, F.lit("")))
+    return F.when(inside.isNotNull(), F.when(full == "", F.lit(fixed.DETAIL_NO_NAME)).otherwise(full))
+
+
+def _price_span(inside: Column, style: str) -> Column:
+    """The wanted span of a price block, or its first."""
+    first = find(inside, element("span"))
+    return F.coalesce(find(inside, element("span", parts=fixed.DETAIL_PRICE_PARTS)), first) if style == "joined" else first
+
+
+def _reviews_at(nodes: Column, style: str) -> Column:
+    """The number in either review block: the first of the page (joined form) or the first block's."""
+    first, other = (find_inside(nodes, *(element(*e) for e in place)) for place in fixed.DETAIL_REVIEWS)
+    return F.get(either(first, other) if style == "joined" else F.concat(first, other), F.lit(0))
 
 
 def extract_details(pages: DataFrame, style: str = "joined", url_col: str = "url",
                     html_col: str = "html") -> DataFrame:
     """One record per page, in one of the two sources' forms.
 
-    ``joined`` -> "primary alt", ``paren`` -> "primary (alt)". A page that did not load (null) or fails
-    keeps the fields read before, and the form's marker as its name if there is none.
+    ``joined`` -> "primary alt", ``paren`` -> "primary (alt)". A page that did not load (null) or that is beyond parsing
+    has the form's marker as its name.
     """
-    table, marker = fixed.DETAIL_TABLES[style], fixed.DETAIL_ERROR_NAMES[style]
+    nodes, price, label = F.col("nodes"), F.col("_price_text"), F.col("_tax")
+    read = page_nodes(pages, [url_col], html_col).withColumns({
+        "_title": subtree(nodes, find(nodes, element("h1", id=fixed.DETAIL_TITLE))),
+        "_price": subtree(nodes, F.get(find_inside(nodes, *(element(*e) for e in fixed.DETAIL_PRICE)), F.lit(0))),
+        "_rating": text_in(subtree(nodes, find(nodes, element(*fixed.DETAIL_RATING)))),
+        "_reviews": text_in(subtree(nodes, _reviews_at(nodes, style))),
+        "_label": text_in(subtree(nodes, find(nodes, element(*fixed.DETAIL_REVIEWS_LABEL)))) if style == "joined" else F.lit(None).cast("string")})
+    read = read.withColumns({"_price_text": text_in(subtree(F.col("_price"), _price_span(F.col("_price"), style))),
+                             "_tax": text_in(subtree(F.col("_price"), find(F.col("_price"), element(*fixed.DETAIL_TAX_LABEL))))})
+    values = {
+        "name": F.coalesce(_name(F.col("_title"), style), F.when(nodes.isNotNull(), F.lit(fixed.DETAIL_NO_H1)).otherwise(fixed.DETAIL_ERROR_NAMES[style])),
+        "price": F.when(label.isNotNull() & (price != fixed.SENTINEL), F.concat(price, F.lit(" ("), label, F.lit(")"))).otherwise(price),
+        "rating": F.col("_rating"),
+        "reviews_count": F.translate(F.coalesce("_reviews", F.when(F.contains(F.lower("_label"), F.lit(fixed.REVIEW_WORD)), F.col("_label"))), "()", ""),
+    }
+    return read.select(F.col(url_col).alias("url"), *[F.coalesce(values[c], F.lit(fixed.SENTINEL)).alias(c) for c in DETAIL_COLUMNS])
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for url, html in zip(pdf[url_col], pdf[html_col]):
-                record: dict = {}
-                try:
-                    take(Document(html), 0, table, "", record)
-                except Exception:  # noqa: BLE001 - one bad page must not lose the record
-                    record.setdefault("name", marker)
-                out.append([url, *(record.get(c, fixed.SENTINEL) for c in DETAIL_COLUMNS)])
-            yield pd.DataFrame(out, columns=["url", *DETAIL_COLUMNS])
 
-    return pages.select(url_col, html_col).mapInPandas(run, DETAIL_SCHEMA)
+# --- E13: link lists --------------------------------------------------------------------------
 
+def product_cards(nodes: Column) -> Column:
+    """The product cards of a retail listing page, of both sources."""
+    return either(*(find_inside(nodes, *(element(*e) for e in place)) for place in fixed.PRODUCT_CARDS))
 
-# --- E13: link lists --------------------------------------------------------------------------
 
-def page_links(pages: DataFrame, card: str | None = None, link: str = "a", cap: int | None = None, id_col: str = "page_id",
-               url_col: str = "url", html_col: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, cards: Callable[[Column], Column] | None = None, link: tuple[str, ...] = ("a",), cap: int | None = None,
+               id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Each page's links, resolved against its address, distinct, in document order.
 
-    With ``card`` (e.g. ``fixed.PRODUCT_CARDS``) one link per card, the first that fits ``link``; without,
+    With ``cards`` (e.g. ``product_cards``) one link per card, the first element that fits ``link``; without,
     every link of the page. ``cap`` keeps the first so many of a page (the
     original's limit is ``fixed.MAX_LINKS``; None, the default, keeps all).
     """
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for key, url, html in zip(pdf[id_col], pdf[url_col], pdf[html_col]):
-                doc = _document(html) if html is not None else None
-                if doc is None:
-                    continue
-                if card is None:
-                    found = doc.find(link)
-                else:
-                    found = [i for c in doc.find(card) for i in doc.find(link, c, first=True)]
-                links = dict.fromkeys(_joined(url, doc.values[i]["href"]) for i in found if doc.values[i].get("href"))
-                out += [(key, n, value) for n, value in enumerate(list(links)[:cap], 1)]
-            yield pd.DataFrame(out, columns=[id_col, "rank", "link"])
-
-    kind = dict(pages.dtypes)[id_col]
-    return pages.select(id_col, url_col, html_col).mapInPandas(run, f"{id_col} {kind}, rank int, link string")
-
-
-def _joined(url, href):
-    try:
-        return urljoin(url or "", href)
-    except ValueError:  # not an address, e.g. an open bracket in its host
-        return href
+    nodes = F.col("nodes")
+    found = find_all(nodes, element(*link)) if cards is None else \
+        F.transform(cards(nodes), lambda card: find(subtree(nodes, card), element(*link)))
+    links = F.array_distinct(F.filter(F.transform(found, lambda x: x["link"]), lambda x: x.isNotNull()))
+    links = links if cap is None else F.slice(links, 1, cap)
+    rows = page_nodes(pages, [id_col], html_col, url_col).select(id_col, F.posexplode(links).alias("_at", "link"))
+    return rows.select(id_col, (F.col("_at") + 1).alias("rank"), "link")

@@ -70,3 +70,21 @@ def test_deep_pages_and_links(spark):
     got = [(r["rank"], r["link"]) for r in H.page_links(df).orderBy("rank").collect()]
     assert got == [(1, "https://h.example/a/c?x=1&y=2"), (2, "https://h.example/d"), (3, "https://h.example/a/b/?p=2")]
     assert H.page_links(df, cap=2).count() == 2
+
+
+def test_badge_forms_and_failed_pages(spark):
+    card = ('<div class="hm_bu search-item-card-wrapper-gallery"><div class="jr_ae x"><i><span class="jr_ae">deep</span></i><span class="jr_ae"> S </span></div>'
+            '<div class="jr_k2"><img class="ms_mv"><span class="ms_mu"> a<b> b </b></span></div><div class="jr_k2"><img class="ms_mv" title="S"></div>'
+            '<div class="jr_k2">none</div><a class="jr_g">x</a></div>')
+    df = spark.createDataFrame([(1, f"<div id=card-list>{card}</div>"), (2, None), (3, "")], "page_number int, html string")
+    (row,) = H.extract_cards(df).collect()
+    assert row.additional_badges == "S | ab" and row.url == "N/A" and row.name == "N/A" and row.page_number == 1
+
+
+def test_nested_outer_elements_give_each_inner_once(spark):
+    page = ('<ul class="row"><li class="product-container ProductCard"><ul class="row"><li class=product-container><a class=ProductCard-link href=/1>x</a></li></ul></li></ul>'
+            '<ul class="ProductCardListing-grid"><li class="ProductCard"><a class=ProductCard-link href=/2>x</a></li></ul><li class=ProductCard><a class=ProductCard-link href=/3></a></li>')
+    df = spark.createDataFrame([(1, "https://h.example/", page), (2, "u", ""), (3, None, None)], "page_id long, url string, html string")
+    got = [(r["rank"], r["link"]) for r in H.page_links(df, cards=H.product_cards, link=("a", "ProductCard-link")).orderBy("rank").collect()]
+    assert got == [(1, "https://h.example/1"), (2, "https://h.example/2")]
+    assert H.page_links(df.limit(0)).count() == 0
