@@ -4,6 +4,7 @@ import collections
 import hashlib
 import importlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -262,6 +263,47 @@ def test_main_text_of_odd_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_leaves_unmarked_furniture_and_comments_out():
+    long = " ".join(["Some long sentence, with marks."] * 12)
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>"
+    assert html_text.main_text(f"<body>{menu}<h1>Head</h1><p>{long}</p><p>{long}</p><p>All rights reserved</p></body>") == f"Head\n{long}\n{long}"
+    assert html_text.main_text(f"<body><div><p>{long}</p></div><div>Win a prize</div><div><p>{long}</p></div></body>") == f"{long}\n{long}"
+    assert html_text.main_text(f"<article><p>{long}</p><p>All rights reserved.</p></article>") == f"{long}\nAll rights reserved."
+    for extra in (f"<ol class=responses><li>{long}</ol>", f"<div class=responses><p>{long}</p></div>", "<div class=related-posts><p>Another story, here.</p></div>",
+                  f"<h2>Comments</h2><ol class=thread><li>{long}</ol>", f"<h3>12 comments</h3><p>{long}</p>"):
+        assert html_text.main_text(f"<main><h1>Head</h1><p>{long}</p>{extra}</main>") == f"Head\n{long}", extra
+    assert html_text.main_text(f"<article><!--><p>{long}</p><!---><p>x</p><!-- <p>no</p> --!><p>y</p></article>") == f"{long}\nx\ny"
+
+
+def test_main_text_comes_from_the_path_scores(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()]
+    want = [html_text.main_text(page) for page in pages]
+    for names in ("article", "article|nav|footer"):
+        bare = [re.sub(rf"<(/?)(?:{names})\b", r"<\1div", page) for page in pages]
+        assert sum(html_text.main_text(page) == text for page, text in zip(bare, want)) >= 0.95 * len(pages)
+    monkeypatch.setattr(html_text, "path_scores", lambda paths, *rest: (np.ones(len(paths)), np.ones(len(paths))))
+    assert not any(html_text.main_text(page) == text for page, text in zip(pages, want))
+
+
+def test_path_scores_by_hand():
+    paths, lengths, marks = np.array([1, 2, 1, 3]), np.array([10.0, 4.0, 30.0, 6.0]), np.array([1.0, 0.0, 3.0, 6.0])
+    own, smooth = html_text.path_scores(paths, lengths, marks, np.array([1.0, 1.0, 1.0, 0.0]), np.zeros(4, bool))
+    assert np.allclose(own, [20 * 3 * 40 / 44, 4 * 4 / 44, 20 * 3 * 40 / 44, 0]) and smooth[3] == 0
+    kernel = np.exp([-2.0, -0.5, 0, -0.5, -2.0])
+    first = [own[0], own[0], own[0], own[1], own[2]]
+    assert np.isclose(smooth[0], (kernel * first).sum() / kernel.sum())
+    boosted, _ = html_text.path_scores(paths, lengths, marks, np.ones(4), np.array([True, False, True, False]))
+    assert boosted[1] < own[1] and boosted[0] > boosted[3]
+
+
+def test_broken_markup_takes_linear_time():
+    for piece in ("<h1 class=ad x", "<p a='", "<!--", "<a b=\"'", "</script x", "<p a='\" >", "<script>", "<a"):
+        start = time.perf_counter()
+        html_text.main_text(piece * (1_000_000 // len(piece)))
+        html_text.main_text(piece * (500_000 // len(piece)) + "<!--")
+        assert time.perf_counter() - start < 10, piece
+
+
 def test_main_text_query_equals_the_marked_articles(spark):
     import html as entities
 
