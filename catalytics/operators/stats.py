@@ -35,6 +35,37 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
+#: Multiples of a power of ten that a round step may be; two decades on, as the start is one too low on purpose.
+ROUND_STEPS = [m * 10 ** k for k in range(3) for m in (1, 2, 5)] + [1000]
+
+
+def round_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """A4 as plotted: at most ``bins`` bins whose edges are multiples of a round step.
+
+    The step is the smallest of 1, 2, 5 times a power of ten with which no more than ``bins`` bins, each closed below, cover
+    the finite values; it is 1 if all are equal. At least two bins are needed, as one can't hold values of both signs. The
+    bounds and the step are one scalar subquery, the counting is a grouped aggregate. Output as of ``histogram``:
+    ``bin`` (1-based, from the smallest value's), ``bin_lo``, ``bin_hi``, ``n`` for non-empty bins.
+    """
+    if bins < 2:
+        raise ValueError(f"round steps need at least two bins, got {bins}")
+    x = F.col(column).cast("double")
+    vals = df.where(F.abs(x) < F.lit(float("inf")))  # NaN is larger than infinity
+    lo, hi = F.col("lo"), F.col("hi")
+    power = F.col("power")
+    # powers of ten with positive exponents are exact
+    unit = [F.pow(F.lit(10.0), F.greatest(p, F.lit(0))) for p in (power, -power)]
+    fits = F.filter(F.array(*[F.lit(float(m)) * unit[0] / unit[1] for m in ROUND_STEPS]),
+                    lambda s: F.floor(hi / s) - F.floor(lo / s) + 1 <= bins)
+    chosen = vals.select(F.min(x).alias("lo"), F.max(x).alias("hi")) \
+        .withColumn("power", F.when(hi > lo, F.floor(F.log10((hi - lo) / F.lit(float(bins)))).cast("int") - 1)) \
+        .withColumn("step", F.coalesce(F.get(fits, F.lit(0)), F.lit(1.0)))
+    step, first = chosen.select("step").scalar(), chosen.select(F.floor(lo / F.col("step"))).scalar()
+    counted = vals.groupBy(F.floor(x / step).alias("_at")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select((F.col("_at") - first + 1).cast("int").alias("bin"), (F.col("_at") * step).alias("bin_lo"),
+                          ((F.col("_at") + 1) * step).alias("bin_hi"), "n")
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """A5: frequency per exact non-null value."""
     return (df.where(F.col(column).isNotNull())

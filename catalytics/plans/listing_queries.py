@@ -148,6 +148,19 @@ def q_hist_rating10(spark, sf):
     return _hist(filtered_a(spark, sf), "rating_numeric", 10)
 
 
+def _round_hist(df, col, bins):
+    h = stats.round_histogram(df, col, bins)
+    return h.select("bin", _r("bin_lo"), _r("bin_hi"), "n")
+
+
+def q_hist_price_round(spark, sf):
+    return _round_hist(filtered_a(spark, sf), "price_numeric", 30)
+
+
+def q_hist_rating_round(spark, sf):
+    return _round_hist(filtered_a(spark, sf), "rating_numeric", 10)
+
+
 def q_value_counts(spark, sf):
     g = grid(spark, sf)
     price = stats.value_counts(g, "Price_MAD").select(F.lit("price").alias("column"),
@@ -207,6 +220,8 @@ QUERIES = {
     "q_display_grid": q_display_grid,
     "q_hist_price30": q_hist_price30,
     "q_hist_rating10": q_hist_rating10,
+    "q_hist_price_round": q_hist_price_round,
+    "q_hist_rating_round": q_hist_rating_round,
     "q_value_counts": q_value_counts,
     "q_describe": q_describe,
     "q_bounds": q_bounds,
@@ -231,6 +246,11 @@ SELECT CAST(bin AS INTEGER) AS bin, round(lo + (bin - 1) * ((hi - lo) / {bins}),
 FROM b GROUP BY bin, lo, hi""")
 
 
+def _round_sql(col: str, bins: int) -> str:
+    return S.with_ctes(S.LISTINGS_A, f"""
+, v AS (SELECT CAST({col} AS DOUBLE) AS x FROM filtered WHERE {col} IS NOT NULL)""" + S.round_bins(bins, R))
+
+
 _DESCRIBE_PARTS = []
 for _c in ["price_numeric", "rating_numeric", "sales_numeric", "discount_percentage_numeric"]:
     _x = f"CAST({_c} AS DOUBLE)"
@@ -321,6 +341,8 @@ SELECT row_seq,
 FROM grid"""),
     "q_hist_price30": _hist_sql("price_numeric", 30),
     "q_hist_rating10": _hist_sql("rating_numeric", 10),
+    "q_hist_price_round": _round_sql("price_numeric", 30),
+    "q_hist_rating_round": _round_sql("rating_numeric", 10),
     "q_value_counts": S.with_ctes(S.LISTINGS_C, """
 SELECT 'price' AS "column", "Price_MAD" AS value, count(*) AS n FROM grid WHERE "Price_MAD" IS NOT NULL GROUP BY 2
 UNION ALL

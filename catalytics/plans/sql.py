@@ -160,3 +160,15 @@ grid AS (
 
 def with_ctes(ctes: str, body: str) -> str:
     return "WITH " + ctes.strip() + "\n" + body
+
+
+def round_bins(bins: int, places: int = 6) -> str:
+    """Histogram with round steps over the column ``x`` of the table ``v``, in CTEs that follow it."""
+    return f"""
+, range_of AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+powers AS (SELECT lo, hi, CAST(floor(log10((hi - lo) / {bins}.0)) AS INTEGER) - 1 AS k FROM range_of WHERE hi > lo),
+steps AS (SELECT lo, hi, m * pow(10.0, greatest(k, 0)) / pow(10.0, greatest(-k, 0)) AS step
+          FROM powers, (SELECT CAST(unnest([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000]) AS DOUBLE) AS m)),
+chosen AS (SELECT coalesce(min(step), 1.0) AS step FROM steps WHERE floor(hi / step) - floor(lo / step) + 1 <= {bins}),
+counted AS (SELECT floor(x / step) AS b, step, floor(lo / step) AS b0, count(*) AS n FROM v, chosen, range_of GROUP BY ALL)
+SELECT CAST(b - b0 + 1 AS INTEGER) AS bin, round(b * step, {places}) AS bin_lo, round((b + 1) * step, {places}) AS bin_hi, n FROM counted"""

@@ -12,6 +12,7 @@ from ..sources import documents
 from ..session import read_table, scratch_path
 from ..sources import files
 from . import fixtures
+from .sql import round_bins
 
 R = 6
 PROBE_STORE = "nation_3.example.com"
@@ -116,6 +117,11 @@ def q_hist_variant50(spark, sf):
     return h.select("bin", _r("bin_lo"), _r("bin_hi"), "n")
 
 
+def q_hist_variant_round(spark, sf):
+    h = stats.round_histogram(dashboard(spark, sf), "price", 50)
+    return h.select("bin", _r("bin_lo"), _r("bin_hi"), "n")
+
+
 def q_json_flatten(spark, sf):
     pages = documents.parse_pages(fixtures.products_json(spark, sf))
     flat = documents.flatten(pages)
@@ -160,6 +166,7 @@ QUERIES = {
     "q_most_expensive": q_most_expensive,
     "q_raw_projection": q_raw_projection,
     "q_hist_variant50": q_hist_variant50,
+    "q_hist_variant_round": q_hist_variant_round,
     "q_json_flatten": q_json_flatten,
     "q_store_endpoint": q_store_endpoint,
     "q_landed_store_facet": q_landed_store_facet,
@@ -288,6 +295,8 @@ ORDER BY price DESC NULLS LAST, variant_id, product_id, supplier_key LIMIT 5""")
     "q_raw_projection": _w("""
 SELECT store_domain, vendor, title, product_type, variant_title, price, available,
        CAST(updated_at AS VARCHAR) AS updated_at FROM vdash"""),
+    "q_hist_variant_round": _w("""
+, v AS (SELECT CAST(price AS DOUBLE) AS x FROM vdash WHERE price IS NOT NULL)""" + round_bins(50, R)),
     "q_hist_variant50": _w(f"""
 , v AS (SELECT price AS x FROM vdash WHERE price IS NOT NULL),
 r AS (SELECT min(x) AS lo, max(x) AS hi FROM v),

@@ -65,3 +65,23 @@ def test_histogram_counts_sum_to_non_null(spark):
     h = stats.histogram(df, "v", 10)
     rows = h.collect()
     assert sum(r.n for r in rows) == 500 and max(r.bin for r in rows) == 10 and min(r.bin for r in rows) == 1
+
+
+@pytest.mark.parametrize("values, bins, step", [
+    ([0.0, 1.0, 2.5, 99.0], 30, 5.0), ([0.1, 4.9, 5.0], 10, 1.0), ([0.0, 4.9], 10, 0.5), ([-3.0, -0.1, 0.1, 7.0], 2, 10.0), ([7.25, 7.25], 5, 1.0),
+    ([1000001.0, 1000001.04], 4, 0.02), ([-5e9, 5e9], 10, 2e9), ([10.0, 20.0], 10, 2.0)])
+def test_round_histogram(spark, values, bins, step):
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "v double")
+    rows = sorted(stats.round_histogram(df, "v", bins).collect())
+    want = {}
+    for v in values:
+        want[int(v // step)] = want.get(int(v // step), 0) + 1
+    assert [r.n for r in rows] == [n for _, n in sorted(want.items())]
+    assert all(r.bin_lo == pytest.approx(b * step) and r.bin_hi == pytest.approx((b + 1) * step) for r, b in zip(rows, sorted(want)))
+    assert rows[0].bin == 1 and rows[-1].bin <= bins
+
+
+def test_round_histogram_of_nothing(spark):
+    assert stats.round_histogram(spark.createDataFrame([(None,)], "v double"), "v", 10).count() == 0
+    with pytest.raises(ValueError):
+        stats.round_histogram(spark.createDataFrame([(1.0,)], "v double"), "v", 1)
