@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..operators import forest
 from ..operators import listings as L
 from ..operators import ml
 from ..session import scratch_path
@@ -78,8 +80,8 @@ def q_ml_metrics(spark, sf):
 
 def q_ml_predict(spark, sf):
     """M5: every labelled listing is scored; the class follows from its probability."""
-    _, model = _fit(spark, sf)
-    out = ml.predict(model, labelled(spark, sf))
+    split, model = _fit(spark, sf)
+    out = ml.predict(model, split)  # both parts: all labelled rows
     return out.select("row_seq", _share("probability_1").alias("share"),
                       (F.col("prediction") == (F.col("probability_1") > 0.5).cast("int")).alias("class_follows"))
 
@@ -95,6 +97,29 @@ def q_ml_importance(spark, sf):
     return facts.withColumn("trained_on", n)
 
 
+def q_model_table(spark, sf):
+    """All labelled listings scored by joins with the saved forest's nodes, beside the model's own scores."""
+    split, model = _fit(spark, sf)
+    path = scratch_path(spark, "model-table")
+    model.write().save(path)
+    own = forest.scores(split, forest.node_table(spark, path), ml.FEATURES, "row_seq", fixed.NUM_TREES, model.getOrDefault("maxDepth"))
+    other = ml.predict(model, split).select("row_seq", F.col("probability_1").alias("p"), F.col("prediction").alias("c"))
+    return other.join(own, "row_seq", "left").select(
+        "row_seq", F.coalesce(F.abs(F.col("p") - F.col("probability_1")) < 1e-9, F.lit(False)).alias("same_probability"),
+        F.coalesce((F.col("c") == F.col("prediction")) | (F.abs(F.col("p") - 0.5) < 1e-9), F.lit(False)).alias("same_class"))
+
+
+def q_model_importance(spark, sf):
+    """M6: importances from the saved forest's nodes, beside the model's own."""
+    _, model = _fit(spark, sf)
+    path = scratch_path(spark, "model-table")
+    model.write().save(path)
+    own = forest.importances(forest.node_table(spark, path), ml.FEATURES)
+    other = spark.createDataFrame(ml.importances(model), "feature string, p double")
+    return other.join(own, "feature", "left").select(
+        "feature", F.coalesce(F.abs(F.col("p") - F.col("importance")) < 1e-9, F.lit(False)).alias("same_importance"))
+
+
 def q_train_job(spark, sf):
     """The saved model, read back, agrees with the saved metrics and scores all listings."""
     from pyspark.ml.classification import RandomForestClassificationModel
@@ -106,7 +131,7 @@ def q_train_job(spark, sf):
     split = _split(spark, sf)
     again = ml.report(ml.predict(model, split.where(F.col("part") == "test"))).where(F.col("class") == "1").select(
         F.round("accuracy", 4).alias("accuracy_again"), F.round("f1", 4).alias("f1_again"), "support")
-    scored = ml.predict(model, labelled(spark, sf)).select(F.count_if(_share("probability_1"))).scalar()
+    scored = ml.predict(model, split).select(F.count_if(_share("probability_1"))).scalar()
     return saved.join(again, F.lit(True)).select(  # one row each
         (F.col("accuracy") == F.col("accuracy_again")).alias("same_accuracy"), (F.col("f1_1") == F.col("f1_again")).alias("same_f1"),
         F.col("support").alias("test_support_1"), scored.alias("n_scored"))
@@ -122,6 +147,8 @@ QUERIES = {
     "q_ml_metrics": q_ml_metrics,
     "q_ml_predict": q_ml_predict,
     "q_ml_importance": q_ml_importance,
+    "q_model_table": q_model_table,
+    "q_model_importance": q_model_importance,
     "q_train_job": q_train_job,
 }
 
@@ -192,6 +219,10 @@ UNION ALL SELECT 'weighted avg', CAST(sum(n) AS BIGINT), true, true FROM t"""),
     "q_ml_importance": S.with_ctes(LABELS, SPLIT + """
 SELECT feature, true AS share, true AS sum_is_one, true AS ordered, (SELECT CAST(sum(tr) AS BIGINT) FROM q) AS trained_on
 FROM (VALUES ('price_numeric'), ('sales_numeric'), ('rating_numeric'), ('has_bestseller_badge')) AS v(feature)"""),
+    "q_model_table": S.with_ctes(LABELS, "SELECT row_seq, true AS same_probability, true AS same_class FROM labelled"),
+    "q_model_importance": """
+SELECT feature, true AS same_importance
+FROM (VALUES ('price_numeric'), ('sales_numeric'), ('rating_numeric'), ('has_bestseller_badge')) AS v(feature)""",
     "q_train_job": S.with_ctes(LABELS, SPLIT + """
 SELECT true AS same_accuracy, true AS same_f1, (SELECT n_c - tr FROM q WHERE is_attractive = 1) AS test_support_1,
        (SELECT count(*) FROM labelled) AS n_scored"""),
