@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -355,8 +356,25 @@ def test_stages_return_the_columns_of_documents(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, now, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_stages_on_an_empty_table(spark, docs):
+    now = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.landed(stage(spark, now, SF_SMALL), "test-empty")
+        assert now.columns == docs.columns and now.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF_SMALL).count() == 0
+
+
+def test_copies_of_one_quoting_text_are_spread_over_the_salts(spark):
+    from catalytics.llm import decontaminate
+
+    item = " ".join(f"w{i}" for i in range(30))
+    copies = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(f"before {item} after").alias("text"))
+    found = decontaminate.decontaminate(copies, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()
+    assert len(found) == 400 and all(r["contaminated"] and r["n_hit"] == 30 and r["n_words"] == 32 for r in found)
+
+
 def test_registry_has_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert importlib.import_module("__spark_entry__").queries()["pipeline"] is corpus_pipeline.run
     assert near_dup.SIMILAR >= 0.8 and near_dup.SHINGLE == 5
