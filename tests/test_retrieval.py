@@ -139,3 +139,13 @@ def test_empty_corpus_and_no_questions(spark):
     qs = spark.createDataFrame(QUESTIONS, "qid long, question string, category string")
     assert RT.retrieve(none, qs).count() == 0
     assert RT.retrieve(c, qs.limit(0)).count() == 0
+
+
+def test_category_questions_are_every_fortieth_part(spark, tmp_path):
+    """The query set of q_retrieve_by_category, in code and SQL: no smaller than it was first."""
+    from catalytics.plans import retrieval_queries as RQ
+    rows = [(k, f"red part {k}", "Brand#1", "SMALL TIN") for k in range(1, 2001)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(r.qid for r in RQ.part_questions(spark, str(tmp_path)).collect())
+    assert got == list(range(1, 2001, 40))
+    assert "FROM part WHERE p_partkey % 40 = 1" in RQ.ORACLE["q_retrieve_by_category"]
