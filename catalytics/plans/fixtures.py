@@ -64,22 +64,30 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def variants_raw(spark: SparkSession, sf_dir: str, dates: bool = True) -> DataFrame:
-    """One variant per line item; without ``dates`` the order dates are null and ``orders`` is not read."""
+def variant_sources(spark: SparkSession, sf_dir: str, dates: bool = True) -> DataFrame:
+    """One narrow row per line item, of which ``variant_texts`` makes a variant: what a shuffle or a written copy should carry.
+
+    Without ``dates`` the order dates are null and ``orders`` is not read.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
         "l_returnflag", "l_shipdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = (li.join(part, li.l_partkey == part.p_partkey)
-         .join(supp, li.l_suppkey == supp.s_suppkey)
-         .join(nation, supp.s_nationkey == nation.n_nationkey))
-    if dates:
+    if dates:  # first, so that the names of the parts are not in this join's shuffle
         orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-        j = j.join(orders, li.l_orderkey == orders.o_orderkey, "left")
+        li = li.join(orders, li.l_orderkey == orders.o_orderkey, "left").drop("o_orderkey")
     else:
-        j = j.withColumn("o_orderdate", F.lit(None).cast("date"))
+        li = li.withColumn("o_orderdate", F.lit(None).cast("date"))
+    return (li.join(part, li.l_partkey == part.p_partkey)
+            .join(supp, li.l_suppkey == supp.s_suppkey)
+            .join(nation, supp.s_nationkey == nation.n_nationkey)
+            .drop("p_partkey", "s_suppkey", "s_nationkey", "n_nationkey"))
+
+
+def variant_texts(j: DataFrame) -> DataFrame:
+    """The text columns of the flat variant table, from ``variant_sources``."""
     return j.select(
         F.expr("concat(lower(n_name), '.example.com')").alias("store_domain"),
         F.col("l_partkey").alias("product_id"),
@@ -111,6 +119,11 @@ def variants_raw(spark: SparkSession, sf_dir: str, dates: bool = True) -> DataFr
     )
 
 
+def variants_raw(spark: SparkSession, sf_dir: str, dates: bool = True) -> DataFrame:
+    """One variant per line item; without ``dates`` the order dates are null and ``orders`` is not read."""
+    return variant_texts(variant_sources(spark, sf_dir, dates))
+
+
 VARIANT_COLUMNS = ["store_domain", "product_id", "title", "handle", "vendor", "product_type", "created_at",
                    "updated_at", "published_at", "tags", "body_html", "variant_id", "variant_title", "sku", "price",
                    "compare_at_price", "available", "variant_created_at", "variant_updated_at", "image_src",

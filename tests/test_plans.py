@@ -92,3 +92,22 @@ def test_display_plans_have_no_python(spark):
 def test_orders_is_read_for_its_dates_only(spark):
     assert "orders.parquet" not in plan(VQ.q_availability(spark, SF_SMALL))
     assert "orders.parquet" in plan(VQ.q_variant_clean(spark, SF_SMALL))
+
+
+def test_landing_shuffles_rows_without_made_texts(spark, monkeypatch):
+    """The shuffle before the partitioned write carries the joined columns; texts are made of them behind it."""
+    seen = []
+    monkeypatch.setattr(VQ.files, "write_table", lambda df, path, partition_by: seen.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    VQ.land_variants(spark, SF_SMALL, "unused")
+    above, below = seen[0].split("RepartitionByExpression", 1)
+    assert "<p>" in above and "<p>" not in below and "cdn.example.com" not in below
+
+
+def test_long_csv_is_written_without_the_joins_above_it(spark, monkeypatch):
+    """One writing task for several parts must not hold the joins of all of them."""
+    from catalytics.plans import io_queries as IQ
+    seen = []
+    monkeypatch.setattr(IQ.files, "write_csv", lambda df, path: seen.append(df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(IQ.quoted_csv, "read", lambda spark, path, schema: spark.createDataFrame([], schema))
+    IQ.q_csv_multiline(spark, SF_SMALL)
+    assert "Coalesce" in seen[0] and "Join" not in seen[0]
