@@ -20,6 +20,9 @@ from . import fixtures
 from . import sql as S
 from .variant_queries import VARIANTS
 
+#: Parts of a table that one task writes into one file.
+TASKS_PER_FILE = 8
+
 LISTING_CSV_COLUMNS = ["row_seq"] + files.LISTING_COLUMNS
 
 
@@ -74,11 +77,20 @@ def q_incremental_kpis(spark, sf):
     return kpi_state.read(spark, state)
 
 
+def write_long_csv(rows, path: str) -> None:
+    """CSV files of many splits each: a task writes ``TASKS_PER_FILE`` parts of a written copy one after the other.
+
+    ``coalesce`` on the rows themselves would run the joins above them in the writing task too, with the memory of all their parts.
+    """
+    copy = materialise(rows, "multiline-input")
+    files.write_csv(copy.coalesce(max(1, copy.rdd.getNumPartitions() // TASKS_PER_FILE)), path)
+
+
 def q_csv_multiline(spark, sf):
-    """Fields with line breaks and quotes, from one CSV file that is read in splits."""
+    """Fields with line breaks and quotes, from long CSV files that are read in splits."""
     path = scratch_path(spark, "multiline-csv")
     cols = ["variant_id", "supplier_key", "title", "body_html", "price"]
-    files.write_csv(fixtures.variants_raw(spark, sf).select(*cols).coalesce(1), path)
+    write_long_csv(fixtures.variants_raw(spark, sf).select(*cols), path)
     back = quoted_csv.read(spark, path, files.string_schema(cols))
     return back.select(F.col("variant_id").cast("bigint").alias("variant_id"), F.col("supplier_key").cast("bigint").alias("supplier_key"), "title",
                        "body_html", "price")
