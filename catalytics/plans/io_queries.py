@@ -50,7 +50,7 @@ def _refreshed(spark, sf, state=None) -> str:
     base = scratch_path(spark, "refresh")
     landing, table, ckpt = f"{base}/landing", f"{base}/table", f"{base}/_checkpoint"
     cols = fixtures.VARIANT_COLUMNS + ["supplier_key"]
-    raw = materialise(fixtures.variants_raw(spark, sf).select(*cols), "refresh-input")  # both drops come from it
+    raw = fixtures.variant_texts(materialise(fixtures.variant_sources(spark, sf), "refresh-input")).select(*cols)  # both drops come from it
     schema = files.string_schema(cols)
 
     def typed(df):

@@ -28,6 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..session import materialise
+
 OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
 _RECORDS = "number long, side int, first boolean, record string"
 #: Of a split: lines of a record that an earlier split opened; a whole record; lines of a record that stays open.
@@ -37,7 +39,7 @@ HEAD, WHOLE, TAIL = 0, 1, 2
 def lines(source: DataFrame) -> DataFrame:
     """``(line, odd, file, split)`` of a text source (``read.text`` or ``readStream.text`` with ``lineSep`` newline) with its
     ``_metadata``: whether the line has an odd number of quotes, its file and the start of its split."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     return source.select(F.col("value").alias("line"), (quotes % 2 == 1).alias("odd"), F.col("_metadata.file_path").alias("file"),
                          F.col("_metadata.file_block_start").alias("split"))
 
@@ -54,23 +56,26 @@ def split_states(found: DataFrame) -> DataFrame:
     return parity.select("file", "split", number.alias("number"), (start % 2 == 1).alias("inside"), ((start + F.col("p")) % 2 == 1).alias("open"))
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records and fragments of splits, each a consecutive range of the lines of a task."""
+def _assemble(batches: Iterator[pa.RecordBatch], wholes: bool) -> Iterator[pa.RecordBatch]:
+    """Whole records or fragments of splits, each a consecutive range of the lines of a task."""
     # the split; its state after the lines so far; whether ``held`` began here; whether the next record is the file's first
     at, inside, opened, held, first = None, False, False, [], False
 
     def out(side, records):
         nonlocal first
-        n = len(records)
+        n, top = len(records), first
+        first = False
+        if (side == WHOLE) != wholes:
+            return
         marks = np.zeros(n, bool)
-        marks[:1], first = first, False
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.full(n, side, np.int32)), pa.array(marks), pa.array(records, pa.string())],
+        marks[:1] = top
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.full(n, side, np.int32)), pa.array(marks), pa.array(records, pa.string())],
                                           ["number", "side", "first", "record"])
 
     def rest():
         """What is held at the end of a split: lines of a record without its end."""
         if held:
-            yield out(TAIL if opened else HEAD, ["\n".join(held)])
+            yield from out(TAIL if opened else HEAD, ["\n".join(held)])
 
     for batch in batches:
         numbers = batch.column(2).to_numpy()
@@ -88,12 +93,12 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             inside = bool(state[-1])
             top = int(ends[0]) + 1
-            yield out(WHOLE if opened else HEAD, ["\n".join([*held, *text.slice(0, top).to_pylist()])])
+            yield from out(WHOLE if opened else HEAD, ["\n".join([*held, *text.slice(0, top).to_pylist()])])
             opened = True
-            if len(ends) > 1:
+            if len(ends) > 1 and wholes:
                 offsets = ends + 1 - top
                 grouped = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text.slice(top, int(offsets[-1])))
-                yield out(WHOLE, pc.binary_join(grouped, "\n"))
+                yield from out(WHOLE, pc.binary_join(grouped, "\n"))
             held = text.slice(int(ends[-1]) + 1).to_pylist()
     yield from rest()
 
@@ -101,10 +106,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def records(source: DataFrame, header: bool = True) -> DataFrame:
     """``(record)``: the text of each record of the files of a text source, without their header lines if asked."""
     found = lines(source)
-    states = F.broadcast(split_states(found))  # one row per split of the scan
+    states = F.broadcast(materialise(split_states(found), "csv-splits"))  # one row per split of the scan; used twice, found by one read
     placed = found.join(states, ["file", "split"]).select("line", "odd", "number", "inside", (F.col("split") == 0).alias("top"), "open")
-    whole = placed.drop("open").mapInArrow(_assemble, _RECORDS).where(F.col("side") == WHOLE)
-    cut = placed.where(F.col("inside") | F.col("open")).drop("open").mapInArrow(_assemble, _RECORDS).where(F.col("side") != WHOLE)
+    whole = placed.drop("open").mapInArrow(lambda batches: _assemble(batches, True), _RECORDS)
+    cut = placed.where(F.col("inside") | F.col("open")).drop("open").mapInArrow(lambda batches: _assemble(batches, False), _RECORDS)
     # a record's fragments: the open end of a split, splits without an end, the head that ends it
     turn = F.sum(F.when(F.col("side") == TAIL, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("number", "side"))
     joined = cut.join(states.select("file", "number"), "number").withColumn("turn", turn).groupBy("file", "turn").agg(
@@ -113,7 +118,11 @@ def records(source: DataFrame, header: bool = True) -> DataFrame:
     every = whole.select("first", "record").unionByName(joined)
     if header:
         every = every.where(~F.col("first"))
-    return every.select(F.regexp_replace("record", r"\r$", "").alias("record")).where(F.trim("record") != "")
+    # "$" is also before a last line terminator; the other records are not searched
+    ended = F.lit(False)
+    for mark in "\r\n\x85\u2028\u2029":
+        ended = ended | F.endswith("record", F.lit(mark))
+    return every.select(F.when(ended, F.regexp_replace("record", r"\r$", "")).otherwise(F.col("record")).alias("record")).where(F.trim("record") != "")
 
 
 def parse(found: DataFrame, schema: T.StructType) -> DataFrame:

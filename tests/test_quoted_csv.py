@@ -82,3 +82,20 @@ def test_without_header_blank_lines_and_an_open_end(spark, small_splits, tmp_pat
 def test_header_over_several_lines(spark, small_splits, tmp_path):
     (tmp_path / "x.csv").write_text('a,"b\n' + "more of it\n" * 50 + '",c\n1,2,3\n')
     assert [tuple(r) for r in quoted_csv.read(spark, str(tmp_path), SCHEMA).collect()] == [("1", "2", "3")]
+
+
+def test_files_are_read_twice_for_their_records(spark, small_splits, tmp_path):
+    """The states of the splits are found by one read and written; whole records and fragments each take one more."""
+    write(tmp_path / "part.csv", rows_of(5))
+    found = quoted_csv.records(spark.read.text(str(tmp_path), lineSep="\n"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 2
+
+
+def test_the_pass_for_fragments_gives_no_whole_records():
+    import pyarrow as pa
+    text = ['end of one"', "b,1", "c,2", 'd,"open']
+    batch = pa.RecordBatch.from_arrays([pa.array(text), pa.array([True, False, False, True]), pa.array([3] * 4), pa.array([True] * 4),
+                                        pa.array([False] * 4)], ["line", "odd", "number", "inside", "top"])
+    sides = {wholes: [(s, r) for b in quoted_csv._assemble(iter([batch]), wholes) for s, r in zip(b["side"].to_pylist(), b["record"].to_pylist())]
+             for wholes in (True, False)}
+    assert sides == {True: [(1, "b,1"), (1, "c,2")], False: [(0, text[0]), (2, text[3])]}
