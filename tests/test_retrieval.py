@@ -149,3 +149,26 @@ def test_category_questions_are_every_fortieth_part(spark, tmp_path):
     got = sorted(r.qid for r in RQ.part_questions(spark, str(tmp_path)).collect())
     assert got == list(range(1, 2001, 40))
     assert "FROM part WHERE p_partkey % 40 = 1" in RQ.ORACLE["q_retrieve_by_category"]
+
+
+def test_no_question_and_row_pair_is_written(spark, tmp_path, monkeypatch):
+    """Words that every row has: what is written grows with rows plus questions, not with their product; ties go to the smaller key."""
+    monkeypatch.setattr(RT, "CHUNK", 16)
+    names = [f"{a}{b}" for a in "cdefghij" for b in ("ane", "olt", "ing", "ear", "late", "idget")]
+    corpus = [(k, "common", f"{names[k % 48]} {names[k * 7 % 47]}", ["Big", "Bigger", "Small", None][k % 4]) for k in range(1200)]
+    questions = [(q, f"common {names[q % 48]} {names[q * 5 % 47]} common", [None, "big", "small"][q % 3]) for q in range(150)]
+    c = spark.createDataFrame(corpus, "row_seq long, vendor string, title string, product_type string")
+    qs = spark.createDataFrame(questions, "qid long, question string, category string")
+    written = []
+    plain = RT.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(RT, "materialise", counted)
+    got = sorted(tuple(r) for r in RT.retrieve(c, qs).collect())
+    rows = [{"row_seq": k, "vendor": v, "title": t, "tags": None, "body_html": None, "product_type": p} for k, v, t, p in corpus]
+    assert got == brute(rows, questions)
+    assert max(n for _, n in written) < 8 * len(corpus) < len(corpus) * len(questions) / 10, written
