@@ -44,7 +44,9 @@ def flatten(pages: DataFrame, store_col: str = "store_domain") -> DataFrame:
 
     Pages without ``products`` (or with an empty list) contribute nothing.
     """
-    p = pages.select(F.col(store_col).alias("store_domain"), F.explode("products").alias("p"))
+    # an inner explode would infer a filter on its array, and that filter would parse every page once more
+    p = (pages.select(F.col(store_col).alias("store_domain"), F.posexplode_outer("products").alias("place", "p"))
+         .where(F.col("place").isNotNull()).drop("place"))
     srcs = F.col("p.images.src")
     v = p.select(
         "store_domain",

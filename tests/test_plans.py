@@ -111,3 +111,12 @@ def test_long_csv_is_written_without_the_joins_above_it(spark, monkeypatch):
     monkeypatch.setattr(IQ.quoted_csv, "read", lambda spark, path, schema: spark.createDataFrame([], schema))
     IQ.q_csv_multiline(spark, SF_SMALL)
     assert "Coalesce" in seen[0] and "Join" not in seen[0]
+
+
+def test_a_json_page_is_parsed_once(spark):
+    """No filter on the parsed array repeats the parsing; pages without products give no row, a null product gives one."""
+    from catalytics.sources import documents
+    pages = [("s", '{"products": [{"id": 1, "variants": [{"id": 11}, {"id": 12}]}, null, {"id": 2}]}'), ("s", '{"products": []}'), ("s", "{}"), ("s", None)]
+    flat = documents.flatten(documents.parse_pages(spark.createDataFrame(pages, "store_domain string, value string")))
+    assert plan(flat).count("from_json") == 1
+    assert sorted((r.product_id or 0, r.variant_id or 0) for r in flat.collect()) == [(0, 0), (1, 11), (1, 12), (2, 0)]
