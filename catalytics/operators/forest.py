@@ -3,6 +3,7 @@
 The table has a row per node of each tree, at most trees * (2 ** (depth + 1) - 1) of them, whatever the size of the
 training data. Rows are scored by walking all trees a level at a time: each level is one equi-join of (tree, node), which
 Spark broadcasts if the table is as small as it should be, so the walk is one narrow stage and the votes are summed by row.
+The few bytes of a row make much work, so rows are dealt by key first; the votes then are where they are summed.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ def scores(rows: DataFrame, nodes: DataFrame, features: list[str], key: str, tre
     not null, keys are distinct. No rows give no rows.
     """
     inner = nodes.where(F.col("feature").isNotNull()).select("tree", F.col("node").alias("at"), "feature", "threshold", "left", "right")
-    state = rows.select(F.col(key), F.array(*[F.col(c).cast("double") for c in features]).alias("values"),
+    dealt = rows.select(*dict.fromkeys([key, *features])).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    state = dealt.select(F.col(key), F.array(*[F.col(c).cast("double") for c in features]).alias("values"),
                         F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("at", F.lit(0))
     for _ in range(depth):
         goes = F.when(F.get("values", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))

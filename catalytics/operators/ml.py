@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import materialise
 from .stats import quantiles
 
 FEATURES = ["price_numeric", "sales_numeric", "rating_numeric", "has_bestseller_badge"]
@@ -36,8 +37,12 @@ def preprocess(cleaned_b: DataFrame, threshold: int = fixed.ATTRACTIVENESS_SCORE
 
     ``flip_single_class`` (M7) flips the label of the first row when only one
     class is present; it falsifies data, so it is off by default.
+
+    The cleaned rows are written once with the columns they have (so pass no others than are needed): what parses them would
+    otherwise be repeated in the medians, in the check for incomplete rows and wherever the result is used.
     """
-    medians = quantiles(cleaned_b, ["price_numeric", "rating_numeric"], [0.5])
+    cleaned_b = materialise(cleaned_b, "cleaned")
+    medians = quantiles(cleaned_b, ["price_numeric", "rating_numeric"], [0.5], written=True)
     price, rating = (medians.where(F.col("column") == c).select("value").scalar() for c in ("price_numeric", "rating_numeric"))
     df = cleaned_b.withColumns({
         "price_numeric": F.coalesce(F.col("price_numeric"), price),

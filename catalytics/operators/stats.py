@@ -106,15 +106,16 @@ def _narrowed(data: DataFrame, targets: list[dict]) -> None:
             t["done"] = t["margin"] > 1
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, columns: list[str], shares: list[float], written: bool = False) -> DataFrame:
     """Exact interpolated quantiles: ``column, share, value`` (no row for a column without values).
 
-    All columns and shares together: the columns are written once, sketches bound the wanted ranks (``_narrowed``: two
-    aggregates over the written columns), and only the values between the bounds are grouped, shuffled and
-    ordered. What passes through the driver are two bounds and two counts a quantile.
+    All columns and shares together: the columns are written once (a ``written`` table is read as it is), sketches bound
+    the wanted ranks (``_narrowed``: two aggregates over the written columns), and only the values between the bounds are
+    grouped, shuffled and ordered. What passes through the driver are two bounds and two counts a quantile.
     """
     values = {c: F.col(c).cast("double") for c in columns}
-    data = materialise(df.select(*(F.when(~F.isnan(v), v).alias(c) for c, v in values.items())), "quantile-input")
+    data = df.select(*(F.when(~F.isnan(v), v).alias(c) for c, v in values.items()))
+    data = data if written else materialise(data, "quantile-input")
     sizes = data.agg(*(F.count(c).alias(c) for c in columns)).first()
     targets = [{"column": c, "share": float(q), "first": int(q * (sizes[c] - 1)), "last": -int(-q * (sizes[c] - 1) // 1), "part": q * (sizes[c] - 1) % 1,
                 "lo": float("-inf"), "hi": float("inf"), "below": 0, "inside": sizes[c], "margin": MARGIN, "done": False}

@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..operators import forest
 from ..operators import listings as L
 from ..operators import ml
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from . import fixtures
 from . import sql as S
 
@@ -16,7 +16,7 @@ R = 6
 
 
 def labelled(spark, sf, **kw):
-    return ml.preprocess(L.clean_b(fixtures.listings_raw(spark, sf)), **kw)
+    return ml.preprocess(L.clean_b(fixtures.listings_raw(spark, sf)).select("row_seq", *ml.FEATURES), **kw)
 
 
 def q_ml_labels(spark, sf):
@@ -35,8 +35,7 @@ def q_preprocess_counts(spark, sf):
 
 
 def q_ml_split(spark, sf):
-    scratch_path(spark, "split")  # makes sure a checkpoint folder exists
-    s = ml.stratified_split(labelled(spark, sf).checkpoint())  # the split reads its input twice
+    s = ml.stratified_split(labelled(spark, sf))
     return s.groupBy(ml.LABEL, "part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -46,8 +45,8 @@ def q_single_class_flip(spark, sf):
 
 
 def _split(spark, sf):
-    scratch_path(spark, "fit")  # makes sure a checkpoint folder exists
-    return ml.stratified_split(labelled(spark, sf).checkpoint()).checkpoint()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # files of like size: what reads them does much work a byte
+    return materialise(ml.stratified_split(labelled(spark, sf)).repartition(parts, "row_seq"), "split")
 
 
 def _fit(spark, sf):

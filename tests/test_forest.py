@@ -36,3 +36,13 @@ def test_table_equals_the_model(spark, tmp_path):
     assert len(got) == len(want) == 400 and {r.prediction for r in got} == {0, 1}
     assert all(abs(r.probability_1 - want[r.row_seq].probability_1) < 1e-9 for r in got)
     assert {r.feature: pytest.approx(r.importance) for r in forest.importances(nodes, ml.FEATURES).collect()} == dict(ml.importances(model))
+
+
+def test_rows_are_dealt_before_the_walk(spark):
+    nodes = spark.createDataFrame([(0, 0, 0, 5.0, 1, 2, 8.0, 0.25, [0.5, 0.5]), (0, 1, None, None, -1, -1, 4.0, None, [1.0, 0.0]),
+                                   (0, 2, None, None, -1, -1, 4.0, None, [0.0, 1.0])], NODES)
+    rows = spark.createDataFrame([(1, 5.0), (6, 5.5), (None, 9.0)], "k int, a double").coalesce(1)
+    scored = forest.scores(rows, nodes, ["a", "k"], "k", 1, 1)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    assert {r.k: (r.probability_1, r.prediction) for r in scored.collect()} == {1: (0.0, 0), 6: (1.0, 1), None: (1.0, 1)}

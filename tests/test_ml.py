@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalytics.operators import listings as L
 from catalytics.operators import ml
 from catalytics.plans import ml_queries as MQ
 from conftest import SF_SMALL
@@ -64,3 +65,17 @@ def test_one_class_is_refused(spark):
     data = MQ.labelled(spark, SF_SMALL, threshold=100)
     with pytest.raises(ValueError, match="two classes"):
         ml.train(data)
+
+
+LISTINGS = "row_seq long, price string, sales_info string, rating string, additional_badges string, name string, url string"
+
+
+def test_texts_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "MAD 10.5", "1 200 vendus", "4.2", "Le plus vendu", "a", "u"), (1, "N/A", None, "4,9", "N/A", "b", "u"),
+                                  (None, "MAD 20.5", "3k vendus", "N/A", None, None, None), (4, None, "abc", "5.0", "N/A", "d", "u")], LISTINGS)
+    data = ml.preprocess(L.clean_b(rows))
+    assert "regexp" not in data._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = sorted((tuple(r) for r in data.select("row_seq", "url", *ml.FEATURES, "attractiveness_score", ml.LABEL).collect()), key=str)
+    assert got == sorted([(1, "u", 10.5, 1200, 4.2, 1, 4, 1), (1, "u", 15.5, 0, 4.6, 0, 2, 0), (None, None, 20.5, 3000, 4.6, 0, 4, 1),
+                          (4, "u", 15.5, 0, 5.0, 0, 2, 0)], key=str)
+    assert ml.preprocess(L.clean_b(rows.where("row_seq = 4"))).count() == 0  # no price at all: no median
