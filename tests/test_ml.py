@@ -79,3 +79,15 @@ def test_texts_are_parsed_once(spark):
     assert got == sorted([(1, "u", 10.5, 1200, 4.2, 1, 4, 1), (1, "u", 15.5, 0, 4.6, 0, 2, 0), (None, None, 20.5, 3000, 4.6, 0, 4, 1),
                           (4, "u", 15.5, 0, 5.0, 0, 2, 0)], key=str)
     assert ml.preprocess(L.clean_b(rows.where("row_seq = 4"))).count() == 0  # no price at all: no median
+
+
+def test_train_job_writes_no_texts(spark, monkeypatch, tmp_path):
+    written = {}
+    monkeypatch.setattr(ml, "materialise", lambda df, name: written.setdefault(name, df.checkpoint()))
+    rows = spark.range(200).select(F.col("id").alias("row_seq"), F.concat(F.lit("MAD "), F.col("id").cast("string")).alias("price"),
+                                   F.concat((F.col("id") * 37 % 4001).cast("string"), F.lit(" vendus")).alias("sales_info"),
+                                   (F.col("id") % 50 / 10.0).cast("string").alias("rating"), F.lit("N/A").alias("additional_badges"), F.lit("x").alias("url"))
+    assert ml.train_job(spark, rows, str(tmp_path)).count() == 1
+    assert set(written["cleaned"].columns) == {"row_seq", *ml.FEATURES}
+    assert set(written["split"].columns) == {"row_seq", *ml.FEATURES, "attractiveness_score", ml.LABEL, "part"}
+    assert written["split"].count() == 200
