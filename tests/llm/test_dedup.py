@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from catalytics.llm import components, cover_dedup, near_dup, suffix_dedup
 from conftest import SF_SMALL
@@ -121,6 +122,33 @@ def test_suffix_dedup_leaves_the_same_bytes_as_its_report(docs):
     assert kept == bag(suffix_dedup.removal_report(docs), "doc_id", "kept_sha256")
 
 
+def periodic_rows():
+    """Stretches of short period: alone, inside other text, cut in two, in several texts, and just too short."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = ["the of " * 900, noise(500) + "the of " * 300 + noise(700), "the of " * 200 + noise(1500) + "the of " * 200, "a" * 3000,
+             noise(350) + "b" * 450, noise(200) + "c" * 399 + noise(200), "d" * 400, "e" * 401, "fgh" * 133 + "f", noise(1700),
+             (noise(333) * 9)[:2600], "é" * 650, "the of " * 900, "", None]
+    return [(i, t, "en", "s") for i, t in enumerate(texts)]
+
+
+def test_suffix_dedup_of_periodic_texts_equals_brute_force(spark):
+    rows = periodic_rows()
+    assert bag(suffix_dedup.removal_report(frame(spark, rows)), *COLUMNS_2) == brute_bytes(rows, suffix_dedup.LENGTH)
+
+
+def test_a_stretch_of_short_period_is_one_counted_row():
+    class Full:
+        value = np.full(1 << 17, 255, np.uint8)  # passes every anchor
+
+    text = "the of " * 900
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([text, "x" * 300 + text])], ["doc_id", "tkey", "text"])
+    got = pa.Table.from_batches(list(suffix_dedup._anchor_rows(Full)(batch))).to_pandas()
+    assert len(got) < 400
+    assert got["n"].sum() > 1000  # an anchor in every period
+    assert (got["until"] - got["pos"] == 7 * (got["n"] - 1)).all()
+
+
 def brute_words(rows, window):
     own = [(i, words(t)) for i, t, *_ in rows]
     rank = lambda i: float("inf") if i is None else i
