@@ -12,6 +12,10 @@ thousand windows, sorted, to buckets of the hash space, with the smallest docume
 the bucket answers with one bit for each hash: whether another task has a smaller one. A passage that a third of all documents
 share thus reaches a bucket once per such block, not once per document.
 
+Memory: a task holds one block or one bucket, whose sizes are bounded whatever the input, the number of shuffle partitions or the size
+of a split: there are more buckets for more hashes, and written blocks are read and written two at a time. The
+filter of repeated anchors has at most ``2**prefilter.MAX_BITS`` bits; up to four of them stand for an anchor, as many as suit its filling.
+
 Defined cases: null or empty texts have no words. A null doc_id counts as larger than all others.
 Rows with equal ids never remove from each other; repeated rows get equal results.
 Texts of fewer than ``WINDOW`` words stay whole. Window equality rests on 96 hash bits.
@@ -33,9 +37,14 @@ PERIOD = 7
 COVER = (1, 2, 4)  # every difference modulo 7 is one of two members
 GRAM = WINDOW - PERIOD + 1
 BLOCK = 1 << 18  # hashes that a task gathers before it sends them
+BUCKET_BYTES = 1 << 24  # of text, whose anchors share a bucket
+BUCKET_HASHES = 1 << 19  # of windows, sent to a bucket
+PAGE = 12  # bits of a place within a page of the filter of anchors
+#: Written blocks are long rows: Parquet's writer would gather a hundred of them before it looks at their size.
+LONG_ROWS = {"parquet.block.row.count.limit": 2, "parquet.enable.dictionary": "false", "compression": "zstd"}
 LAST = np.iinfo(np.int64).max
 
-BLOCK_ROW = ("block long, doc_ids array<long>, tkeys array<long>, counts array<int>, positions binary, entries binary, local binary, "
+BLOCK_ROW = ("block long, n long, doc_ids array<long>, tkeys array<long>, counts array<int>, positions binary, entries binary, local binary, "
              "hashes binary, checks binary, least binary")
 
 
@@ -66,6 +75,20 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: planes of zeros and of few values compress."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _buckets(spark: SparkSession, amount: int, most: int) -> int:
+    """As many buckets as there are shuffle partitions, or more, so that one has about ``most`` of ``amount``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // most))
+
+
 def _anchor_blocks(buckets: int):
     def flush(held):
         h = np.concatenate([x[0] for x in held])
@@ -110,25 +133,43 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([len(found)], pa.int64()), "hashes": pa.array([_pack(found)], pa.binary())})
 
 
-def _bitmap(found: DataFrame) -> np.ndarray:
-    """Bitmap by the upper bits: a bucket's hashes fill one stretch of it."""
+def _place(hashes: np.ndarray, bits: int, j: int) -> np.ndarray:
+    """The j-th bit of a filter that stands for each hash: the upper bits name a page, the others, mixed, a place in it."""
+    hashes = hashes & np.uint64((1 << 64) - (1 << 16))  # what is sent of them
+    page = hashes >> np.uint64(64 - bits + PAGE) << np.uint64(PAGE)
+    return (page | K.mix(hashes) >> np.uint64(PAGE * j) & np.uint64((1 << PAGE) - 1)).astype(np.int64)
+
+
+def _filter(found: DataFrame) -> tuple[np.ndarray, int]:
+    """Packed bits for the hashes of all buckets, and how many stand for a hash; a bucket's hashes fill one stretch of pages."""
     rows = found.agg(F.sum("n")).first()[0] or 0
-    bits = int(min(prefilter.MAX_BITS, max(20, 5 + int(np.ceil(np.log2(rows + 1))))))
+    bits = int(min(prefilter.MAX_BITS, max(20, 4 + int(np.ceil(np.log2(rows + 1))))))
+    k = int(np.clip(round(0.69 * (1 << bits) / (rows + 1)), 1, 4))
 
     def stretch(batch: pa.RecordBatch):
         for raw in batch.column(0).to_pylist():
-            slot = (_unpack(raw) >> np.uint64(64 - bits)).astype(np.int64)
-            if len(slot):
-                low = int(slot[0]) // 8 * 8
-                marks = np.zeros(int(slot[-1]) - low + 8, np.uint8)
-                marks[slot - low] = 1
+            hashes = _unpack(raw)
+            if len(hashes):
+                low, high = (int(x >> np.uint64(64 - bits + PAGE)) << PAGE for x in (hashes[0], hashes[-1]))
+                marks = np.zeros(high - low + (1 << PAGE), np.uint8)
+                for j in range(k):
+                    marks[_place(hashes, bits, j) - low] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([low // 8]), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["at", "bits"])
 
-    out = np.zeros((1 << bits) // 8 + 8, np.uint8)
-    for r in per_batch(stretch, "at long, bits binary")(found.select("hashes")).collect():  # 2**MAX_BITS bits and a few bytes a bucket
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in per_batch(stretch, "at long, bits binary")(found.select("hashes")).collect():  # 2**MAX_BITS bits and a page a bucket
         piece = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[r["at"]:r["at"] + len(piece)] |= piece
-    return out[:(1 << bits) // 8]
+    return out, k
+
+
+def _passing(packed: np.ndarray, k: int, hashes: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that may be in the filter."""
+    left = np.arange(len(hashes))
+    for j in range(k):
+        at = _place(hashes[left], (len(packed) * 8).bit_length() - 1, j)
+        left = left[(packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    return left
 
 
 def _window_blocks(shared):
@@ -137,7 +178,6 @@ def _window_blocks(shared):
         h, c, start = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
         counts = np.concatenate([x[3] for x in held])
         ids, keys = pa.concat_arrays([x[4] for x in held]), pa.concat_arrays([x[5] for x in held])
-        some = np.flatnonzero(counts)
         rank = ids.fill_null(LAST).to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(counts)), counts)]
         order = np.lexsort((c, h))
         new = np.ones(len(h), bool)
@@ -146,31 +186,31 @@ def _window_blocks(shared):
         entry[order] = np.cumsum(new) - 1
         least = np.minimum.reduceat(rank[order], np.flatnonzero(new))
         one = lambda x, kind: pa.array([x], kind)
-        ids, keys, counts = ids.take(pa.array(some)), keys.take(pa.array(some)), counts[some]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, keys, pa.array(counts.astype(np.int32)))]
         blobs = [start.astype("<u4"), entry.astype("<u4"), np.packbits(rank > least[entry]), h[order][new].astype("<u8"), c[order][new].astype("<u4"), least.astype("<i8")]
-        return pa.RecordBatch.from_arrays([one(block, pa.int64()), *lists, *(one(x.tobytes(), pa.binary()) for x in blobs)],
+        return pa.RecordBatch.from_arrays([one(block, pa.int64()), one(len(least), pa.int64()), *lists, *(one(_planes(x), pa.binary()) for x in blobs)],
                                           [x.split()[0] for x in BLOCK_ROW.split(", ")])
 
     def run(batches):
         from pyspark import TaskContext
 
-        packed = shared.value
-        shift = np.uint64(64 - (len(packed) * 8).bit_length() + 1)
+        packed, k = shared.value
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for rows, data, offsets in K.runs(batch, "text"):
                 starts, ends, first = K.words(data, offsets, K.NOT_SPACE)
                 hashes = K.word_hash(data, starts, ends)
                 at, h = cover_anchors(hashes, first)
-                at = at[prefilter.passes(packed, h >> shift)]
+                at = at[_passing(packed, k, h)]
                 doc, fits = K.gram_docs(first, WINDOW, max(0, len(hashes) - WINDOW + 1))
                 if not len(at) or not len(fits):
                     continue
                 near = K.cover_counts(np.maximum(at - PERIOD + 1, 0), at + 1, len(hashes))[:len(fits)]
                 at = np.flatnonzero(near & fits)
+                counts = np.bincount(doc[at], minlength=rows.num_rows)
+                some = pa.array(np.flatnonzero(counts))  # taken, as a slice would hold the whole batch with its texts
                 held.append((K.grams(hashes, WINDOW)[at], (K.grams(hashes, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32),
-                             at - first[doc[at]], np.bincount(doc[at], minlength=rows.num_rows), rows.column(0), rows.column(1)))
+                             at - first[doc[at]], counts[counts > 0], rows.column(0).take(some), rows.column(1).take(some)))
                 size += len(at)
                 if size >= BLOCK:
                     yield flush(held, block)
@@ -185,10 +225,10 @@ def _questions(buckets: int):
     def run(batch: pa.RecordBatch):
         for i in range(batch.num_rows):
             block, h, c, m = (batch.column(j)[i].as_py() for j in range(4))
-            h, c, m = np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4"), np.frombuffer(m, "<i8")
+            h, c, m = _from_planes(h, "<u8"), _from_planes(c, "<u4"), _from_planes(m, "<i8")
             cuts = np.searchsorted(_bucket(h.astype(np.uint64), buckets), np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
-            cut = lambda x: pa.array([x[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary())  # noqa: E731, B023
+            cut = lambda x: pa.array([_planes(x[cuts[b]:cuts[b + 1]]) for b in full], pa.binary())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), cut(h), cut(c), cut(m)],
                                              ["bucket", "block", "hashes", "checks", "least"])
 
@@ -198,7 +238,7 @@ def _questions(buckets: int):
 def _answers(table: pa.Table) -> pa.Table:
     """For each hash that a block sent: does another block know a smaller document?"""
     blobs = table.sort_by("block")
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in blobs[c].to_pylist()]
+    read = lambda c, kind: [_from_planes(x, kind) for x in blobs[c].to_pylist()]
     hashes, checks, least = read("hashes", "<u8"), read("checks", "<u4"), read("least", "<i8")
     h, c, m = np.concatenate(hashes), np.concatenate(checks), np.concatenate(least)
     order = np.lexsort((c, h))
@@ -218,7 +258,7 @@ def _decide(batch: pa.RecordBatch):
     for i in range(batch.num_rows):
         row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
         bits = np.concatenate([np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in row["answers"]]).astype(bool)
-        start, entry = np.frombuffer(row["positions"], "<u4"), np.frombuffer(row["entries"], "<u4")
+        start, entry = _from_planes(row["positions"], "<u4"), _from_planes(row["entries"], "<u4")
         gone = bits[entry] | np.unpackbits(np.frombuffer(row["local"], np.uint8), count=len(entry)).astype(bool)
         ends = np.cumsum(row["counts"])
         out: list[list] = [[], [], []]
@@ -236,12 +276,13 @@ def _decide(batch: pa.RecordBatch):
 def repeated_words(docs: DataFrame) -> DataFrame:
     """``doc_id, tkey, spans``: word spans of each document that smaller documents hold already."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = texts(docs)
+    buckets = _buckets(spark, plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
     sent = plain.select("text").mapInArrow(tidy(_anchor_blocks(buckets)), "bucket int, own binary, multi binary")
     found = landed(sent.groupBy("bucket").applyInArrow(tidy_group(_repeated), "n long, hashes binary"), "cover-anchors")
-    shared = spark.sparkContext.broadcast(_bitmap(found))
-    blocks = landed(plain.select("doc_id", "tkey", "text").mapInArrow(tidy(_window_blocks(shared)), BLOCK_ROW), "cover-windows")
+    shared = spark.sparkContext.broadcast(_filter(found))
+    blocks = landed(plain.select("doc_id", "tkey", "text").mapInArrow(tidy(_window_blocks(shared)), BLOCK_ROW), "cover-windows", **LONG_ROWS)
+    buckets = _buckets(spark, blocks.agg(F.sum("n")).first()[0] or 0, BUCKET_HASHES)
     asked = per_batch(_questions(buckets), "bucket int, block long, hashes binary, checks binary, least binary")(
         blocks.select("block", "hashes", "checks", "least"))
     answers = asked.groupBy("bucket").applyInArrow(tidy_group(_answers), "of long, bucket int, n int, bits binary")

@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from catalytics.llm import components, cover_dedup, near_dup, suffix_dedup
 from conftest import SF_SMALL
@@ -176,6 +177,52 @@ def test_cover_dedup_equals_brute_force(docs, rows, monkeypatch):
     assert bag(cover_dedup.removal_report(docs), *columns) == want
 
 
+def test_cover_dedup_in_many_buckets_with_a_full_filter(docs, rows, monkeypatch):
+    """One shuffle partition holds many buckets, of a few hashes each; most anchors pass the filter."""
+    tables = {}
+    monkeypatch.setattr(cover_dedup, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(cover_dedup, "BUCKET_HASHES", 50)
+    monkeypatch.setattr(cover_dedup.prefilter, "MAX_BITS", 13)
+    made = cover_dedup.landed
+    monkeypatch.setattr(cover_dedup, "landed", lambda df, name, **options: tables.setdefault(name, made(df, name, **options)))
+    assert bag(cover_dedup.removal_report(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows, cover_dedup.WINDOW)
+    assert tables["cover-anchors"].count() > 10 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_written_blocks_of_windows_are_in_small_row_groups(spark, docs, monkeypatch):
+    """Parquet's writer held a hundred rows of 6 MB each before it looked at their size."""
+    monkeypatch.setattr(cover_dedup, "BLOCK", 20)
+    tables = {}
+    made = cover_dedup.landed
+    monkeypatch.setattr(cover_dedup, "landed", lambda df, name, **options: tables.setdefault(name, made(df, name, **options)))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    cover_dedup.removal_report(docs.coalesce(1)).count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables["cover-windows"].inputFiles()]
+    rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(rows) > 4 and max(rows) <= 2
+
+
+def test_filter_of_anchors(spark, monkeypatch):
+    """Every hash that was put in passes; at six bits a hash a twentieth of the others does, with one bit a hash a seventh did."""
+    monkeypatch.setattr(cover_dedup.prefilter, "MAX_BITS", 20)
+    rng = np.random.default_rng(3)
+    held = np.unique(rng.integers(0, 1 << 64, (1 << 20) // 6, dtype=np.uint64))
+    parts = [(len(x), cover_dedup._pack(x)) for x in np.array_split(held, 7)]
+    packed, k = cover_dedup._filter(spark.createDataFrame(parts, "n long, hashes binary"))
+    assert len(packed) == 1 << 17 and k > 1
+    assert len(cover_dedup._passing(packed, k, held)) == len(held)
+    assert len(cover_dedup._passing(packed, k, rng.integers(0, 1 << 64, 100_000, dtype=np.uint64))) < 7_000
+
+
+def test_byte_planes():
+    for kind in ("<u8", "<u4", "<i8"):
+        for n in (0, 1, 5):
+            x = np.arange(n).astype(kind) * 3 - (kind == "<i8")
+            assert (cover_dedup._from_planes(cover_dedup._planes(x), kind) == x).all() and len(cover_dedup._planes(x)) == n * x.itemsize
+
+
 def test_cover_is_a_difference_cover():
     period, cover = cover_dedup.PERIOD, cover_dedup.COVER
     for i in range(period):
