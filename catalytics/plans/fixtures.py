@@ -80,12 +80,16 @@ def variant_sources(spark: SparkSession, sf_dir: str, dates: bool = True) -> Dat
         li = li.join(orders, li.l_orderkey == orders.o_orderkey, "left").drop("o_orderkey")
     else:
         li = li.withColumn("o_orderdate", F.lit(None).cast("date"))
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .join(supp, li.l_suppkey == supp.s_suppkey)
+    return (li.join(supp, li.l_suppkey == supp.s_suppkey)
             .join(nation, supp.s_nationkey == nation.n_nationkey)
+            .join(part, li.l_partkey == part.p_partkey)  # last, for the same reason
             .drop("p_partkey", "s_suppkey", "s_nationkey", "n_nationkey"))
 
 
+#: Of a variant, in terms of ``variant_sources``.
+VARIANT_ID = "l_orderkey * 10 + l_linenumber"
+
+
 def variant_texts(j: DataFrame) -> DataFrame:
     """The text columns of the flat variant table, from ``variant_sources``."""
     return j.select(
@@ -100,7 +104,7 @@ def variant_texts(j: DataFrame) -> DataFrame:
         F.expr("CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS STRING) END").alias("published_at"),
         F.expr("concat(lower(p_brand), ', ', lower(p_type))").alias("tags"),
         F.expr("concat('<p>', p_name, '</p>\n<p>\"', p_type, '\"</p>')").alias("body_html"),
-        F.expr("l_orderkey * 10 + l_linenumber").alias("variant_id"),
+        F.expr(VARIANT_ID).alias("variant_id"),
         F.expr("concat('V', CAST(l_linenumber AS STRING))").alias("variant_title"),
         F.expr("concat('SKU-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))").alias("sku"),
         F.expr("""CASE WHEN l_orderkey % 23 = 0 THEN 'bad'

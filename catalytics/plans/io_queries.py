@@ -15,7 +15,7 @@ from ..sources import files
 from ..sources import quoted_csv
 from ..streaming import kpi_state
 from ..streaming.refresh import refresh
-from ..session import materialise, scratch_path
+from ..session import materialise, scratch_path, shuffles_end_with_queries
 from . import fixtures
 from . import sql as S
 from .variant_queries import VARIANTS
@@ -23,6 +23,9 @@ from .variant_queries import VARIANTS
 #: Parts of a table that one task writes into one file.
 TASKS_PER_FILE = 8
 
+#: Rows of a compressed landing file, some 60 MB of text.
+DROP_ROWS = 100_000
+
 LISTING_CSV_COLUMNS = ["row_seq"] + files.LISTING_COLUMNS
 
 
@@ -50,7 +53,6 @@ def _refreshed(spark, sf, state=None) -> str:
     base = scratch_path(spark, "refresh")
     landing, table, ckpt = f"{base}/landing", f"{base}/table", f"{base}/_checkpoint"
     cols = fixtures.VARIANT_COLUMNS + ["supplier_key"]
-    raw = fixtures.variant_texts(materialise(fixtures.variant_sources(spark, sf), "refresh-input")).select(*cols)  # both drops come from it
     schema = files.string_schema(cols)
 
     def typed(df):
@@ -58,10 +60,12 @@ def _refreshed(spark, sf, state=None) -> str:
             "variant_id": F.col("variant_id").cast("bigint"), "product_id": F.col("product_id").cast("bigint"),
             "supplier_key": F.col("supplier_key").cast("bigint")})
 
-    even = F.col("variant_id") % 2 == 0
-    for drop in (even, ~even):
-        files.write_csv(raw.where(drop), landing, mode="append")    # a drop (S7)
-        refresh(spark, landing, table, ckpt, schema, typed, multi_line=True, state=state)  # S8: reads that drop only (body_html has line breaks)
+    sources, even = fixtures.variant_sources(spark, sf), F.expr(fixtures.VARIANT_ID) % 2 == 0
+    with shuffles_end_with_queries(spark):
+        # a copy for each drop, so that the joins of one only are in shuffle files at a time
+        for drop in [materialise(sources.where(part), "refresh-input", compression="zstd") for part in (even, ~even)]:
+            files.write_csv(fixtures.variant_texts(drop).select(*cols), landing, mode="append", rows_per_gzip=DROP_ROWS)    # a drop (S7)
+            refresh(spark, landing, table, ckpt, schema, typed, multi_line=True, state=state)  # S8: reads that drop only (body_html has line breaks)
     return table
 
 

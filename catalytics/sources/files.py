@@ -60,9 +60,15 @@ def ensure_columns(df: DataFrame, defaults: dict[str, str | tuple]) -> DataFrame
     return df.withColumns(add) if add else df
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; ``mode='append'`` adds files, the header is per file."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", rows_per_gzip: int | None = None) -> None:
+    """CSV with a header; ``mode='append'`` adds files, the header is per file.
+
+    ``rows_per_gzip``: files are compressed, and have at most so many rows each, because a compressed file is read by one task.
+    """
+    w = df.write.mode(mode).option("header", True).option("escape", '"')
+    if rows_per_gzip:
+        w = w.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": rows_per_gzip})
+    w.csv(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:

@@ -11,7 +11,7 @@ of quotes toggles the state and one with an even number keeps it, whatever the s
 4. records are parsed by Spark's CSV expression, column by column.
 
 Neither lines nor records are shuffled, but for the fragments. Memory of a task is bounded by a batch of lines
-and the longest record.
+and the longest record. Files that no split cuts within quotes, such as compressed ones, which are a split each, are not read for fragments.
 
 Defined cases: blank lines outside of quotes are skipped, as by Spark's reader; a carriage return before the line break
 that ends a record belongs to it, one inside of quotes stays; an unfinished record at the end of a file ends with the
@@ -106,16 +106,13 @@ def _assemble(batches: Iterator[pa.RecordBatch], wholes: bool) -> Iterator[pa.Re
 def records(source: DataFrame, header: bool = True) -> DataFrame:
     """``(record)``: the text of each record of the files of a text source, without their header lines if asked."""
     found = lines(source)
-    states = F.broadcast(materialise(split_states(found), "csv-splits"))  # one row per split of the scan; used twice, found by one read
+    written = materialise(split_states(found), "csv-splits")
+    states = F.broadcast(written)  # one row per split of the scan; used twice, found by one read
     placed = found.join(states, ["file", "split"]).select("line", "odd", "number", "inside", (F.col("split") == 0).alias("top"), "open")
     whole = placed.drop("open").mapInArrow(lambda batches: _assemble(batches, True), _RECORDS)
-    cut = placed.where(F.col("inside") | F.col("open")).drop("open").mapInArrow(lambda batches: _assemble(batches, False), _RECORDS)
-    # a record's fragments: the open end of a split, splits without an end, the head that ends it
-    turn = F.sum(F.when(F.col("side") == TAIL, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("number", "side"))
-    joined = cut.join(states.select("file", "number"), "number").withColumn("turn", turn).groupBy("file", "turn").agg(
-        F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("number", "side", "record"))).alias("in_order"))  # one record
-    joined = joined.select("first", F.array_join(F.transform("in_order", lambda x: x["record"]), "\n").alias("record"))
-    every = whole.select("first", "record").unionByName(joined)
+    every = whole.select("first", "record")
+    if not written.where(F.col("inside") | F.col("open")).isEmpty():
+        every = every.unionByName(_from_fragments(placed, states))
     if header:
         every = every.where(~F.col("first"))
     # "$" is also before a last line terminator; the other records are not searched
@@ -125,6 +122,16 @@ def records(source: DataFrame, header: bool = True) -> DataFrame:
     return every.select(F.when(ended, F.regexp_replace("record", r"\r$", "")).otherwise(F.col("record")).alias("record")).where(F.trim("record") != "")
 
 
+def _from_fragments(placed: DataFrame, states: DataFrame) -> DataFrame:
+    """``(first, record)``: the records that lie in several splits, or that a file's end leaves open."""
+    cut = placed.where(F.col("inside") | F.col("open")).drop("open").mapInArrow(lambda batches: _assemble(batches, False), _RECORDS)
+    # a record's fragments: the open end of a split, splits without an end, the head that ends it
+    turn = F.sum(F.when(F.col("side") == TAIL, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("number", "side"))
+    joined = cut.join(states.select("file", "number"), "number").withColumn("turn", turn).groupBy("file", "turn").agg(
+        F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("number", "side", "record"))).alias("in_order"))  # one record
+    return joined.select("first", F.array_join(F.transform("in_order", lambda x: x["record"]), "\n").alias("record"))
+
+
 def parse(found: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of records, by Spark's CSV parser."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -36,7 +36,7 @@ def refresh(spark: SparkSession, landing_dir: str, table_dir: str, checkpoint_di
     def write(batch: DataFrame, number: int) -> None:
         rows = quoted_csv.parse(quoted_csv.records(batch, header), schema) if multi_line else batch
         path = f"{table_dir}/batch={number}"
-        (transform(rows) if transform else rows).write.mode("overwrite").parquet(path)
+        (transform(rows) if transform else rows).write.mode("overwrite").option("compression", "zstd").parquet(path)
         if state:
             state(batch.sparkSession.read.parquet(path), number)
 

@@ -99,3 +99,24 @@ def test_the_pass_for_fragments_gives_no_whole_records():
     sides = {wholes: [(s, r) for b in quoted_csv._assemble(iter([batch]), wholes) for s, r in zip(b["side"].to_pylist(), b["record"].to_pylist())]
              for wholes in (True, False)}
     assert sides == {True: [(1, "b,1"), (1, "c,2")], False: [(0, text[0]), (2, text[3])]}
+
+
+def test_compressed_files_are_a_split_each_and_not_read_for_fragments(spark, small_splits, tmp_path):
+    rows = rows_of(6)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    files.write_csv(df, str(tmp_path / "gz"), rows_per_gzip=50)
+    files.write_csv(df, str(tmp_path / "plain"))
+    assert len(list((tmp_path / "gz").glob("*.csv.gz"))) == 3 and not list((tmp_path / "plain").glob("*.gz"))
+    got = quoted_csv.records(spark.read.text(str(tmp_path / "gz"), lineSep="\n"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    want = sorted(map(tuple, both(spark, str(tmp_path / "plain"))[1].collect()), key=str)
+    assert len(want) == 120
+    for folder in ("gz", "plain"):
+        assert sorted(map(tuple, quoted_csv.read(spark, str(tmp_path / folder), SCHEMA).collect()), key=str) == want
+
+
+def test_a_compressed_file_that_ends_within_quotes(spark, tmp_path):
+    import gzip
+    with gzip.open(tmp_path / "x.csv.gz", "wt") as f:
+        f.write('a,b,c\n1,"x\ny",z\n2,"open\nend')
+    assert sorted(tuple(r)[:2] for r in quoted_csv.read(spark, str(tmp_path), SCHEMA).collect()) == [("1", "x\ny"), ("2", "open\nend")]
