@@ -24,3 +24,39 @@ def test_refresh_is_incremental_and_idempotent(spark):
     assert rows() == 3
     got = sorted(r.k for r in spark.read.parquet(table).select(F.col("k")).collect())
     assert got == ["1", "2", "3"]
+
+
+def _bytes_of(folder):
+    import os
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+
+
+def test_landed_drops_are_compressed_and_leave_no_shuffle_files(spark, monkeypatch):
+    """The landing folder held the text of all rows, and the joins' shuffle files stayed until the driver collected its garbage."""
+    from catalytics.plans import io_queries
+    from conftest import SF_SMALL
+
+    folders, text = {}, []
+    scratch, write = io_queries.scratch_path, files.write_csv
+    monkeypatch.setattr(io_queries, "scratch_path", lambda s, name: folders.setdefault(name, scratch(s, name)))
+
+    def written(df, path, **how):
+        text.append(df.selectExpr("sum(octet_length(concat_ws(',', *)))").first()[0])
+        write(df, path, **how)
+
+    monkeypatch.setattr(files, "write_csv", written)
+    monkeypatch.setattr(io_queries, "DROP_ROWS", 500)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(str, tracker.getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    before = shuffles()
+    got = io_queries.q_incremental_refresh(spark, SF_SMALL)
+    left = shuffles() - before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    landing = folders["refresh"].removeprefix("file:") + "/landing"
+    assert got.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count() and len(text) == 2
+    assert _bytes_of(landing) < sum(text) / 4
+    assert spark.read.text(landing).inputFiles() and all(f.endswith(".csv.gz") for f in spark.read.text(landing).inputFiles())
+    assert sum(1 for _ in left) == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
